@@ -1,0 +1,53 @@
+"""End-to-end plans: the three analyses of the original, as lazy DataFrames.
+
+* ``annual_weather``   geocode stations, aggregate weather per county-year (sum or avg)
+* ``fact_table``       annual weather x prepared yields, 17-column layout
+* correlation / model / enrichment entry points live in their operator modules and take the
+  fact table or the anomaly tables produced here.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import fact, geo, weather, yields
+from ..operators.quality import fill
+from ..sources import county_rings, fixtures
+from .sizing import materialize
+
+
+def station_years(weather_df: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """Station-year partial sums of the daily table, materialised so that the geocoding branch
+    and the aggregation branch share one scan of the daily table."""
+    sy = weather.station_years(weather_df)
+    return materialize(sy) if checkpoint else sy
+
+
+def annual_weather(weather_df: DataFrame, rings: DataFrame, stat: str = "sum", cell: float = 0.5,
+                   holes: str = "fill", fill_avg: bool = True, checkpoint: bool = True) -> DataFrame:
+    """A1 (sum) / A2 (avg, with P13's 0.0 fill when ``fill_avg``) per county-year."""
+    sy = station_years(weather_df, checkpoint)
+    mapping = geo.assign(sy, rings, cell=cell, keep_unknown=False, holes=holes)
+    ann = weather.annual_from_station_years(sy, mapping, stat)
+    if stat == "avg" and fill_avg:
+        ann = fill(ann, {weather.out_name("avg", m): 0.0 for m in weather.MEASURES})
+    return ann
+
+
+def fact_table(weather_df: DataFrame, rings: DataFrame, yields_df: DataFrame, stat: str = "sum",
+               cell: float = 0.5, checkpoint: bool = True) -> DataFrame:
+    ann = annual_weather(weather_df, rings, stat, cell=cell, checkpoint=checkpoint)
+    return fact.build(ann, yields.prepare(yields_df), stat)
+
+
+# ---- the same plans over the test tables (FIXTURES.md) ----
+
+def fixture_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (fixtures.weather_daily(spark, sf_dir),
+            county_rings(fixtures.county_features(spark, sf_dir)),
+            fixtures.county_yields(spark, sf_dir))
+
+
+def fixture_fact(spark: SparkSession, sf_dir: str, stat: str = "sum") -> DataFrame:
+    w, r, y = fixture_inputs(spark, sf_dir)
+    return fact_table(w, r, y, stat)
