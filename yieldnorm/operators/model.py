@@ -58,7 +58,7 @@ def prepare_for_fit(ml: DataFrame, materialized: bool = True) -> DataFrame:
     if not materialized:
         return ml
     from ..plans.sizing import materialize
-    return materialize(ml)
+    return materialize(ml, "model_table")
 
 
 def fit(ml: DataFrame, params: Mapping[str, object] | None = None, features: Sequence[str] = FEATURES,

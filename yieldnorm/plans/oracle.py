@@ -243,6 +243,7 @@ FROM nation"""
 FROM weather w JOIN known_mapping m ON w.latitude = m.latitude AND w.longitude = m.longitude"""
     q["annual_sum"] = with_(*BASE, _annual("sum")) + "SELECT * FROM annual_sum"
     q["annual_sum_direct"] = q["annual_sum"]
+    q["streaming_annual_sum"] = q["annual_sum"]
     q["annual_avg"] = with_(*BASE, _annual("avg")) + (
         "SELECT geo_state_code, geo_county_code, geo_county_name, year, "
         + ", ".join(r(f"avg_{m}", f"avg_{m}") for m in MEASURES) + ", observation_count FROM annual_avg")

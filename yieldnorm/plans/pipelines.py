@@ -20,7 +20,7 @@ def station_years(weather_df: DataFrame, checkpoint: bool = True) -> DataFrame:
     """Station-year partial sums of the daily table, materialised so that the geocoding branch
     and the aggregation branch share one scan of the daily table."""
     sy = weather.station_years(weather_df)
-    return materialize(sy) if checkpoint else sy
+    return materialize(sy, "station_years") if checkpoint else sy
 
 
 def annual_weather(weather_df: DataFrame, rings: DataFrame, stat: str = "sum", cell: float = 0.5,

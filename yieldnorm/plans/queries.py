@@ -14,8 +14,9 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators import enrich, fact, geo, model, quality, rank, stats, weather, yields
 from ..sources import county_rings, fixtures, tables
+from ..streaming import annual as streaming_annual
 from . import pipelines
-from .sizing import broadcast_if_small, materialize
+from .sizing import broadcast_if_small, materialize, scratch_path, write_table
 
 DIGITS = 6
 # Parameters of the registered model queries: small fits (the original's fit is 100 trees of
@@ -75,7 +76,7 @@ def q_geo_mapping_known(spark, d):
 
 def q_weather_with_county(spark, d):
     w = fixtures.weather_daily(spark, d)
-    mapping = materialize(geo.assign(w, _rings(spark, d), keep_unknown=True))
+    mapping = materialize(geo.assign(w, _rings(spark, d), keep_unknown=True), "mapping")
     m, _ = broadcast_if_small(geo.known(mapping), row_bytes=128)
     return weather.with_year(geo.attach(w, m))
 
@@ -97,6 +98,17 @@ def q_annual_avg(spark, d):
     return rounded(pipelines.annual_weather(w, r, "avg"))
 
 
+def q_streaming_annual_sum(spark, d):
+    """A1 maintained by a streaming aggregation over the daily table written as parquet files,
+    two files per micro-batch; the final table equals ``annual_sum``."""
+    w = fixtures.weather_daily(spark, d)
+    src = write_table(w.repartition(8), "weather_files")
+    mapping = materialize(geo.assign(w, _rings(spark, d), keep_unknown=True), "mapping")
+    return streaming_annual.run_to_completion(
+        spark, src, w.schema, mapping, scratch_path(spark, "annual_stream_out"),
+        scratch_path(spark, "annual_stream_ckpt"), "sum", max_files_per_trigger=2)
+
+
 def q_yields_prepared(spark, d):
     return yields.prepare(fixtures.county_yields(spark, d))
 

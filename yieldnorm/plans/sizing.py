@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a parquet table in the shared checkpoint folder and continue from it.
 
-    Used for small tables that several later jobs read (station-years, the model table): the
-    expensive lineage behind them (a full scan of the daily table) runs once, and a lost executor
-    re-reads checkpoint files instead of recomputing that lineage.
+    Used for small tables that several later jobs read (station-years, the coordinate mapping,
+    the model table): the expensive lineage behind them (a full scan of the daily table) runs
+    once, a lost executor re-reads files instead of recomputing that lineage, and the planner
+    sees the real file size when it decides between a broadcast and a shuffle join.
+    (``Dataset.checkpoint`` would compute its input twice unless cached first.)
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.sparkSession.read.parquet(write_table(df, name))
+
+
+def scratch_path(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/yieldnorm-tables/{name}-{uuid.uuid4().hex}"
+
+
+def write_table(df: DataFrame, name: str = "table") -> str:
+    """Write ``df`` as parquet under the shared checkpoint folder; return the path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("error").parquet(path)
+    return path
 
 
 def broadcast_threshold(df: DataFrame) -> int:

@@ -18,8 +18,17 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 CROP_OF_SEGMENT = {"BUILDING": " Corn", "MACHINERY": " Soybeans"}
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; the scan DataFrame is reused within one application (no second file
+    listing or footer read), never its data."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(key[1])
+    return df
 
 
 def station(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,3 @@
+from . import annual
+
+__all__ = ["annual"]
