@@ -1,0 +1,64 @@
+import datetime as dt
+
+import pytest
+
+from yieldnorm.operators import geo, weather
+from yieldnorm.plans import pipelines
+from yieldnorm.sources import county_rings, fixtures
+
+from .conftest import SF0001
+
+SCHEMA = ("latitude double, longitude double, date date, precipitation bigint, temp_max bigint, temp_min bigint, "
+          "snow_depth bigint, snowfall bigint")
+
+
+@pytest.fixture(scope="module")
+def rings(spark):
+    return county_rings(fixtures.county_features(spark, SF0001))
+
+
+def rows(df, cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_one_step_equals_two_step(spark, rings):
+    w = fixtures.weather_daily(spark, SF0001)
+    m = geo.assign(w, rings)
+    for stat in ("sum", "avg"):
+        one = weather.annual(weather.with_year(geo.attach(w, m)), stat)
+        two = pipelines.annual_weather(w, rings, stat, fill_avg=False)
+        assert rows(one, one.columns) == rows(two, one.columns)
+
+
+def test_all_null_group_gives_null_and_counts_rows(spark, rings):
+    d = dt.date(2020, 5, 1)
+    w = spark.createDataFrame([(0.5, 0.5, d, 1, None, None, None, None), (0.5, 0.5, d, 2, None, 4, None, None),
+                               (0.7, 0.5, d, 3, None, None, None, None)], SCHEMA)
+    r = rings.filter("ord = 0")
+    for stat in ("sum", "avg"):
+        out = pipelines.annual_weather(w, r, stat, fill_avg=False).first()
+        assert out["observation_count"] == 3
+        assert out[weather.out_name(stat, "temp_max")] is None
+    assert pipelines.annual_weather(w, r, "sum").first()["total_precipitation"] == 6
+    avg = pipelines.annual_weather(w, r, "avg", fill_avg=False).first()
+    assert avg["avg_precipitation"] == 2.0 and avg["avg_temp_min"] == 4.0
+    filled = pipelines.annual_weather(w, r, "avg").first()
+    assert filled["avg_temp_max"] == 0.0  # P13
+
+
+def test_year_from_string_dates(spark):
+    df = spark.createDataFrame([("2021-03-04",), ("garbage",), (None,)], "date string")
+    assert [r[0] for r in df.select(weather.year_of(df)).collect()] == [2021, None, None]
+
+
+def test_fixture_sizes(spark):
+    # FIXTURES.md section 7 at sf0.001
+    w, r, y = pipelines.fixture_inputs(spark, SF0001)
+    assert fixtures.station(spark, SF0001).count() == 10
+    assert geo.known(geo.assign(w, r)).count() == 6
+    assert pipelines.annual_weather(w, r).count() == 21
+    assert y.count() == 987
+    f = pipelines.fixture_fact(spark, SF0001)
+    assert f.count() == 136
+    assert f.filter("trim(commodity_name) = 'Corn'").count() == 32
+    assert f.filter("trim(commodity_name) = 'Corn' and yield_amount is not null").count() == 29
