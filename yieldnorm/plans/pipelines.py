@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import fact, geo, weather, yields
 from ..operators.quality import fill
@@ -16,6 +17,16 @@ from ..sources import county_rings, fixtures
 from .sizing import materialize
 
 
+def in_years(weather_df: DataFrame, years: tuple[int, int] | None, date_col: str = "date") -> DataFrame:
+    """F13 on the daily table, as a date range so that it reaches the parquet scan (row-group
+    skipping, partition pruning) instead of filtering after the aggregate."""
+    if not years:
+        return weather_df
+    lo, hi = years
+    d = F.col(date_col)
+    return weather_df.filter((d >= F.lit(f"{lo:04d}-01-01").cast("date")) & (d < F.lit(f"{hi + 1:04d}-01-01").cast("date")))
+
+
 def station_years(weather_df: DataFrame, checkpoint: bool = True) -> DataFrame:
     """Station-year partial sums of the daily table, materialised so that the geocoding branch
     and the aggregation branch share one scan of the daily table."""
@@ -24,9 +35,10 @@ def station_years(weather_df: DataFrame, checkpoint: bool = True) -> DataFrame:
 
 
 def annual_weather(weather_df: DataFrame, rings: DataFrame, stat: str = "sum", cell: float = 0.5,
-                   holes: str = "fill", fill_avg: bool = True, checkpoint: bool = True) -> DataFrame:
+                   holes: str = "fill", fill_avg: bool = True, checkpoint: bool = True,
+                   years: tuple[int, int] | None = None) -> DataFrame:
     """A1 (sum) / A2 (avg, with P13's 0.0 fill when ``fill_avg``) per county-year."""
-    sy = station_years(weather_df, checkpoint)
+    sy = station_years(in_years(weather_df, years), checkpoint)
     mapping = geo.assign(sy, rings, cell=cell, keep_unknown=False, holes=holes)
     ann = weather.annual_from_station_years(sy, mapping, stat)
     if stat == "avg" and fill_avg:
@@ -35,9 +47,13 @@ def annual_weather(weather_df: DataFrame, rings: DataFrame, stat: str = "sum", c
 
 
 def fact_table(weather_df: DataFrame, rings: DataFrame, yields_df: DataFrame, stat: str = "sum",
-               cell: float = 0.5, checkpoint: bool = True) -> DataFrame:
-    ann = annual_weather(weather_df, rings, stat, cell=cell, checkpoint=checkpoint)
-    return fact.build(ann, yields.prepare(yields_df), stat)
+               cell: float = 0.5, checkpoint: bool = True, years: tuple[int, int] | None = None) -> DataFrame:
+    """The 17-column fact table. With ``checkpoint`` it is written once to the shared folder:
+    every later analysis (statistics joined back, model tables, rankings) reads that small
+    table instead of re-running geocoding and the yields derivation once per branch."""
+    ann = annual_weather(weather_df, rings, stat, cell=cell, checkpoint=checkpoint, years=years)
+    f = fact.build(ann, yields.prepare(yields_df), stat)
+    return materialize(f, f"fact_{stat}") if checkpoint else f
 
 
 # ---- the same plans over the test tables (FIXTURES.md) ----

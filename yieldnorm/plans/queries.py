@@ -24,6 +24,9 @@ DIGITS = 6
 SMALL_GBT = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.2}
 SMALL_GRID = {"maxIter": [2, 4], "maxDepth": [2, 3], "stepSize": [0.1, 0.2]}
 MAP_YEAR = 1997
+# The coordinate mapping has one row per distinct station location (2 doubles + 3 short codes);
+# it is broadcast up to this size, checked by counting its materialised rows.
+MAPPING_BROADCAST_BYTES = 64 << 20
 LINEAR_X = "total_precipitation"
 
 
@@ -77,7 +80,7 @@ def q_geo_mapping_known(spark, d):
 def q_weather_with_county(spark, d):
     w = fixtures.weather_daily(spark, d)
     mapping = materialize(geo.assign(w, _rings(spark, d), keep_unknown=True), "mapping")
-    m, _ = broadcast_if_small(geo.known(mapping), row_bytes=128)
+    m, _ = broadcast_if_small(geo.known(mapping), row_bytes=96, max_bytes=MAPPING_BROADCAST_BYTES)
     return weather.with_year(geo.attach(w, m))
 
 
