@@ -96,3 +96,12 @@ def test_fit_by_crop(spark):
     out = model.fit_by_crop(f, ["Corn", "Soybeans"], SMALL)
     crops = {r.commodity_name.strip() for r in out.select("commodity_name").distinct().collect()}
     assert crops == {"Corn", "Soybeans"}
+
+
+def test_holdout_split_and_parity_view(spark, ml):
+    train, test = model.split_by_year(ml, [1999])
+    assert train.count() + test.count() == ml.count()
+    assert test.filter("year != 1999").count() == 0
+    pred = model.predict(model.fit(train, SMALL), test)
+    assert rank.layout(pred, with_state=False).columns == list(rank.PREDICTION_COLUMNS[1:])
+    assert len(rank.PREDICTION_COLUMNS[1:]) == 12

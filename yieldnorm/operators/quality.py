@@ -76,6 +76,8 @@ def unmatched(df: DataFrame, col: str = "fips", keys: Iterable[str] = ("state_ab
 
 
 def preview(df: DataFrame, n: int, order_by: Iterable[str] | None = None) -> DataFrame:
-    """K6: a bounded, deterministic preview (ordered first, then limited)."""
-    cols = list(order_by or df.columns)
-    return df.orderBy(*cols).limit(n)
+    """K6: a bounded, deterministic preview (ordered first, then limited); the remaining columns
+    break ties, so the rows shown do not depend on partitioning."""
+    first = list(order_by or [])
+    cols = first + [c for c in df.columns if c not in first]
+    return df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in cols]).limit(n)

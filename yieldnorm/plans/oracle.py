@@ -232,6 +232,7 @@ def oracle() -> dict[str, str]:
        CAST(n_nationkey % 5 AS DOUBLE) + 1.0 AS x1, CAST(n_nationkey // 5 AS DOUBLE) + 1.0 AS y1
 FROM nation"""
     q["src_fips"] = ENRICH + "SELECT fips, name, state FROM fips"
+    q["src_fips_csv"] = q["src_fips"]
     q["src_anomalies"] = ENRICH + "SELECT * FROM anomalies"
     q["src_county_summary"] = ENRICH + "SELECT * FROM summary"
 
@@ -254,6 +255,13 @@ FROM weather w JOIN known_mapping m ON w.latitude = m.latitude AND w.longitude =
         f"CAST(count(*) FILTER (WHERE {c.strip()} IS NULL) AS BIGINT) AS {c.strip()}" for c in FACT_COLS_SUM.split(",")
     ) + " FROM fact_sum"
     q["fact_row_count"] = FACT_SUM + "SELECT CAST(count(*) AS BIGINT) AS row_count FROM fact_sum"
+    first = ["state_code", "county_code", "year", "commodity_code", "irrigation_practice_code"]
+    order = first + [c.strip() for c in FACT_COLS_SUM.split(",") if c.strip() not in first]
+    q["fact_preview"] = FACT_SUM + ("SELECT * FROM fact_sum ORDER BY "
+                                    + ", ".join(f"{c} ASC NULLS FIRST" for c in order) + " LIMIT 20")
+    q["annual_sum_years"] = with_(*BASE, _annual("sum").replace(
+        "GROUP BY ALL", "WHERE w.date >= DATE '1996-01-01' AND w.date < DATE '2001-01-01'\n  GROUP BY ALL")) + \
+        "SELECT * FROM annual_sum"
     q["fact_years"] = FACT_SUM + "SELECT * FROM fact_sum WHERE year BETWEEN 1996 AND 2000"
 
     q["crop_moments"] = FACT_AVG + "SELECT commodity_name, " + ", ".join(

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators import enrich, fact, geo, model, quality, rank, stats, weather, yields
-from ..sources import county_rings, fixtures, tables
+from .. import sinks
+from ..sources import county_rings, fixtures, read_fips, tables
 from ..streaming import annual as streaming_annual
 from . import pipelines
 from .sizing import broadcast_if_small, materialize, scratch_path, write_table
@@ -24,6 +25,7 @@ DIGITS = 6
 SMALL_GBT = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.2}
 SMALL_GRID = {"maxIter": [2, 4], "maxDepth": [2, 3], "stepSize": [0.1, 0.2]}
 MAP_YEAR = 1997
+HOLDOUT_YEARS = (2000, 2001)
 # The coordinate mapping has one row per distinct station location (2 doubles + 3 short codes);
 # it is broadcast up to this size, checked by counting its materialised rows.
 MAPPING_BROADCAST_BYTES = 64 << 20
@@ -55,6 +57,14 @@ def q_src_fips(spark, d):
     return fixtures.fips_master(spark, d)
 
 
+def q_src_fips_csv(spark, d):
+    """K4 -> S4: the FIPS list written as CSV part files (nulls as NA) and read back with the
+    explicit-schema reader."""
+    path = scratch_path(spark, "fips_csv")
+    sinks.save_csv(fixtures.fips_master(spark, d), path, null_value="NA")
+    return read_fips(spark, path)
+
+
 def q_src_anomalies(spark, d):
     return tables.anomalies(spark, fixtures.flagged_anomalies(spark, d))
 
@@ -132,6 +142,18 @@ def q_fact_row_count(spark, d):
     return quality.row_count(pipelines.fixture_fact(spark, d, "sum"))
 
 
+def q_fact_preview(spark, d):
+    """K6: bounded, ordered preview of the fact table."""
+    f = pipelines.fixture_fact(spark, d, "sum")
+    return quality.preview(f, 20, ["state_code", "county_code", "year", "commodity_code", "irrigation_practice_code"])
+
+
+def q_annual_sum_years(spark, d):
+    """F13 pushed to the scan: only 1996-2000 observations are aggregated."""
+    w, r, _ = pipelines.fixture_inputs(spark, d)
+    return pipelines.annual_weather(w, r, "sum", years=(1996, 2000))
+
+
 def q_fact_years(spark, d):
     return fact.years(pipelines.fixture_fact(spark, d, "sum"), 1996, 2000)
 
@@ -282,6 +304,20 @@ def q_gbt_predictions(spark, d):
     return rounded(rank.layout(pred))
 
 
+def q_gbt_predictions_view(spark, d):
+    """The original's 12-column prediction table, largest |residual| first (top 50)."""
+    ml = _corn_ml(spark, d)
+    pred = model.predict(model.fit(ml, SMALL_GBT), ml)
+    return rounded(rank.largest_abs(rank.layout(pred, with_state=False), 50))
+
+
+def q_gbt_holdout_metrics(spark, d):
+    """Train on every year but the last two, score the held-out years."""
+    ml = _corn_ml(spark, d)
+    train, test = model.split_by_year(ml, HOLDOUT_YEARS)
+    return rounded(model.metrics(model.predict(model.fit(train, SMALL_GBT), test)))
+
+
 def q_gbt_metrics(spark, d):
     ml = _corn_ml(spark, d)
     return rounded(model.metrics(model.predict(model.fit(ml, SMALL_GBT), ml)))

@@ -28,8 +28,12 @@ def save_parquet(df: DataFrame, path: str, partition_by: Sequence[str] | None =
     w.parquet(path)
 
 
-def save_csv(df: DataFrame, path: str, single_file: bool = False, header: bool = True) -> None:
+def save_csv(df: DataFrame, path: str, single_file: bool = False, header: bool = True,
+             null_value: str | None = None) -> None:
     """K4: CSV with a header. ``single_file`` funnels the rows through one task (only for small
     reports); by default every partition writes its own part file."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", header).csv(path)
+    w = out.write.mode("overwrite").option("header", header)
+    if null_value is not None:
+        w = w.option("nullValue", null_value)
+    w.csv(path)
