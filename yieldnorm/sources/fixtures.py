@@ -18,7 +18,23 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 CROP_OF_SEGMENT = {"BUILDING": " Corn", "MACHINERY": " Soybeans"}
 
 
+import functools
+
 _TABLES: dict[tuple[str, str], DataFrame] = {}
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _plan_cache(fn):
+    """Reuse the lazy DataFrame (the plan, never data) a derivation returns, per application and
+    folder: building it again only repeats driver-side work."""
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), fn.__name__)
+        df = _PLANS.get(key)
+        if df is None:
+            df = _PLANS[key] = fn(spark, sf_dir)
+        return df
+    return wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+@_plan_cache
 def station(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One station per supplier; every 29th has no latitude."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
@@ -43,6 +60,7 @@ def station(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_plan_cache
 def weather_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily observations: one per lineitem, located at its supplier's station."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -69,6 +87,7 @@ def _vertex(x: Column, y: Column, alt: Column) -> Column:
     return F.when(alt, F.array(x, y, F.lit(100.0))).otherwise(F.array(x, y))
 
 
+@_plan_cache
 def county_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GeoJSON features as (ord, properties, geometry{type, coordinates as JSON text}).
 
@@ -110,6 +129,7 @@ def county_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counties.unionByName(points)
 
 
+@_plan_cache
 def county_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """County yields report: one row per county, year, commodity and practice."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
@@ -139,6 +159,7 @@ def county_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_plan_cache
 def fips_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIPS list: nations (every 7th left out) plus one state-level row per region (null state)."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -173,6 +194,7 @@ def _customer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_plan_cache
 def flagged_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anomaly rows (customers with a negative balance) with raw, unnormalised place names."""
     p = _customer_places(spark, sf_dir)
@@ -185,6 +207,7 @@ def flagged_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_plan_cache
 def county_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (state, county) of the anomaly places, with the number of anomalies."""
     p = _customer_places(spark, sf_dir)
