@@ -101,3 +101,33 @@ def test_attach_inner_and_left(spark, rings):
 def test_negative_zero_is_zero(spark, rings):
     w = spark.createDataFrame([(0.5, -0.0), (0.5, 0.0)], "latitude double, longitude double")
     assert geo.assign(w, rings).count() == 1
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+half = st.integers(min_value=0, max_value=40).map(lambda v: v / 4.0)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(half, half, st.integers(1, 12).map(lambda v: v / 4.0), st.integers(1, 12).map(lambda v: v / 4.0)),
+                min_size=1, max_size=5),
+       st.lists(st.tuples(half, half), min_size=1, max_size=15))
+def test_rectangles_are_half_open_first_wins(spark, rects, pts):
+    """Axis-aligned rectangles: inside iff x0 <= lon < x1 and y0 <= lat < y1; first rectangle wins."""
+    rows = []
+    for i, (x0, y0, w, h) in enumerate(rects):
+        ring = [[x0, y0], [x0 + w, y0], [x0 + w, y0 + h], [x0, y0 + h], [x0, y0]]
+        rows.append((i, f"{i:02d}", "001", f"R{i}", 0, 0, ring, x0, y0, x0 + w, y0 + h))
+    rings = spark.createDataFrame(rows, "ord long, state_code string, county_code string, county_name string, "
+                                        "poly_no int, ring_no int, ring array<array<double>>, x0 double, y0 double, "
+                                        "x1 double, y1 double")
+    p = spark.createDataFrame([(float(y), float(x)) for x, y in pts], "latitude double, longitude double")
+    got = {(r.latitude, r.longitude): r.geo_county_name for r in geo.assign(p, rings, cell=0.75).collect()}
+    for x, y in pts:
+        want = "Unknown"
+        for i, (x0, y0, w, h) in enumerate(rects):
+            if x0 <= x < x0 + w and y0 <= y < y0 + h:
+                want = f"R{i}"
+                break
+        assert got[(float(y), float(x))] == want
