@@ -55,3 +55,10 @@ def test_map_table(spark):
                                "fips string, year int, m double")
     got = {(r.fips, r.year): (r.sum_m, r.n_rows) for r in enrich.map_table(df, "m", "sum").collect()}
     assert got == {("01001", 2020): (4.0, 2), ("01003", 2021): (2.0, 1)}
+
+
+def test_existing_state_abbr_is_replaced(spark):
+    lookup = spark.createDataFrame([("Alabama", "AL")], "state string, state_abbr string")
+    summ = spark.createDataFrame([("Alabama", "x", "ZZ")], "state string, county string, state_abbr string")
+    out = enrich.with_state_abbr(summ, lookup)
+    assert out.columns == ["state", "county", "state_abbr"] and out.first().state_abbr == "AL"

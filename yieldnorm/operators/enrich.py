@@ -63,9 +63,11 @@ def state_lookup(df: DataFrame) -> DataFrame:
 
 
 def with_state_abbr(df: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Attach ``state_abbr`` by state name (null-safe, like a pandas ``map``)."""
+    """Set ``state_abbr`` by state name (null-safe, like a pandas ``map``); an existing
+    ``state_abbr`` column is replaced, as the assignment in the original does."""
+    base = df.drop("state_abbr") if "state_abbr" in df.columns else df
     right = lookup.select(F.col("state").alias("__r_state"), "state_abbr")
-    return df.join(right, df["state"].eqNullSafe(right["__r_state"]), "left").drop("__r_state")
+    return base.join(right, base["state"].eqNullSafe(right["__r_state"]), "left").drop("__r_state")
 
 
 def anomalies_geo(anomalies: DataFrame, fips: DataFrame) -> DataFrame:
