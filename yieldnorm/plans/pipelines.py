@@ -47,13 +47,18 @@ def annual_weather(weather_df: DataFrame, rings: DataFrame, stat: str = "sum", c
 
 
 def fact_table(weather_df: DataFrame, rings: DataFrame, yields_df: DataFrame, stat: str = "sum",
-               cell: float = 0.5, checkpoint: bool = True, years: tuple[int, int] | None = None) -> DataFrame:
-    """The 17-column fact table. With ``checkpoint`` it is written once to the shared folder:
-    every later analysis (statistics joined back, model tables, rankings) reads that small
-    table instead of re-running geocoding and the yields derivation once per branch."""
+               cell: float = 0.5, checkpoint: bool = True, years: tuple[int, int] | None = None,
+               shared: bool = True) -> DataFrame:
+    """The 17-column fact table.
+
+    ``shared=True`` writes it once to the shared folder, for consumers that read it in more
+    than one branch (statistics joined back, scalar subqueries, model fits): they then read that
+    small table instead of re-running geocoding and the yields derivation per branch. A single
+    consumer (one aggregate, one projection) gains nothing from the extra write.
+    """
     ann = annual_weather(weather_df, rings, stat, cell=cell, checkpoint=checkpoint, years=years)
     f = fact.build(ann, yields.prepare(yields_df), stat)
-    return materialize(f, f"fact_{stat}") if checkpoint else f
+    return materialize(f, f"fact_{stat}") if (checkpoint and shared) else f
 
 
 # ---- the same plans over the test tables (FIXTURES.md) ----
@@ -64,6 +69,6 @@ def fixture_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
             fixtures.county_yields(spark, sf_dir))
 
 
-def fixture_fact(spark: SparkSession, sf_dir: str, stat: str = "sum") -> DataFrame:
+def fixture_fact(spark: SparkSession, sf_dir: str, stat: str = "sum", shared: bool = True) -> DataFrame:
     w, r, y = fixture_inputs(spark, sf_dir)
-    return fact_table(w, r, y, stat)
+    return fact_table(w, r, y, stat, shared=shared)

@@ -127,24 +127,24 @@ def q_yields_prepared(spark, d):
 
 
 def q_fact_sum(spark, d):
-    return pipelines.fixture_fact(spark, d, "sum")
+    return pipelines.fixture_fact(spark, d, "sum", shared=False)
 
 
 def q_fact_avg(spark, d):
-    return rounded(pipelines.fixture_fact(spark, d, "avg"))
+    return rounded(pipelines.fixture_fact(spark, d, "avg", shared=False))
 
 
 def q_fact_null_counts(spark, d):
-    return quality.null_counts(pipelines.fixture_fact(spark, d, "sum"))
+    return quality.null_counts(pipelines.fixture_fact(spark, d, "sum", shared=False))
 
 
 def q_fact_row_count(spark, d):
-    return quality.row_count(pipelines.fixture_fact(spark, d, "sum"))
+    return quality.row_count(pipelines.fixture_fact(spark, d, "sum", shared=False))
 
 
 def q_fact_preview(spark, d):
     """K6: bounded, ordered preview of the fact table."""
-    f = pipelines.fixture_fact(spark, d, "sum")
+    f = pipelines.fixture_fact(spark, d, "sum", shared=False)
     return quality.preview(f, 20, ["state_code", "county_code", "year", "commodity_code", "irrigation_practice_code"])
 
 
@@ -155,13 +155,13 @@ def q_annual_sum_years(spark, d):
 
 
 def q_fact_years(spark, d):
-    return fact.years(pipelines.fixture_fact(spark, d, "sum"), 1996, 2000)
+    return fact.years(pipelines.fixture_fact(spark, d, "sum", shared=False), 1996, 2000)
 
 
 # ---------------------------------------------------------------- correlation
 
 def q_crop_moments(spark, d):
-    return rounded(stats.moments(pipelines.fixture_fact(spark, d, "avg"), stats.AVG_MEASURES))
+    return rounded(stats.moments(pipelines.fixture_fact(spark, d, "avg", shared=False), stats.AVG_MEASURES))
 
 
 def q_crop_zscore(spark, d):
@@ -174,17 +174,17 @@ def q_corn_zscore(spark, d):
 
 
 def q_pearson(spark, d):
-    return rounded(stats.pearson(pipelines.fixture_fact(spark, d, "avg"), nulls="zero"))
+    return rounded(stats.pearson(pipelines.fixture_fact(spark, d, "avg", shared=False), nulls="zero"))
 
 
 def q_pearson_pairwise(spark, d):
-    return rounded(stats.pearson(pipelines.fixture_fact(spark, d, "avg"), nulls="pairwise"))
+    return rounded(stats.pearson(pipelines.fixture_fact(spark, d, "avg", shared=False), nulls="pairwise"))
 
 
 # ---------------------------------------------------------------- model table and residuals
 
 def q_ml_table(spark, d):
-    return model.ml_table(pipelines.fixture_fact(spark, d, "sum"), "Corn")
+    return model.ml_table(pipelines.fixture_fact(spark, d, "sum", shared=False), "Corn")
 
 
 def q_ml_fill_mean(spark, d):
@@ -343,7 +343,7 @@ def q_gbt_by_crop(spark, d):
 
 
 def q_schema_report(spark, d):
-    return quality.schema_report(pipelines.fixture_fact(spark, d, "sum"))
+    return quality.schema_report(pipelines.fixture_fact(spark, d, "sum", shared=False))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
