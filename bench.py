@@ -52,6 +52,9 @@ def main() -> None:
     queries = {n: Q.QUERIES[n] for n in HEADLINE}
     if with_ref:
         queries["gbt_reference"] = q_gbt_reference
+    only = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
+    if only:
+        queries = {n: f for n, f in queries.items() if n in only}
     run(Q.QUERIES["src_fips"](spark, sf_dir))  # warm-up: JVM, parquet reader, codegen
     times = {}
     for name, fn in queries.items():
