@@ -163,7 +163,9 @@ def linear_baseline(df: DataFrame, x: str = "total_precipitation", label: str =
         coef = coef.select(*[F.col(k).alias(f"__g_{k}") for k in keys], "__slope", "__icpt")
         j = df.join(coef, [df[k].eqNullSafe(coef[f"__g_{k}"]) for k in keys], "left")
     else:
-        j = df.withColumns({"__slope": coef.select("__slope").scalar(), "__icpt": coef.select("__icpt").scalar()})
+        one = coef.select(F.struct("__slope", "__icpt").alias("c")).scalar()
+        j = df.withColumn("__coef", one).withColumns(
+            {"__slope": F.col("__coef.__slope"), "__icpt": F.col("__coef.__icpt")}).drop("__coef")
     j = j.withColumn(PREDICTION, F.col("__icpt") + F.col("__slope") * F.col(x))
     j = j.withColumn("residual", F.col(label) - F.col(PREDICTION))
     return j.drop("__slope", "__icpt", *[f"__g_{k}" for k in keys])

@@ -54,7 +54,10 @@ def fill_mean(df: DataFrame, cols: Iterable[str], by: Iterable[str] | None = Non
     """
     cols = list(cols)
     if not by:
-        return df.withColumns({c: F.coalesce(F.col(c), df.select(F.avg(c)).scalar()) for c in cols})
+        means = df.select(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("m")).scalar()
+        # bound to one column first, so the subquery is planned (and run) once
+        out = df.withColumn("__means", means)
+        return out.withColumns({c: F.coalesce(F.col(c), F.col("__means").getField(c)) for c in cols}).drop("__means")
     by = list(by)
     means = df.groupBy(*by).agg(*[F.avg(c).alias(f"__mean_{c}") for c in cols])
     out = df.join(means, on=by, how="left")

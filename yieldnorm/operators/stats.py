@@ -46,8 +46,11 @@ def zscore(df: DataFrame, cols: Sequence[str] = AVG_MEASURES, by: str | Sequence
         cond = [df[k].eqNullSafe(st[f"__g_{k}"]) for k in keys]
         j = df.join(st, cond, "left")
     else:
-        # one global row: each statistic enters the plan as a scalar subquery
-        j = df.withColumns({f"{c}_{s}": st.select(f"{c}_{s}").scalar() for c in cols for s in ("mean", "stddev")})
+        # one global row: all statistics enter the plan as one struct-valued scalar subquery
+        names = [f"{c}_{s}" for c in cols for s in ("mean", "stddev")]
+        one = st.select(F.struct(*names).alias("s")).scalar()
+        # bound to one column first, so the subquery is planned (and run) once
+        j = df.withColumn("__stats", one).withColumns({n: F.col("__stats").getField(n) for n in names}).drop("__stats")
     out = j.withColumns({
         f"{c}{suffix}": (F.col(c) - F.col(f"{c}_mean")) / F.nullif(F.col(f"{c}_stddev"), F.lit(0.0))
         for c in cols
