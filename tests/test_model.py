@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 
 from yieldnorm.operators import model, quality, rank
-from yieldnorm.plans import pipelines
+from yieldnorm.plans import flows
 
 from .conftest import SF0001
 
@@ -14,7 +14,7 @@ SMALL = {"maxIter": 3, "maxDepth": 2, "stepSize": 0.2}
 
 @pytest.fixture(scope="module")
 def ml(spark):
-    t = model.ml_table(pipelines.fixture_fact(spark, SF0001), "Corn")
+    t = model.ml_table(flows.fixture_fact(spark, SF0001), "Corn")
     return model.prepare_for_fit(t)
 
 
@@ -92,7 +92,7 @@ def test_linear_baseline_against_numpy(spark):
 
 
 def test_fit_by_crop(spark):
-    f = pipelines.fixture_fact(spark, SF0001)
+    f = flows.fixture_fact(spark, SF0001)
     out = model.fit_by_crop(f, ["Corn", "Soybeans"], SMALL)
     crops = {r.commodity_name.strip() for r in out.select("commodity_name").distinct().collect()}
     assert crops == {"Corn", "Soybeans"}

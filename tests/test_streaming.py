@@ -1,5 +1,5 @@
 from yieldnorm.operators import geo
-from yieldnorm.plans import pipelines
+from yieldnorm.plans import flows
 from yieldnorm.plans.sizing import materialize, scratch_path, write_table
 from yieldnorm.sources import county_rings, fixtures
 from yieldnorm.streaming import annual
@@ -14,7 +14,7 @@ def test_stream_equals_batch(spark):
     mapping = materialize(geo.assign(w, rings), "stream_mapping")
     out_dir, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
     got = annual.run_to_completion(spark, src, w.schema, mapping, out_dir, ckpt, "sum", max_files_per_trigger=1)
-    want = pipelines.annual_weather(w, rings, "sum")
+    want = flows.annual_weather(w, rings, "sum")
     cols = want.columns
     assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == sorted(
         tuple(r[c] for c in cols) for r in want.collect())

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from yieldnorm.operators import geo, weather
-from yieldnorm.plans import pipelines
+from yieldnorm.plans import flows
 from yieldnorm.sources import county_rings, fixtures
 
 from .conftest import SF0001
@@ -26,7 +26,7 @@ def test_one_step_equals_two_step(spark, rings):
     m = geo.assign(w, rings)
     for stat in ("sum", "avg"):
         one = weather.annual(weather.with_year(geo.attach(w, m)), stat)
-        two = pipelines.annual_weather(w, rings, stat, fill_avg=False)
+        two = flows.annual_weather(w, rings, stat, fill_avg=False)
         assert rows(one, one.columns) == rows(two, one.columns)
 
 
@@ -36,13 +36,13 @@ def test_all_null_group_gives_null_and_counts_rows(spark, rings):
                                (0.7, 0.5, d, 3, None, None, None, None)], SCHEMA)
     r = rings.filter("ord = 0")
     for stat in ("sum", "avg"):
-        out = pipelines.annual_weather(w, r, stat, fill_avg=False).first()
+        out = flows.annual_weather(w, r, stat, fill_avg=False).first()
         assert out["observation_count"] == 3
         assert out[weather.out_name(stat, "temp_max")] is None
-    assert pipelines.annual_weather(w, r, "sum").first()["total_precipitation"] == 6
-    avg = pipelines.annual_weather(w, r, "avg", fill_avg=False).first()
+    assert flows.annual_weather(w, r, "sum").first()["total_precipitation"] == 6
+    avg = flows.annual_weather(w, r, "avg", fill_avg=False).first()
     assert avg["avg_precipitation"] == 2.0 and avg["avg_temp_min"] == 4.0
-    filled = pipelines.annual_weather(w, r, "avg").first()
+    filled = flows.annual_weather(w, r, "avg").first()
     assert filled["avg_temp_max"] == 0.0  # P13
 
 
@@ -53,12 +53,12 @@ def test_year_from_string_dates(spark):
 
 def test_fixture_sizes(spark):
     # FIXTURES.md section 7 at sf0.001
-    w, r, y = pipelines.fixture_inputs(spark, SF0001)
+    w, r, y = flows.fixture_inputs(spark, SF0001)
     assert fixtures.station(spark, SF0001).count() == 10
     assert geo.known(geo.assign(w, r)).count() == 6
-    assert pipelines.annual_weather(w, r).count() == 21
+    assert flows.annual_weather(w, r).count() == 21
     assert y.count() == 987
-    f = pipelines.fixture_fact(spark, SF0001)
+    f = flows.fixture_fact(spark, SF0001)
     assert f.count() == 136
     assert f.filter("trim(commodity_name) = 'Corn'").count() == 32
     assert f.filter("trim(commodity_name) = 'Corn' and yield_amount is not null").count() == 29

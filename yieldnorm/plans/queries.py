@@ -16,7 +16,7 @@ from ..operators import enrich, fact, geo, model, quality, rank, stats, weather,
 from .. import sinks
 from ..sources import county_rings, fixtures, read_fips, tables
 from ..streaming import annual as streaming_annual
-from . import pipelines
+from . import flows
 from .sizing import broadcast_if_small, materialize, scratch_path, write_table
 
 DIGITS = 6
@@ -102,13 +102,13 @@ def q_annual_sum_direct(spark, d):
 
 
 def q_annual_sum(spark, d):
-    w, r, _ = pipelines.fixture_inputs(spark, d)
-    return pipelines.annual_weather(w, r, "sum")
+    w, r, _ = flows.fixture_inputs(spark, d)
+    return flows.annual_weather(w, r, "sum")
 
 
 def q_annual_avg(spark, d):
-    w, r, _ = pipelines.fixture_inputs(spark, d)
-    return rounded(pipelines.annual_weather(w, r, "avg"))
+    w, r, _ = flows.fixture_inputs(spark, d)
+    return rounded(flows.annual_weather(w, r, "avg"))
 
 
 def q_streaming_annual_sum(spark, d):
@@ -127,75 +127,75 @@ def q_yields_prepared(spark, d):
 
 
 def q_fact_sum(spark, d):
-    return pipelines.fixture_fact(spark, d, "sum", shared=False)
+    return flows.fixture_fact(spark, d, "sum", shared=False)
 
 
 def q_fact_avg(spark, d):
-    return rounded(pipelines.fixture_fact(spark, d, "avg", shared=False))
+    return rounded(flows.fixture_fact(spark, d, "avg", shared=False))
 
 
 def q_fact_null_counts(spark, d):
-    return quality.null_counts(pipelines.fixture_fact(spark, d, "sum", shared=False))
+    return quality.null_counts(flows.fixture_fact(spark, d, "sum", shared=False))
 
 
 def q_fact_row_count(spark, d):
-    return quality.row_count(pipelines.fixture_fact(spark, d, "sum", shared=False))
+    return quality.row_count(flows.fixture_fact(spark, d, "sum", shared=False))
 
 
 def q_fact_preview(spark, d):
     """K6: bounded, ordered preview of the fact table."""
-    f = pipelines.fixture_fact(spark, d, "sum", shared=False)
+    f = flows.fixture_fact(spark, d, "sum", shared=False)
     return quality.preview(f, 20, ["state_code", "county_code", "year", "commodity_code", "irrigation_practice_code"])
 
 
 def q_annual_sum_years(spark, d):
     """F13 pushed to the scan: only 1996-2000 observations are aggregated."""
-    w, r, _ = pipelines.fixture_inputs(spark, d)
-    return pipelines.annual_weather(w, r, "sum", years=(1996, 2000))
+    w, r, _ = flows.fixture_inputs(spark, d)
+    return flows.annual_weather(w, r, "sum", years=(1996, 2000))
 
 
 def q_fact_years(spark, d):
-    return fact.years(pipelines.fixture_fact(spark, d, "sum", shared=False), 1996, 2000)
+    return fact.years(flows.fixture_fact(spark, d, "sum", shared=False), 1996, 2000)
 
 
 # ---------------------------------------------------------------- correlation
 
 def q_crop_moments(spark, d):
-    return rounded(stats.moments(pipelines.fixture_fact(spark, d, "avg", shared=False), stats.AVG_MEASURES))
+    return rounded(stats.moments(flows.fixture_fact(spark, d, "avg", shared=False), stats.AVG_MEASURES))
 
 
 def q_crop_zscore(spark, d):
-    return rounded(stats.zscore(pipelines.fixture_fact(spark, d, "avg")))
+    return rounded(stats.zscore(flows.fixture_fact(spark, d, "avg")))
 
 
 def q_corn_zscore(spark, d):
-    corn = fact.crop(pipelines.fixture_fact(spark, d, "avg"), " Corn", trim=False)
+    corn = fact.crop(flows.fixture_fact(spark, d, "avg"), " Corn", trim=False)
     return rounded(stats.zscore(corn, by=None))
 
 
 def q_pearson(spark, d):
-    return rounded(stats.pearson(pipelines.fixture_fact(spark, d, "avg", shared=False), nulls="zero"))
+    return rounded(stats.pearson(flows.fixture_fact(spark, d, "avg", shared=False), nulls="zero"))
 
 
 def q_pearson_pairwise(spark, d):
-    return rounded(stats.pearson(pipelines.fixture_fact(spark, d, "avg", shared=False), nulls="pairwise"))
+    return rounded(stats.pearson(flows.fixture_fact(spark, d, "avg", shared=False), nulls="pairwise"))
 
 
 # ---------------------------------------------------------------- model table and residuals
 
 def q_ml_table(spark, d):
-    return model.ml_table(pipelines.fixture_fact(spark, d, "sum", shared=False), "Corn")
+    return model.ml_table(flows.fixture_fact(spark, d, "sum", shared=False), "Corn")
 
 
 def q_ml_fill_mean(spark, d):
-    f = pipelines.fixture_fact(spark, d, "sum")
+    f = flows.fixture_fact(spark, d, "sum")
     t = (fact.crop(f, "Corn").select("state_code", "county_code", "year", "commodity_name", "yield_amount",
                                      *model.FEATURES).filter(F.col("yield_amount").isNotNull()))
     return rounded(quality.fill_mean(t, ["total_temp_max", "total_temp_min"]))
 
 
 def _linear(spark, d):
-    f = pipelines.fixture_fact(spark, d, "sum").filter(F.col("yield_amount").isNotNull())
+    f = flows.fixture_fact(spark, d, "sum").filter(F.col("yield_amount").isNotNull())
     return model.linear_baseline(f, x=LINEAR_X, by=["commodity_name"])
 
 
@@ -296,7 +296,7 @@ def q_top10_counties(spark, d):
 
 def _corn_ml(spark, d):
     # the fact table has one consumer here; the model table itself is materialised for the fits
-    return model.prepare_for_fit(model.ml_table(pipelines.fixture_fact(spark, d, "sum", shared=False), "Corn"))
+    return model.prepare_for_fit(model.ml_table(flows.fixture_fact(spark, d, "sum", shared=False), "Corn"))
 
 
 def q_gbt_predictions(spark, d):
@@ -338,13 +338,13 @@ def q_gbt_best(spark, d):
 
 
 def q_gbt_by_crop(spark, d):
-    f = pipelines.fixture_fact(spark, d, "sum")
+    f = flows.fixture_fact(spark, d, "sum")
     pred = model.fit_by_crop(f, ["Corn", "Soybeans"], SMALL_GBT)
     return rounded(rank.layout(pred))
 
 
 def q_schema_report(spark, d):
-    return quality.schema_report(pipelines.fixture_fact(spark, d, "sum", shared=False))
+    return quality.schema_report(flows.fixture_fact(spark, d, "sum", shared=False))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,4 +1,4 @@
-"""Input tables of the pipelines, derived from the driver's TPC-H-like parquet tables.
+"""Input tables of the analyses, derived from the driver's TPC-H-like parquet tables.
 
 The original inputs (NOAA daily weather, an RMA county-yields report, a county GeoJSON, a FIPS
 list and two anomaly tables) are not available; FIXTURES.md defines each one as a rule over the
