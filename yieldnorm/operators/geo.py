@@ -81,23 +81,50 @@ def assign(points: DataFrame, rings: DataFrame, cell: float = 0.5, keep_unknown:
     otherwise only matched coordinates are returned.
     """
     pts = distinct_points(points)
+    if keep_unknown:
+        return _assign_all(pts, rings, cell, holes)
     hits = containing_rings(pts, rings, cell, holes)
     first = hits.groupBy("latitude", "longitude").agg(
         F.min(F.struct("ord", "state_code", "county_code", "county_name")).alias("m"))
-    matched = first.select(
+    return first.select(
         "latitude", "longitude",
         F.col("m.state_code").alias("geo_state_code"),
         F.col("m.county_code").alias("geo_county_code"),
         F.col("m.county_name").alias("geo_county_name"),
     )
-    if not keep_unknown:
-        return matched
-    s, c, n = UNKNOWN
-    return pts.join(matched, ["latitude", "longitude"], "left").select(
+
+
+def _assign_all(pts: DataFrame, rings: DataFrame, cell: float, holes: str) -> DataFrame:
+    """``assign`` keeping unmatched coordinates, reading the coordinates once: outer joins keep
+    points without candidates, and a conditional ``min`` per point picks the first containing
+    county (null when there is none, then the sentinel)."""
+    if holes not in ("fill", "subtract"):
+        raise ValueError("holes must be 'fill' or 'subtract'")
+    p = pts.select("latitude", "longitude",
+                   cell_of("longitude", cell).alias("cx"), cell_of("latitude", cell).alias("cy"))
+    c = p.join(ring_cells(rings, cell), ["cx", "cy"], "left")
+    in_box = (F.col("longitude").between(F.col("x0"), F.col("x1"))
+              & F.col("latitude").between(F.col("y0"), F.col("y1")))
+    # candidates outside the box keep their point but lose their ring id (no geometry match)
+    c = c.select("latitude", "longitude",
+                 *[F.when(in_box, F.col(k)).alias(k) for k in ("ord", "poly_no", "ring_no")])
+    geom = rings.select("ord", "poly_no", "ring_no", "ring", "state_code", "county_code", "county_name")
+    j = c.join(geom, ["ord", "poly_no", "ring_no"], "left")
+    inside = F.col("ring").isNotNull() & ring_contains("ring", "longitude", "latitude")
+    county = F.struct("ord", "state_code", "county_code", "county_name")
+    if holes == "fill":
+        first = j.groupBy("latitude", "longitude").agg(F.min(F.when(inside, county)).alias("m"))
+    else:
+        per_poly = j.groupBy("latitude", "longitude", "ord", "poly_no", "state_code", "county_code", "county_name").agg(
+            F.count_if(inside).alias("n"))
+        first = per_poly.groupBy("latitude", "longitude").agg(
+            F.min(F.when(F.col("n") % 2 == 1, county)).alias("m"))
+    s, c_, n = UNKNOWN
+    return first.select(
         "latitude", "longitude",
-        F.coalesce("geo_state_code", F.lit(s)).alias("geo_state_code"),
-        F.coalesce("geo_county_code", F.lit(c)).alias("geo_county_code"),
-        F.coalesce("geo_county_name", F.lit(n)).alias("geo_county_name"),
+        F.coalesce(F.col("m.state_code"), F.lit(s)).alias("geo_state_code"),
+        F.coalesce(F.col("m.county_code"), F.lit(c_)).alias("geo_county_code"),
+        F.coalesce(F.col("m.county_name"), F.lit(n)).alias("geo_county_name"),
     )
 
 
