@@ -1,6 +1,6 @@
 """Input tables of the analyses, derived from the driver's TPC-H-like parquet tables.
 
-The original inputs (NOAA daily weather, an RMA county-yields report, a county GeoJSON, a FIPS
+The original inputs (daily station weather, a county-yields report, a county GeoJSON, a FIPS
 list and two anomaly tables) are not available; FIXTURES.md defines each one as a rule over the
 given tables. Every function here returns a lazy DataFrame, so the derivations scale with the
 tables they read.
