@@ -131,3 +131,19 @@ def test_rectangles_are_half_open_first_wins(spark, rects, pts):
                 want = f"R{i}"
                 break
         assert got[(float(y), float(x))] == want
+
+
+def test_auto_cell_handles_projected_units(spark):
+    # rings in metres (50 km squares): a fixed 0.5 grid would explode into ~10^10 cells
+    rows = []
+    for i in range(4):
+        x0, y0 = 500000.0 + i * 50000.0, 4000000.0
+        ring = [[x0, y0], [x0 + 50000, y0], [x0 + 50000, y0 + 50000], [x0, y0 + 50000], [x0, y0]]
+        rows.append((i, "01", f"{i:03d}", f"M{i}", 0, 0, ring, x0, y0, x0 + 50000, y0 + 50000))
+    rings = spark.createDataFrame(rows, "ord long, state_code string, county_code string, county_name string, "
+                                        "poly_no int, ring_no int, ring array<array<double>>, x0 double, y0 double, "
+                                        "x1 double, y1 double")
+    assert geo.cell_size(rings) == 50000.0
+    pts = spark.createDataFrame([(4010000.0, 560000.0), (4010000.0, 499999.0)], "latitude double, longitude double")
+    got = {r.longitude: r.geo_county_name for r in geo.assign(pts, rings).collect()}
+    assert got == {560000.0: "M1", 499999.0: "Unknown"}

@@ -44,7 +44,8 @@ def ring_contains(ring: Column | str, lon: Column | str, lat: Column | str) -> C
     return (F.size(F.filter(crossings, lambda c: c)) % 2) == 1
 
 
-def cell_of(v: Column | str, cell: float) -> Column:
+def cell_of(v: Column | str, cell: float | Column) -> Column:
     """Grid cell index of a coordinate: floor(v / cell). Monotone in v, so a point inside a
-    bounding box always falls in a cell the box covers."""
-    return F.floor(_c(v) / F.lit(float(cell)))
+    bounding box always falls in a cell the box covers (for any positive cell size)."""
+    size = cell if isinstance(cell, Column) else F.lit(float(cell))
+    return F.floor(_c(v) / size)

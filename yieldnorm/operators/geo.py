@@ -3,6 +3,7 @@
 J1 is a filter-and-refine spatial join written as ordinary DataFrame code:
 
 1. every ring's bounding box is exploded into the grid cells it covers (thin rows, no geometry);
+   the cell size defaults to the median ring extent, so any coordinate units work;
 2. each distinct coordinate gets the one cell it falls in; an equi-join on the cell finds the
    candidate rings, a bounding-box predicate removes most of them;
 3. the candidates are joined to the ring geometry by ring id and refined with the even-odd
@@ -35,15 +36,30 @@ def distinct_points(df: DataFrame, lat: str = "latitude", lon: str = "longitude"
     return df.select(F.col(lat).alias("latitude"), F.col(lon).alias("longitude")).filter(ok).distinct()
 
 
-def ring_cells(rings: DataFrame, cell: float) -> DataFrame:
+def cell_size(rings: DataFrame, cell: float | str = "auto") -> float:
+    """The grid cell size. ``"auto"``: the median extent of the rings, so a ring covers a few
+    cells whatever the coordinate units are (one small aggregate over the ring table, a single
+    number to the driver); otherwise the given positive size."""
+    if cell != "auto":
+        if float(cell) <= 0:
+            raise ValueError("cell must be positive")
+        return float(cell)
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    med = rings.agg(F.percentile_approx(extent, 0.5).alias("m")).first()["m"]
+    return float(med) if med and med > 0 else 1.0
+
+
+def ring_cells(rings: DataFrame, cell: float | str = "auto") -> DataFrame:
     """One thin row per (grid cell, ring) for every cell a ring's bounding box touches."""
+    cell = cell_size(rings, cell)
     r = rings.select("ord", "poly_no", "ring_no", "x0", "y0", "x1", "y1")
     r = r.withColumn("cx", F.explode(F.sequence(cell_of("x0", cell), cell_of("x1", cell))))
     return r.withColumn("cy", F.explode(F.sequence(cell_of("y0", cell), cell_of("y1", cell))))
 
 
-def candidates(points: DataFrame, rings: DataFrame, cell: float = 0.5) -> DataFrame:
+def candidates(points: DataFrame, rings: DataFrame, cell: float | str = "auto") -> DataFrame:
     """(latitude, longitude, ord, poly_no, ring_no) whose ring bounding box holds the point."""
+    cell = cell_size(rings, cell)
     p = points.select("latitude", "longitude",
                       cell_of("longitude", cell).alias("cx"), cell_of("latitude", cell).alias("cy"))
     c = p.join(ring_cells(rings, cell), ["cx", "cy"], "inner")
@@ -52,7 +68,8 @@ def candidates(points: DataFrame, rings: DataFrame, cell: float = 0.5) -> DataFr
     return c.filter(inside_box).select("latitude", "longitude", "ord", "poly_no", "ring_no")
 
 
-def containing_rings(points: DataFrame, rings: DataFrame, cell: float = 0.5, holes: str = "fill") -> DataFrame:
+def containing_rings(points: DataFrame, rings: DataFrame, cell: float | str = "auto",
+                     holes: str = "fill") -> DataFrame:
     """Refined matches (latitude, longitude, ord, state_code, county_code, county_name).
 
     ``holes="fill"`` (default) counts a point inside a county when any of its rings contains it,
@@ -61,6 +78,7 @@ def containing_rings(points: DataFrame, rings: DataFrame, cell: float = 0.5, hol
     """
     if holes not in ("fill", "subtract"):
         raise ValueError("holes must be 'fill' or 'subtract'")
+    cell = cell_size(rings, cell)
     cand = candidates(points, rings, cell)
     geom = rings.select("ord", "poly_no", "ring_no", "ring", "state_code", "county_code", "county_name")
     hits = cand.join(geom, ["ord", "poly_no", "ring_no"], "inner").filter(
@@ -72,7 +90,7 @@ def containing_rings(points: DataFrame, rings: DataFrame, cell: float = 0.5, hol
     return hits.select(*keys)
 
 
-def assign(points: DataFrame, rings: DataFrame, cell: float = 0.5, keep_unknown: bool = True,
+def assign(points: DataFrame, rings: DataFrame, cell: float | str = "auto", keep_unknown: bool = True,
            holes: str = "fill") -> DataFrame:
     """Coordinate -> county mapping with the columns of MAPPING_COLUMNS.
 
@@ -81,6 +99,7 @@ def assign(points: DataFrame, rings: DataFrame, cell: float = 0.5, keep_unknown:
     otherwise only matched coordinates are returned.
     """
     pts = distinct_points(points)
+    cell = cell_size(rings, cell)
     if keep_unknown:
         return _assign_all(pts, rings, cell, holes)
     hits = containing_rings(pts, rings, cell, holes)
@@ -94,12 +113,13 @@ def assign(points: DataFrame, rings: DataFrame, cell: float = 0.5, keep_unknown:
     )
 
 
-def _assign_all(pts: DataFrame, rings: DataFrame, cell: float, holes: str) -> DataFrame:
+def _assign_all(pts: DataFrame, rings: DataFrame, cell: float | str, holes: str) -> DataFrame:
     """``assign`` keeping unmatched coordinates, reading the coordinates once: outer joins keep
     points without candidates, and a conditional ``min`` per point picks the first containing
     county (null when there is none, then the sentinel)."""
     if holes not in ("fill", "subtract"):
         raise ValueError("holes must be 'fill' or 'subtract'")
+    cell = cell_size(rings, cell)
     p = pts.select("latitude", "longitude",
                    cell_of("longitude", cell).alias("cx"), cell_of("latitude", cell).alias("cy"))
     c = p.join(ring_cells(rings, cell), ["cx", "cy"], "left")

@@ -76,7 +76,7 @@ def annual_from_station_years(sy: DataFrame, mapping: DataFrame, stat: str = "su
     return j.groupBy(*GRAIN).agg(*aggs, F.sum("n").alias("observation_count"))
 
 
-def annual_by_county(weather: DataFrame, rings: DataFrame, stat: str = "sum", cell: float = 0.5,
+def annual_by_county(weather: DataFrame, rings: DataFrame, stat: str = "sum", cell: float | str = "auto",
                      holes: str = "fill") -> DataFrame:
     """Geocode + annual aggregate in one plan: the daily table is scanned once (the station-year
     exchange is reused by the geocoding branch)."""

@@ -34,7 +34,7 @@ def station_years(weather_df: DataFrame, checkpoint: bool = True) -> DataFrame:
     return materialize(sy, "station_years") if checkpoint else sy
 
 
-def annual_weather(weather_df: DataFrame, rings: DataFrame, stat: str = "sum", cell: float = 0.5,
+def annual_weather(weather_df: DataFrame, rings: DataFrame, stat: str = "sum", cell: float | str = "auto",
                    holes: str = "fill", fill_avg: bool = True, checkpoint: bool = True,
                    years: tuple[int, int] | None = None) -> DataFrame:
     """A1 (sum) / A2 (avg, with P13's 0.0 fill when ``fill_avg``) per county-year."""
@@ -47,7 +47,7 @@ def annual_weather(weather_df: DataFrame, rings: DataFrame, stat: str = "sum", c
 
 
 def fact_table(weather_df: DataFrame, rings: DataFrame, yields_df: DataFrame, stat: str = "sum",
-               cell: float = 0.5, checkpoint: bool = True, years: tuple[int, int] | None = None,
+               cell: float | str = "auto", checkpoint: bool = True, years: tuple[int, int] | None = None,
                shared: bool = True) -> DataFrame:
     """The 17-column fact table.
 
