@@ -72,3 +72,11 @@ def test_moments(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     r = {x.crop: x for x in stats.moments(df, ["a"], "crop").collect()}
     assert close(r["d"].a_mean, 7 / 3) and close(r["d"].a_stddev, float(np.std([1, 2, 4], ddof=1)))
+
+
+def test_zero_mode_equals_dataframe_stat_corr(spark):
+    rows = [("c", 1.0, 2.0), ("c", 2.0, None), ("c", None, 6.3), ("c", 4.0, 7.0), ("c", 5.0, 9.5), ("c", 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "crop string, a double, y double")
+    ours = stats.pearson(df, ["a"], "y", "crop", "zero").first().pearson
+    assert close(ours, df.stat.corr("a", "y"))
+    assert not close(stats.pearson(df, ["a"], "y", "crop", "pairwise").first().pearson, ours)
