@@ -25,6 +25,7 @@ DIGITS = 6
 SMALL_GBT = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.2}
 SMALL_GRID = {"maxIter": [2, 4], "maxDepth": [2, 3], "stepSize": [0.1, 0.2]}
 MAP_YEAR = 1997
+CELL = flows.FIXTURE_CELL
 HOLDOUT_YEARS = (2000, 2001)
 # The coordinate mapping has one row per distinct station location (2 doubles + 3 short codes);
 # it is broadcast up to this size, checked by counting its materialised rows.
@@ -80,16 +81,16 @@ def _rings(spark, d):
 
 
 def q_geo_mapping(spark, d):
-    return geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True)
+    return geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True, cell=CELL)
 
 
 def q_geo_mapping_known(spark, d):
-    return geo.known(geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True))
+    return geo.known(geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True, cell=CELL))
 
 
 def q_weather_with_county(spark, d):
     w = fixtures.weather_daily(spark, d)
-    mapping = materialize(geo.assign(w, _rings(spark, d), keep_unknown=True), "mapping")
+    mapping = materialize(geo.assign(w, _rings(spark, d), keep_unknown=True, cell=CELL), "mapping")
     m, _ = broadcast_if_small(geo.known(mapping), row_bytes=96, max_bytes=MAPPING_BROADCAST_BYTES)
     return weather.with_year(geo.attach(w, m))
 
@@ -97,18 +98,18 @@ def q_weather_with_county(spark, d):
 def q_annual_sum_direct(spark, d):
     """A1 in the original's order: attach every row, then aggregate."""
     w = fixtures.weather_daily(spark, d)
-    mapping = geo.assign(w, _rings(spark, d), keep_unknown=True)
+    mapping = geo.assign(w, _rings(spark, d), keep_unknown=True, cell=CELL)
     return weather.annual(weather.with_year(geo.attach(w, mapping)), "sum")
 
 
 def q_annual_sum(spark, d):
     w, r, _ = flows.fixture_inputs(spark, d)
-    return flows.annual_weather(w, r, "sum")
+    return flows.annual_weather(w, r, "sum", cell=CELL)
 
 
 def q_annual_avg(spark, d):
     w, r, _ = flows.fixture_inputs(spark, d)
-    return rounded(flows.annual_weather(w, r, "avg"))
+    return rounded(flows.annual_weather(w, r, "avg", cell=CELL))
 
 
 def q_streaming_annual_sum(spark, d):
@@ -116,7 +117,7 @@ def q_streaming_annual_sum(spark, d):
     two files per micro-batch; the final table equals ``annual_sum``."""
     w = fixtures.weather_daily(spark, d)
     src = write_table(w.repartition(8), "weather_files")
-    mapping = materialize(geo.assign(w, _rings(spark, d), keep_unknown=True), "mapping")
+    mapping = materialize(geo.assign(w, _rings(spark, d), keep_unknown=True, cell=CELL), "mapping")
     return streaming_annual.run_to_completion(
         spark, src, w.schema, mapping, scratch_path(spark, "annual_stream_out"),
         scratch_path(spark, "annual_stream_ckpt"), "sum", max_files_per_trigger=2)
@@ -151,7 +152,7 @@ def q_fact_preview(spark, d):
 def q_annual_sum_years(spark, d):
     """F13 pushed to the scan: only 1996-2000 observations are aggregated."""
     w, r, _ = flows.fixture_inputs(spark, d)
-    return flows.annual_weather(w, r, "sum", years=(1996, 2000))
+    return flows.annual_weather(w, r, "sum", cell=CELL, years=(1996, 2000))
 
 
 def q_fact_years(spark, d):
