@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fact, geo, weather, yields
 from ..operators.quality import fill
-from ..sources import county_rings, fixtures
+from ..sources import fixtures
 from .sizing import materialize
 
 
@@ -69,7 +69,7 @@ FIXTURE_CELL = 0.5
 
 def fixture_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (fixtures.weather_daily(spark, sf_dir),
-            county_rings(fixtures.county_features(spark, sf_dir)),
+            fixtures.county_ring_table(spark, sf_dir),
             fixtures.county_yields(spark, sf_dir))
 
 

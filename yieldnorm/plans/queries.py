@@ -77,7 +77,7 @@ def q_src_county_summary(spark, d):
 # ---------------------------------------------------------------- geocoding and weather
 
 def _rings(spark, d):
-    return county_rings(fixtures.county_features(spark, d))
+    return fixtures.county_ring_table(spark, d)
 
 
 def q_geo_mapping(spark, d):

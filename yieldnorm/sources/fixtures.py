@@ -129,6 +129,13 @@ def county_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counties.unionByName(points)
 
 
+@_plan_cache
+def county_ring_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The county features parsed into one row per ring (``sources.county_rings``)."""
+    from .geojson import county_rings
+    return county_rings(county_features(spark, sf_dir))
+
+
 @_plan_cache
 def county_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """County yields report: one row per county, year, commodity and practice."""
