@@ -237,6 +237,7 @@ FROM nation"""
     q["src_county_summary"] = ENRICH + "SELECT * FROM summary"
 
     q["geo_mapping"] = with_(*BASE) + "SELECT * FROM mapping"
+    q["geo_mapping_subtract"] = q["geo_mapping"]
     q["geo_mapping_known"] = with_(*BASE) + "SELECT * FROM known_mapping"
     q["weather_with_county"] = with_(*BASE) + """SELECT w.latitude, w.longitude, w.date, w.precipitation, w.temp_max,
        w.temp_min, w.snow_depth, w.snowfall, m.geo_state_code, m.geo_county_code, m.geo_county_name,
@@ -248,6 +249,9 @@ FROM weather w JOIN known_mapping m ON w.latitude = m.latitude AND w.longitude =
     q["annual_avg"] = with_(*BASE, _annual("avg")) + (
         "SELECT geo_state_code, geo_county_code, geo_county_name, year, "
         + ", ".join(r(f"avg_{m}", f"avg_{m}") for m in MEASURES) + ", observation_count FROM annual_avg")
+    q["annual_avg_unfilled"] = with_(*BASE, _annual("avg").replace("coalesce(avg(w.", "(avg(w.").replace("), 0.0) AS avg_", ")) AS avg_")) + (
+        "SELECT geo_state_code, geo_county_code, geo_county_name, year, "
+        + ", ".join(r(f"avg_{m}", f"avg_{m}") for m in MEASURES) + ", observation_count FROM annual_avg")
     q["yields_prepared"] = with_(YIELDS) + "SELECT * FROM yields_prepared"
     q["fact_sum"] = FACT_SUM + "SELECT * FROM fact_sum"
     q["fact_avg"] = FACT_AVG + f"SELECT {FACT_COLS_AVG_ROUNDED} FROM fact_avg"

@@ -84,6 +84,12 @@ def q_geo_mapping(spark, d):
     return geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True, cell=CELL)
 
 
+def q_geo_mapping_subtract(spark, d):
+    """J1 with holes subtracted (even-odd parity over the rings of each polygon)."""
+    return geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True, holes="subtract",
+                      cell=CELL)
+
+
 def q_geo_mapping_known(spark, d):
     return geo.known(geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True, cell=CELL))
 
@@ -123,6 +129,12 @@ def q_streaming_annual_sum(spark, d):
         scratch_path(spark, "annual_stream_ckpt"), "sum", max_files_per_trigger=2)
 
 
+def q_annual_avg_unfilled(spark, d):
+    """A2 without P13: county-years whose measure is never observed keep a null average."""
+    w, r, _ = flows.fixture_inputs(spark, d)
+    return rounded(flows.annual_weather(w, r, "avg", cell=CELL, fill_avg=False))
+
+
 def q_yields_prepared(spark, d):
     return yields.prepare(fixtures.county_yields(spark, d))
 
