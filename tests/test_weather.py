@@ -62,3 +62,21 @@ def test_fixture_sizes(spark):
     assert f.count() == 136
     assert f.filter("trim(commodity_name) = 'Corn'").count() == 32
     assert f.filter("trim(commodity_name) = 'Corn' and yield_amount is not null").count() == 29
+
+
+def test_hot_station_holding_a_third_of_rows(spark, rings):
+    # one coordinate carries a third of all observations: the station-year partial aggregate
+    # combines it inside each map task, and the county totals stay exact
+    from pyspark.sql import functions as F
+    base = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise((F.col("id") % 50).cast("double") / 10).alias("latitude"),
+        F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise((F.col("id") % 45).cast("double") / 10).alias("longitude"),
+        F.expr("date_add(DATE'2020-01-01', CAST(id % 700 AS INT))").alias("date"),
+        F.col("id").alias("precipitation"), F.lit(None).cast("long").alias("temp_max"),
+        (F.col("id") % 7).alias("temp_min"), F.lit(1).cast("long").alias("snow_depth"),
+        F.lit(None).cast("long").alias("snowfall")).repartition(6)
+    two = flows.annual_weather(base, rings, "sum", cell=0.5)
+    one = weather.annual(weather.with_year(geo.attach(base, geo.assign(base, rings, cell=0.5))), "sum")
+    assert rows(two, one.columns) == rows(one, one.columns)
+    hot = two.filter("geo_county_code = '000'").agg(F.sum("observation_count")).first()[0]
+    assert hot >= 1000

@@ -11,6 +11,7 @@ import io
 import os
 import re
 import sys
+from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -49,12 +50,22 @@ def main() -> None:
     spark = local_session(8)
     parts = [f"# Physical plans of the headline queries\n\nGenerated by `tools/explain_plans.py` at `{sf_dir}` "
              "(AQE initial plans; materialised tables appear as parquet scans of the checkpoint folder).\n"]
+    sections, summary = [], ["| query | shuffles | broadcasts | sort-merge joins | scans |", "| --- | --- | --- | --- | --- |"]
     for name in HEADLINE:
         df = Q.QUERIES[name](spark, sf_dir)
         doc = (Q.QUERIES[name].__doc__ or "").strip().splitlines()
-        parts.append(f"## {name}\n\n{doc[0] if doc else ''}\n\n```\n{plan_text(df)}\n```\n")
+        text = plan_text(df)
+        sections.append(f"## {name}\n\n{doc[0] if doc else ''}\n\n```\n{text}\n```\n")
+        shuffles = text.count("Exchange (") - text.count("BroadcastExchange (")
+        scans = Counter(re.sub(r"-[0-9a-f]{32}$", "", ln.split("Location: ", 1)[1])
+                        for ln in text.splitlines() if "Location: " in ln)
+        scan_s = ", ".join(f"{k} x{v}" if v > 1 else k for k, v in sorted(scans.items()))
+        summary.append(f"| {name} | {shuffles} | {text.count('BroadcastExchange (')} | "
+                       f"{text.count('SortMergeJoin')} | {scan_s} |")
+    parts.append("\n".join(summary) + "\n\nScans named `station_years`, `mapping`, `fact_*`, `model_table` read "
+                 "tables materialised earlier in the same query (small, in the checkpoint folder).\n")
     with open(out, "w") as fh:
-        fh.write("\n".join(parts))
+        fh.write("\n".join(parts + sections))
     print("wrote", out)
 
 
