@@ -78,8 +78,10 @@ def annual_from_station_years(sy: DataFrame, mapping: DataFrame, stat: str = "su
 
 def annual_by_county(weather: DataFrame, rings: DataFrame, stat: str = "sum", cell: float | str = "auto",
                      holes: str = "fill") -> DataFrame:
-    """Geocode + annual aggregate in one plan: the daily table is scanned once (the station-year
-    exchange is reused by the geocoding branch)."""
+    """Geocode + annual aggregate as one lazy plan. Catalyst prunes the geocoding branch to
+    (latitude, longitude), so the two branches do not share the station-year exchange and the
+    daily table is read twice; ``plans.flows.annual_weather`` materialises the station-year table
+    first and reads the daily table once."""
     sy = station_years(weather)
     mapping = assign(sy, rings, cell=cell, keep_unknown=False, holes=holes)
     return annual_from_station_years(sy, mapping, stat)
