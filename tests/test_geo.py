@@ -147,3 +147,17 @@ def test_auto_cell_handles_projected_units(spark):
     pts = spark.createDataFrame([(4010000.0, 560000.0), (4010000.0, 499999.0)], "latitude double, longitude double")
     got = {r.longitude: r.geo_county_name for r in geo.assign(pts, rings).collect()}
     assert got == {560000.0: "M1", 499999.0: "Unknown"}
+
+
+def test_line_delimited_features(spark, tmp_path):
+    # same features, one per line, split over two files: same mapping as the collection
+    d = tmp_path / "lines"
+    d.mkdir()
+    (d / "a.json").write_text("\n".join(json.dumps(f) for f in FEATURES[:3]) + "\n")
+    (d / "b.json").write_text("\n".join(json.dumps(f) for f in FEATURES[3:]) + "\n")
+    rings_l = read_county_rings(spark, str(d), lines=True)
+    assert rings_l.count() == 7
+    pts = spark.createDataFrame([(float(y), float(x)) for x, y in POINTS], "latitude double, longitude double")
+    got = {(r.latitude, r.longitude): (r.geo_state_code, r.geo_county_code, r.geo_county_name)
+           for r in geo.assign(pts, rings_l).collect()}
+    assert got == {(float(y), float(x)): reference_find(x, y, FEATURES) for x, y in POINTS}

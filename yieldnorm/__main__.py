@@ -30,6 +30,8 @@ def build_parser() -> argparse.ArgumentParser:
         s.add_argument("--weather", required=True)
         s.add_argument("--yields", required=True)
         s.add_argument("--counties", required=True, help="GeoJSON FeatureCollection file")
+        s.add_argument("--counties-lines", action="store_true",
+                       help="--counties is line-delimited GeoJSON (one Feature per line; splittable)")
         if name == "training":
             s.add_argument("--crop", default="Corn")
             s.add_argument("--params", default=None, help='JSON, e.g. {"maxIter": 100, "maxDepth": 7}')
@@ -49,11 +51,11 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> dict[str, str]:
     a = build_parser().parse_args(argv)
     if a.analysis == "training":
         years = tuple(int(v) for v in a.years.split(",")) if a.years else None
-        out = notebooks.training(weather(spark, a.weather), read_county_rings(spark, a.counties),
+        out = notebooks.training(weather(spark, a.weather), read_county_rings(spark, a.counties, a.counties_lines),
                                  yields(spark, a.yields), crop=a.crop,
                                  params=json.loads(a.params) if a.params else None, years=years)
     elif a.analysis == "correlation":
-        out = notebooks.correlation(weather(spark, a.weather), read_county_rings(spark, a.counties),
+        out = notebooks.correlation(weather(spark, a.weather), read_county_rings(spark, a.counties, a.counties_lines),
                                     yields(spark, a.yields))
     else:
         out = notebooks.enrichment(anomalies(spark, a.anomalies), county_summary(spark, a.summary),

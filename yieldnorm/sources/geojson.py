@@ -4,7 +4,8 @@ The geometry's ``coordinates`` are read as raw JSON text and parsed with ``from_
 geometry type, so Polygon (rings) and MultiPolygon (polygons of rings) share one schema.
 Output of :func:`county_rings` (one row per ring)::
 
-    ord long          feature position in the file; first feature wins on overlap
+    ord               feature position (long; (file, position) struct for line-delimited input);
+                      the first feature wins on overlap
     state_code str    STATEFP | STATE, zero-filled to 2
     county_code str   COUNTYFP | COUNTY, zero-filled to 3
     county_name str   NAME | COUNTY_NAME | 'Unknown'
@@ -63,6 +64,18 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     ).repartition("ord")
 
 
+def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Features of line-delimited GeoJSON (one Feature object per line, RFC 8142 style): the
+    files split across tasks like any JSON-lines input. ``ord`` is (file path, position), which
+    orders features by file, then by line, for the first-feature-wins rule."""
+    feats = spark.read.schema(FEATURE_SCHEMA).json(path)
+    return feats.select(
+        F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos")).alias("ord"),
+        "properties",
+        "geometry",
+    )
+
+
 def county_rings(features: DataFrame) -> DataFrame:
     """Rings of every Polygon / MultiPolygon feature; other or null geometries are skipped."""
     props = F.col("properties")
@@ -89,5 +102,6 @@ def county_rings(features: DataFrame) -> DataFrame:
                         "ring", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
 
-def read_county_rings(spark: SparkSession, path: str) -> DataFrame:
-    return county_rings(read_features(spark, path))
+def read_county_rings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rings from a FeatureCollection file, or from line-delimited features with ``lines``."""
+    return county_rings(read_feature_lines(spark, path) if lines else read_features(spark, path))
