@@ -24,12 +24,19 @@ _TABLES: dict[tuple[str, str], DataFrame] = {}
 _PLANS: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _app(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # a Spark Connect session has no SparkContext
+        return f"session-{id(spark)}"
+
+
 def _plan_cache(fn):
     """Reuse the lazy DataFrame (the plan, never data) a derivation returns, per application and
     folder: building it again only repeats driver-side work."""
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), fn.__name__)
+        key = (_app(spark), sf_dir.rstrip("/"), fn.__name__)
         df = _PLANS.get(key)
         if df is None:
             df = _PLANS[key] = fn(spark, sf_dir)
@@ -40,7 +47,7 @@ def _plan_cache(fn):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the scan DataFrame is reused within one application (no second file
     listing or footer read), never its data."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = (_app(spark), f"{sf_dir.rstrip('/')}/{name}.parquet")
     df = _TABLES.get(key)
     if df is None:
         df = _TABLES[key] = spark.read.parquet(key[1])
