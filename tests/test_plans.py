@@ -59,3 +59,22 @@ def test_statistics_are_not_windows_over_a_crop(spark):
     for q in (Q.q_crop_zscore, Q.q_pearson, Q.q_linear_predictions):
         p = plan(q(spark, SF0001))
         assert "Window (" not in p
+
+
+def test_broadcast_check_falls_back_to_shuffle_join(spark):
+    from yieldnorm.plans.sizing import broadcast_if_small, materialize
+    w = fixtures.weather_daily(spark, SF0001)
+    rings = county_rings(fixtures.county_features(spark, SF0001))
+    mapping = materialize(geo.known(geo.assign(w, rings, cell=0.5)), "test_mapping")
+    small, hinted = broadcast_if_small(mapping, row_bytes=96, max_bytes=1 << 20)
+    big, not_hinted = broadcast_if_small(mapping, row_bytes=96, max_bytes=1)
+    assert hinted and not not_hinted
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = geo.attach(w, big)
+        p = plan(joined)
+        assert "SortMergeJoin" in p or "ShuffledHashJoin" in p
+        assert joined.count() == geo.attach(w, small).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
