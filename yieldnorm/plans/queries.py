@@ -96,8 +96,9 @@ def q_geo_mapping_known(spark, d):
 
 def q_weather_with_county(spark, d):
     w = fixtures.weather_daily(spark, d)
-    mapping = materialize(geo.assign(w, _rings(spark, d), keep_unknown=True, cell=CELL), "mapping")
-    m, _ = broadcast_if_small(geo.known(mapping), row_bytes=96, max_bytes=MAPPING_BROADCAST_BYTES)
+    # only matched coordinates are needed for the inner attach
+    mapping = materialize(geo.assign(w, _rings(spark, d), keep_unknown=False, cell=CELL), "mapping")
+    m, _ = broadcast_if_small(mapping, row_bytes=96, max_bytes=MAPPING_BROADCAST_BYTES)
     return weather.with_year(geo.attach(w, m))
 
 
