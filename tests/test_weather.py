@@ -80,3 +80,13 @@ def test_hot_station_holding_a_third_of_rows(spark, rings):
     assert rows(two, one.columns) == rows(one, one.columns)
     hot = two.filter("geo_county_code = '000'").agg(F.sum("observation_count")).first()[0]
     assert hot >= 1000
+
+
+def test_text_measures_are_parsed(spark, rings):
+    d = dt.date(2021, 5, 1)
+    w = spark.createDataFrame([(0.5, 0.5, d, "1.5", "x", None, "2", ""), (0.5, 0.5, d, "2.5", "3", None, "n/a", "4")],
+                              "latitude double, longitude double, date date, precipitation string, temp_max string, "
+                              "temp_min string, snow_depth string, snowfall string")
+    out = flows.annual_weather(w, rings.filter("ord = 0"), "sum", cell=0.5).first()
+    assert (out.total_precipitation, out.total_temp_max, out.total_temp_min, out.total_snow_depth,
+            out.total_snowfall, out.observation_count) == (4.0, 3.0, None, 2.0, 4.0, 2)

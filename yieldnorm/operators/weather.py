@@ -41,12 +41,21 @@ def with_year(df: DataFrame, date_col: str = "date") -> DataFrame:
     return df.withColumn("year", year_of(df, date_col))
 
 
+def measure(df: DataFrame, m: str):
+    """A measure column as a number: numeric types as they are; text (as daily feeds often
+    deliver it) through ``try_cast`` to double, so a malformed value counts as missing."""
+    t = df.schema[m].dataType
+    c = F.col(m)
+    return c.try_cast("double") if isinstance(t, StringType) else c
+
+
 def annual(df: DataFrame, stat: str = "sum") -> DataFrame:
     """A1/A2 in one step, on rows that already carry their county (output of ``geo.attach``)."""
     if stat not in STATS:
         raise ValueError(f"stat must be one of {STATS}")
     agg = F.sum if stat == "sum" else F.avg
     d = df if "year" in df.columns else with_year(df)
+    d = d.withColumns({m: measure(d, m) for m in MEASURES})
     return d.groupBy(*GRAIN).agg(
         *[agg(m).alias(out_name(stat, m)) for m in MEASURES],
         F.count(F.lit(1)).alias("observation_count"),
@@ -55,7 +64,8 @@ def annual(df: DataFrame, stat: str = "sum") -> DataFrame:
 
 def station_years(weather: DataFrame) -> DataFrame:
     """Per (latitude, longitude, year): sum and non-null count of each measure, row count."""
-    d = weather.select("latitude", "longitude", year_of(weather).alias("year"), *MEASURES)
+    d = weather.select("latitude", "longitude", year_of(weather).alias("year"),
+                       *[measure(weather, m).alias(m) for m in MEASURES])
     return d.groupBy("latitude", "longitude", "year").agg(
         *[F.sum(m).alias(f"s_{m}") for m in MEASURES],
         *[F.count(m).alias(f"c_{m}") for m in MEASURES],
