@@ -78,3 +78,9 @@ def test_broadcast_check_falls_back_to_shuffle_join(spark):
         assert joined.count() == geo.attach(w, small).count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_year_range_on_text_dates(spark):
+    from yieldnorm.plans import flows
+    df = spark.createDataFrame([("1995-12-31",), ("1996-01-01",), ("2000-12-31",), ("2001-01-01",), ("bad",)], "date string")
+    assert sorted(r.date for r in flows.in_years(df, (1996, 2000)).collect()) == ["1996-01-01", "2000-12-31"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators import fact, geo, weather, yields
 from ..operators.quality import fill
@@ -24,7 +25,11 @@ def in_years(weather_df: DataFrame, years: tuple[int, int] | None, date_col: str
         return weather_df
     lo, hi = years
     d = F.col(date_col)
-    return weather_df.filter((d >= F.lit(f"{lo:04d}-01-01").cast("date")) & (d < F.lit(f"{hi + 1:04d}-01-01").cast("date")))
+    start, end = F.lit(f"{lo:04d}-01-01"), F.lit(f"{hi + 1:04d}-01-01")
+    if not isinstance(weather_df.schema[date_col].dataType, StringType):
+        start, end = start.cast("date"), end.cast("date")
+    # ISO date text compares correctly as text, so that form is pushed down as is (no cast)
+    return weather_df.filter((d >= start) & (d < end))
 
 
 def station_years(weather_df: DataFrame, checkpoint: bool = True) -> DataFrame:
