@@ -1,0 +1,3 @@
+from . import enrich, fact, geo, model, quality, rank, stats, weather, yields
+
+__all__ = ["enrich", "fact", "geo", "model", "quality", "rank", "stats", "weather", "yields"]

@@ -1,0 +1,3 @@
+from . import flows, notebooks, sizing
+
+__all__ = ["flows", "notebooks", "sizing"]
