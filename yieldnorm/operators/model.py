@@ -53,12 +53,13 @@ def pipeline(params: Mapping[str, object] | None = None, features: Sequence[str]
 
 
 def prepare_for_fit(ml: DataFrame, materialized: bool = True) -> DataFrame:
-    """F11 + lineage cut: refuse empty input, then continue from checkpoint files."""
+    """Lineage cut + F11: continue from the table written in the checkpoint folder, and refuse an
+    empty one (checked on the written table, so the lineage behind it runs once)."""
+    if materialized:
+        from ..plans.sizing import materialize
+        ml = materialize(ml, "model_table")
     ensure_not_empty(ml, "model table")
-    if not materialized:
-        return ml
-    from ..plans.sizing import materialize
-    return materialize(ml, "model_table")
+    return ml
 
 
 def split_by_year(ml: DataFrame, test_years: Iterable[int], col: str = "year") -> tuple[DataFrame, DataFrame]:
