@@ -84,3 +84,17 @@ def test_year_range_on_text_dates(spark):
     from yieldnorm.plans import flows
     df = spark.createDataFrame([("1995-12-31",), ("1996-01-01",), ("2000-12-31",), ("2001-01-01",), ("bad",)], "date string")
     assert sorted(r.date for r in flows.in_years(df, (1996, 2000)).collect()) == ["1996-01-01", "2000-12-31"]
+
+
+def test_broadcast_threshold_parsing(spark):
+    from yieldnorm.plans.sizing import broadcast_if_small, broadcast_threshold
+    df = spark.range(3)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for v, want in (("10MB", 10 << 20), ("10m", 10 << 20), ("512k", 512 << 10), ("2g", 2 << 30), ("1048576", 1 << 20),
+                        ("1048576b", 1 << 20), ("-1", -1)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", v)
+            assert broadcast_threshold(df) == want, v
+        assert broadcast_if_small(df, 8, max_bytes=1 << 20) == (df, False)  # disabled stays disabled
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)

@@ -35,23 +35,26 @@ def write_table(df: DataFrame, name: str = "table") -> str:
 
 
 def broadcast_threshold(df: DataFrame) -> int:
-    v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    v = v.strip().lower()
-    mult = 1
-    for suffix, m in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("b", 1)):
-        if v.endswith(suffix):
-            v, mult = v[: -len(suffix)], m
-            break
-    return int(float(v) * mult)
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1 when broadcasting is disabled)."""
+    v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    num = v.rstrip("bkmgt")
+    suffix = v[len(num):].rstrip("b") or "b"
+    return int(float(num) * units[suffix[0]])
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
-    """Broadcast-hint ``df`` only if rows x ``row_bytes`` is within the broadcast threshold.
+    """Broadcast-hint ``df`` only if rows x ``row_bytes`` fits the limit: ``max_bytes`` when
+    given, else the session's broadcast threshold. A session that disables broadcasting
+    (threshold -1) is respected.
 
     ``df`` should be materialised (or cheap to count): the check runs one count job. Above the
-    threshold the frame is returned unhinted and the join stays a shuffle join.
+    limit the frame is returned unhinted and the join stays a shuffle join.
     """
-    limit = broadcast_threshold(df) if max_bytes is None else max_bytes
+    threshold = broadcast_threshold(df)
+    if threshold < 0:
+        return df, False
+    limit = threshold if max_bytes is None else max_bytes
     if limit <= 0:
         return df, False
     rows = df.count()
