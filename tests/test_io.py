@@ -59,3 +59,10 @@ def test_quality_helpers(spark):
         ("g", 1.0), ("g", 1.0), ("h", 5.0), ("h", 5.0)]
     empty = spark.createDataFrame([], "fips string")
     assert quality.match_rate(empty, "fips").first().match_pct is None
+
+
+def test_fill_mean_null_group(spark):
+    by = spark.createDataFrame([(None, 2.0), (None, None), ("g", None), ("g", 4.0)], "k string, v double")
+    got = sorted((r.k or "", r.v) for r in quality.fill_mean(by, ["v"], by=["k"]).collect())
+    assert got == [("", 2.0), ("", 2.0), ("g", 4.0), ("g", 4.0)]
+    assert quality.fill_mean(by, ["v"], by=["k"]).columns == ["k", "v"]

@@ -48,9 +48,10 @@ def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 def fill_mean(df: DataFrame, cols: Iterable[str], by: Iterable[str] | None = None) -> DataFrame:
     """Replace nulls by the column mean (of the whole frame, or per ``by`` group).
 
-    The means come from an aggregate, never from the driver: without ``by`` each mean is a
-    scalar subquery (one partial-aggregated job whose single value enters the plan); with
-    ``by`` the per-group means are joined back on the group keys.
+    The means come from an aggregate, never from the driver: without ``by`` all means are one
+    struct-valued scalar subquery (one partially aggregated job whose single row enters the
+    plan); with ``by`` the per-group means are joined back on the group keys (null keys match,
+    like the group they form).
     """
     cols = list(cols)
     if not by:
@@ -59,10 +60,11 @@ def fill_mean(df: DataFrame, cols: Iterable[str], by: Iterable[str] | None = Non
         out = df.withColumn("__means", means)
         return out.withColumns({c: F.coalesce(F.col(c), F.col("__means").getField(c)) for c in cols}).drop("__means")
     by = list(by)
-    means = df.groupBy(*by).agg(*[F.avg(c).alias(f"__mean_{c}") for c in cols])
-    out = df.join(means, on=by, how="left")
+    means = df.groupBy(*[F.col(k).alias(f"__g_{k}") for k in by]).agg(
+        *[F.avg(c).alias(f"__mean_{c}") for c in cols])
+    out = df.join(means, [df[k].eqNullSafe(means[f"__g_{k}"]) for k in by], "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__mean_{c}")) for c in cols}).drop(
-        *[f"__mean_{c}" for c in cols])
+        *[f"__mean_{c}" for c in cols], *[f"__g_{k}" for k in by])
 
 
 def match_rate(df: DataFrame, col: str = "fips") -> DataFrame:
