@@ -32,7 +32,7 @@ def test_repeated_key_fans_out(spark):
     anom = spark.createDataFrame([(1, "x", "AA", "A")], ANOM)
     assert sorted(r.fips for r in enrich.anomalies_geo(anom, fips).collect()) == ["00001", "00002"]  # T9
     dup = enrich.duplicate_keys(enrich.clean_fips(fips)).first()
-    assert (dup.county, dup.state_abbr, dup.n) == ("X", "AA", 2)
+    assert (dup.county, dup.state_abbr, dup.n, dup.min_fips, dup.max_fips) == ("X", "AA", 2, 1, 2)
 
 
 def test_summary_gets_abbr_from_anomalies(spark):

@@ -36,12 +36,16 @@ def normalize_places(df: DataFrame) -> DataFrame:
 
 def duplicate_keys(fips_clean: DataFrame) -> DataFrame:
     """T9 report: FIPS keys that occur more than once after normalisation (they fan out rows)."""
-    return (fips_clean.groupBy(*JOIN_KEYS).agg(F.count(F.lit(1)).alias("n"), F.collect_set("fips").alias("fips_codes"))
+    return (fips_clean.groupBy(*JOIN_KEYS)
+            .agg(F.count(F.lit(1)).alias("n"), F.min("fips").alias("min_fips"), F.max("fips").alias("max_fips"))
             .filter(F.col("n") > 1))
 
 
 def with_fips(df: DataFrame, fips_clean: DataFrame, keys: Sequence[str] = JOIN_KEYS) -> DataFrame:
-    """J4/J5 (+P26): left join on the keys, null-safe; appends ``fips`` (null when unmatched)."""
+    """J4/J5 (+P26): left join on the keys, null-safe; appends ``fips`` (null when unmatched).
+    An existing ``fips`` column of ``df`` is replaced."""
+    if "fips" in df.columns:
+        df = df.drop("fips")
     right = fips_clean.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("fips"))
     cond = [df[k].eqNullSafe(right[f"__r_{k}"]) for k in keys]
     return df.join(right, cond, "left").drop(*[f"__r_{k}" for k in keys])
