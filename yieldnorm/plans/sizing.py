@@ -27,10 +27,14 @@ def scratch_path(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/yieldnorm-tables/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str = "table") -> str:
-    """Write ``df`` as parquet under the shared checkpoint folder; return the path."""
+def write_table(df: DataFrame, name: str = "table", max_records_per_file: int | None = None) -> str:
+    """Write ``df`` as parquet under the shared checkpoint folder; return the path.
+    ``max_records_per_file`` splits each task's output into several files (no shuffle)."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("error").parquet(path)
+    w = df.write.mode("error")
+    if max_records_per_file:
+        w = w.option("maxRecordsPerFile", int(max_records_per_file))
+    w.parquet(path)
     return path
 
 
