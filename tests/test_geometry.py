@@ -8,17 +8,16 @@ from yieldnorm.functions.geometry import bbox_of_ring, ring_contains, two_d
 
 
 def py_in_ring(lon, lat, ring):
-    """Plain even-odd ray casting, the specification."""
-    n = len(ring)
-    inside = False
-    j = n - 1
-    for i in range(n):
-        xi, yi = ring[i]
-        xj, yj = ring[j]
-        if (yi > lat) != (yj > lat) and lon < (xj - xi) * (lat - yi) / (yj - yi) + xi:
-            inside = not inside
-        j = i
-    return inside
+    """Specification of the even-odd rule: count the edges (vertex, previous vertex) that a ray
+    from the point towards +x crosses; the crossing abscissa uses the same arithmetic order as
+    the Spark expression."""
+    pts = [(p[0], p[1]) for p in ring]
+    pairs = zip(pts, pts[-1:] + pts[:-1])
+    crossings = sum(
+        1 for (xa, ya), (xb, yb) in pairs
+        if (ya > lat) != (yb > lat) and lon < (xb - xa) * (lat - ya) / (yb - ya) + xa
+    )
+    return crossings % 2 == 1
 
 
 def spark_in_ring(spark, ring, points):
