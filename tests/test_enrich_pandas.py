@@ -13,19 +13,28 @@ names = st.one_of(st.none(), st.text(alphabet=ALPHABET, max_size=12))
 abbrs = st.one_of(st.none(), st.sampled_from(["al", " AL", "ak\t", "AK", "zz"]))
 
 
-def pandas_norm_fips(df):
-    df = df.dropna(subset=["state"]).copy()
-    df["county"] = (df["name"].str.upper().str.replace(" COUNTY", "", regex=False)
-                    .str.replace(" PARISH", "", regex=False).str.replace(".", "", regex=False).str.strip())
-    df["state_abbr"] = df["state"].str.upper().str.strip()
-    return df
+def norm_key(value, drop_suffixes=False):
+    """Upper-case, optionally drop ' COUNTY' / ' PARISH', drop dots, strip white space."""
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return None
+    out = value.upper()
+    for suffix in (" COUNTY", " PARISH") if drop_suffixes else ():
+        out = out.replace(suffix, "")
+    return out.replace(".", "").strip()
+
+
+def expected_fips_keys(fips_pd):
+    kept = fips_pd[fips_pd["state"].notna()].copy()
+    kept["county"] = kept["name"].map(lambda v: norm_key(v, drop_suffixes=True))
+    kept["state_abbr"] = kept["state"].map(lambda v: v.upper().strip())
+    return kept[["county", "state_abbr", "fips"]]
 
 
-def pandas_norm_data(df):
-    df = df.copy()
-    df["county"] = df["county"].str.upper().str.replace(".", "", regex=False).str.strip()
-    df["state_abbr"] = df["state_abbr"].str.upper().str.strip()
-    return df
+def expected_data_keys(data_pd):
+    out = data_pd.copy()
+    out["county"] = out["county"].map(norm_key)
+    out["state_abbr"] = out["state_abbr"].map(lambda v: None if v is None else v.upper().strip())
+    return out
 
 
 def canon(v):
@@ -41,8 +50,8 @@ def canon(v):
 def test_with_fips_matches_pandas_merge(spark, fips_rows, data_rows):
     fips_pd = pd.DataFrame([(1000 + i, n, s) for i, (n, s) in enumerate(fips_rows)], columns=["fips", "name", "state"])
     data_pd = pd.DataFrame([(i, n, s) for i, (n, s) in enumerate(data_rows)], columns=["id", "county", "state_abbr"])
-    want = pd.merge(pandas_norm_data(data_pd), pandas_norm_fips(fips_pd)[["county", "state_abbr", "fips"]],
-                    on=["county", "state_abbr"], how="left")
+    # pandas' left merge is the behaviour to match (it pairs missing keys with missing keys)
+    want = pd.merge(expected_data_keys(data_pd), expected_fips_keys(fips_pd), on=["county", "state_abbr"], how="left")
     want_rows = sorted((int(r.id), canon(r.county), canon(r.state_abbr), canon(r.fips)) for r in want.itertuples())
 
     fips_df = spark.createDataFrame([tuple(x) for x in fips_pd.astype(object).itertuples(index=False)],
