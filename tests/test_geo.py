@@ -76,20 +76,28 @@ def test_rings_parsed(rings):
     assert (r6.state_code, r6.county_code, r6.county_name) == ("05", "005", "Unknown")
 
 
-@pytest.mark.parametrize("cell", [0.5, 1.0, 7.0])
-def test_assign_matches_plain_loop(spark, rings, cell):
+@pytest.mark.parametrize("cell,refine", [(0.5, "ring"), (1.0, "ring"), (7.0, "ring"), (0.5, "bands"), (7.0, "bands")])
+def test_assign_matches_plain_loop(spark, rings, cell, refine):
     pts = spark.createDataFrame([(float(y), float(x)) for x, y in POINTS] + [(None, 1.0), (1.0, None)],
                                 "latitude double, longitude double")
     got = {(r.latitude, r.longitude): (r.geo_state_code, r.geo_county_code, r.geo_county_name)
-           for r in geo.assign(pts, rings, cell=cell).collect()}
+           for r in geo.assign(pts, rings, cell=cell, refine=refine).collect()}
     want = {(float(y), float(x)): expected_county(x, y, FEATURES) for x, y in POINTS}
     assert got == want  # null coordinates are dropped (D1)
+    known = {(r.latitude, r.longitude): r.geo_county_name
+             for r in geo.assign(pts, rings, cell=cell, keep_unknown=False, refine=refine).collect()}
+    assert known == {k: v[2] for k, v in want.items() if v[0] != "-1"}
 
 
-def test_holes_subtract(spark, rings):
+@pytest.mark.parametrize("refine", ["ring", "bands"])
+def test_holes_subtract(spark, rings, refine):
     pts = spark.createDataFrame([(1.5, 1.5), (0.5, 0.5)], "latitude double, longitude double")
-    got = {(r.latitude, r.longitude): r.geo_county_name for r in geo.assign(pts, rings, holes="subtract").collect()}
+    got = {(r.latitude, r.longitude): r.geo_county_name
+           for r in geo.assign(pts, rings, holes="subtract", refine=refine).collect()}
     assert got == {(1.5, 1.5): "Unknown", (0.5, 0.5): "Holed"}
+    inner = {(r.latitude, r.longitude): r.geo_county_name
+             for r in geo.assign(pts, rings, holes="subtract", refine=refine, keep_unknown=False).collect()}
+    assert inner == {(0.5, 0.5): "Holed"}
 
 
 def test_attach_inner_and_left(spark, rings):
@@ -127,6 +135,9 @@ def test_rectangles_are_half_open_first_wins(spark, rects, pts):
                                         "x1 double, y1 double")
     p = spark.createDataFrame([(float(y), float(x)) for x, y in pts], "latitude double, longitude double")
     got = {(r.latitude, r.longitude): r.geo_county_name for r in geo.assign(p, rings, cell=0.75).collect()}
+    bands = {(r.latitude, r.longitude): r.geo_county_name
+             for r in geo.assign(p, rings, cell=0.75, refine="bands").collect()}
+    assert bands == got
     for x, y in pts:
         want = "Unknown"
         for i, (x0, y0, w, h) in enumerate(rects):
@@ -164,3 +175,25 @@ def test_line_delimited_features(spark, tmp_path):
     got = {(r.latitude, r.longitude): (r.geo_state_code, r.geo_county_code, r.geo_county_name)
            for r in geo.assign(pts, rings_l).collect()}
     assert got == {(float(y), float(x)): expected_county(x, y, FEATURES) for x, y in POINTS}
+
+
+def test_bands_on_random_polygons(spark):
+    import random
+    rnd = random.Random(11)
+    feats, rows = [], []
+    for i in range(6):
+        ring = [[rnd.uniform(0, 6), rnd.uniform(0, 6)] for _ in range(rnd.randint(5, 25))]
+        ring.append(list(ring[0]))
+        feats.append({"properties": {"STATEFP": "1", "COUNTYFP": str(i), "NAME": f"P{i}"},
+                      "geometry": {"type": "Polygon", "coordinates": [ring]}})
+        xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+        rows.append((i, "01", f"{i:03d}", f"P{i}", 0, 0, ring, min(xs), min(ys), max(xs), max(ys)))
+    rings = spark.createDataFrame(rows, "ord long, state_code string, county_code string, county_name string, "
+                                        "poly_no int, ring_no int, ring array<array<double>>, x0 double, y0 double, "
+                                        "x1 double, y1 double")
+    pts = [(rnd.uniform(-0.5, 6.5), rnd.uniform(-0.5, 6.5)) for _ in range(300)]
+    p = spark.createDataFrame([(y, x) for x, y in pts], "latitude double, longitude double")
+    for cell in (0.3, 2.0):
+        got = {(r.latitude, r.longitude): r.geo_county_name
+               for r in geo.assign(p, rings, cell=cell, refine="bands").collect()}
+        assert got == {(y, x): expected_county(x, y, feats)[2] for x, y in pts}

@@ -49,3 +49,23 @@ def cell_of(v: Column | str, cell: float | Column) -> Column:
     bounding box always falls in a cell the box covers (for any positive cell size)."""
     size = cell if isinstance(cell, Column) else F.lit(float(cell))
     return F.floor(_c(v) / size)
+
+
+def ring_edges(ring: Column | str) -> Column:
+    """The ring's edges as structs (xa, ya) = vertex, (xb, yb) = previous vertex."""
+    r = _c(ring)
+    prev = F.concat(F.slice(r, -1, 1), F.slice(r, 1, F.size(r) - 1))
+    return F.zip_with(r, prev, lambda a, b: F.struct(a[0].alias("xa"), a[1].alias("ya"),
+                                                     b[0].alias("xb"), b[1].alias("yb")))
+
+
+def edges_contain(edges: Column | str, lon: Column | str, lat: Column | str) -> Column:
+    """Even-odd test over a subset of a ring's edges (those that can reach the point's latitude);
+    the same arithmetic as :func:`ring_contains`."""
+    x, y = _c(lon), _c(lat)
+    crossing = F.filter(
+        _c(edges),
+        lambda e: ((e["ya"] > y) != (e["yb"] > y))
+        & (x < (e["xb"] - e["xa"]) * (y - e["ya"]) / F.nullif(e["yb"] - e["ya"], F.lit(0.0)) + e["xa"]),
+    )
+    return (F.size(crossing) % 2) == 1

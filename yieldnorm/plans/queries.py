@@ -91,6 +91,18 @@ def q_geo_mapping_subtract(spark, d):
                       cell=CELL)
 
 
+def q_geo_mapping_bands(spark, d):
+    """J1 refined against the edges of the point's latitude band only (edge index)."""
+    return geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True, refine="bands",
+                      cell=CELL)
+
+
+def q_geo_mapping_ring(spark, d):
+    """J1 refined against whole rings (the alternative to the default edge-band index)."""
+    return geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True, refine="ring",
+                      cell=CELL)
+
+
 def q_geo_mapping_known(spark, d):
     return geo.known(geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True, cell=CELL))
 
