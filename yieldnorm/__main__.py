@@ -69,8 +69,10 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> dict[str, str]:
 
 
 def main() -> None:
+    import sys
+    build_parser().parse_args()  # usage errors and --help exit before a session starts
     spark = SparkSession.builder.appName("yieldnorm").getOrCreate()
-    for name, table in run(spark).items():
+    for name, table in run(spark, sys.argv[1:]).items():
         print(f"{name}\t{table}")
 
 
