@@ -40,3 +40,13 @@ def test_for_year_and_top_counties(spark):
     assert rank.for_year(df, 2020).count() == 3
     top = [(r.fips, r.sum_m) for r in rank.top_counties(df, "m", 2).collect()]
     assert top == [("a", 6.0), ("b", 4.0)]
+
+
+def test_consistency_patterns(spark):
+    rows = [("01", "001", y, "Corn", r) for y, r in zip(range(4), (1.0, 2.0, 3.0, -1.0))] + \
+           [("01", "002", y, "Corn", r) for y, r in zip(range(4), (-1.0, -2.0, -3.0, -4.0))] + \
+           [("01", "003", y, "Corn", r) for y, r in zip(range(2), (1.0, -1.0))] + [("01", "004", 0, "Corn", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.county_code: r.pattern for r in rank.consistency(df, threshold=0.75).collect()}
+    assert got == {"001": "consistent outperformer", "002": "consistent underperformer", "003": "mixed", "004": None}
+    assert "pattern" not in rank.consistency(df).columns

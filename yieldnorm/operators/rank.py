@@ -68,10 +68,15 @@ def classify(df: DataFrame, tol: float = 0.0, col: str = "residual") -> DataFram
 
 
 def consistency(df: DataFrame, by: Sequence[str] = ("state_code", "county_code", "commodity_name"),
-                col: str = "residual") -> DataFrame:
-    """R2: per county and crop, how steadily it beats or trails the weather-based expectation."""
+                col: str = "residual", threshold: float | None = None) -> DataFrame:
+    """R2: per county and crop, how steadily it beats or trails the weather-based expectation.
+
+    With ``threshold`` (e.g. 0.8) a ``pattern`` column labels groups whose share of positive
+    residuals is at least the threshold 'consistent outperformer', at most 1 - threshold
+    'consistent underperformer', else 'mixed' (null without residuals).
+    """
     r = F.col(col)
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         F.count(r).alias("n_years"),
         F.avg(r).alias("mean_residual"),
         F.stddev_samp(r).alias("stddev_residual"),
@@ -79,6 +84,15 @@ def consistency(df: DataFrame, by: Sequence[str] = ("state_code", "county_code",
         F.min(r).alias("min_residual"),
         F.max(r).alias("max_residual"),
     )
+    if threshold is None:
+        return out
+    share = F.col("share_positive")
+    return out.withColumn(
+        "pattern",
+        F.when(share >= threshold, "consistent outperformer")
+        .when(share <= 1 - threshold, "consistent underperformer")
+        .when(share.isNotNull(), "mixed"),
+    )
 
 
 def for_year(df: DataFrame, year: int, col: str = "year") -> DataFrame:

@@ -318,6 +318,15 @@ FROM weather w JOIN known_mapping m ON w.latitude = m.latitude AND w.longitude =
         "round(min(residual), 6) AS min_residual, round(max(residual), 6) AS max_residual "
         "FROM pred GROUP BY state_code, county_code, commodity_name")
 
+    q["residual_patterns"] = LINEAR + (
+        "SELECT state_code, county_code, commodity_name, n_years, round(mr, 6) AS mean_residual, "
+        "round(sr, 6) AS stddev_residual, round(sp, 6) AS share_positive, round(mn, 6) AS min_residual, "
+        "round(mx, 6) AS max_residual, CASE WHEN sp >= 0.75 THEN 'consistent outperformer' "
+        "WHEN sp <= 1 - 0.75 THEN 'consistent underperformer' WHEN sp IS NOT NULL THEN 'mixed' END AS pattern "
+        "FROM (SELECT state_code, county_code, commodity_name, CAST(count(residual) AS BIGINT) AS n_years, "
+        "avg(residual) AS mr, stddev_samp(residual) AS sr, "
+        "avg(CASE WHEN residual IS NOT NULL THEN CAST(residual > 0 AS DOUBLE) END) AS sp, "
+        "min(residual) AS mn, max(residual) AS mx FROM pred GROUP BY state_code, county_code, commodity_name)")
     q["fips_clean"] = ENRICH + "SELECT * FROM fips_clean"
     q["fips_duplicates"] = ENRICH + ("SELECT county, state_abbr, CAST(count(*) AS BIGINT) AS n FROM fips_clean "
                                      "GROUP BY county, state_abbr HAVING count(*) > 1")

@@ -25,6 +25,7 @@ DIGITS = 6
 SMALL_GBT = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.2}
 SMALL_GRID = {"maxIter": [2, 4], "maxDepth": [2, 3], "stepSize": [0.1, 0.2]}
 MAP_YEAR = 1997
+CONSISTENCY_SHARE = 0.75
 STREAM_FILE_ROWS = 20000  # rows per file of the simulated daily feed
 CELL = flows.FIXTURE_CELL
 HOLDOUT_YEARS = (2000, 2001)
@@ -265,6 +266,11 @@ def q_residual_consistency(spark, d):
     return rounded(rank.consistency(_linear(spark, d)))
 
 
+def q_residual_patterns(spark, d):
+    """R2 with labels: consistent out-/under-performers at a 0.75 share of positive residuals."""
+    return rounded(rank.consistency(_linear(spark, d), threshold=CONSISTENCY_SHARE))
+
+
 # ---------------------------------------------------------------- FIPS enrichment
 
 def _fips(spark, d):
