@@ -10,7 +10,7 @@ from .conftest import SF0001
 def test_stream_equals_batch(spark):
     w = fixtures.weather_daily(spark, SF0001)
     rings = county_rings(fixtures.county_features(spark, SF0001))
-    src = write_table(w.repartition(4), "stream_src")
+    src = write_table(w, "stream_src", max_records_per_file=1500)  # several files, no shuffle
     mapping = materialize(geo.assign(w, rings), "stream_mapping")
     out_dir, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
     got = annual.run_to_completion(spark, src, w.schema, mapping, out_dir, ckpt, "sum", max_files_per_trigger=1)
