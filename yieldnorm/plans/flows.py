@@ -1,9 +1,12 @@
-"""End-to-end plans: the three analyses of the original, as lazy DataFrames.
+"""Shared flows of the analyses, with their materialisation points.
 
+* ``in_years``         the year range as a date predicate that reaches the scan
+* ``station_years``    the one scan of the daily table, pre-aggregated and materialised
 * ``annual_weather``   geocode stations, aggregate weather per county-year (sum or avg)
 * ``fact_table``       annual weather x prepared yields, 17-column layout
-* correlation / model / enrichment entry points live in their operator modules and take the
-  fact table or the anomaly tables produced here.
+
+``plans.notebooks`` composes these with the statistics, model and enrichment operators into the
+three analyses of the original.
 """
 
 from __future__ import annotations
