@@ -34,7 +34,8 @@ def heavy_winners(rows: DataFrame, order: list[str], heavy: int = HEAVY, tracked
     """digest, win (struct of ``order``), n: exact for each frequent digest of ``rows`` (digest, *order)."""
     part = rows.groupBy((F.spark_partition_id() % MERGE_GROUPS).alias("g")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("s"))
-    listed = part.agg(F.expr("approx_top_k_combine(s)").alias("s")).select(
+    # grouped by a value that is always 0: a global merge fails on partitions without rows
+    listed = part.groupBy(F.col("g") % 1).agg(F.expr("approx_top_k_combine(s)").alias("s")).select(
         F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("t")).select(F.col("t.item").alias("digest"))
     found = rows.join(F.broadcast(listed), "digest", "left_semi")
     return found.groupBy("digest").agg(F.max(F.struct(*order)).alias("win"), F.count(F.lit(1)).alias("n")).filter("n > 1")
