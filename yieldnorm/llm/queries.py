@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, secrets, sharding, token_count, toxicity
+from . import embed_dedup, exact_dedup, minhash, mixing, packing, quality, secret_scan, sharding, token_count, toxicity
 from .common import read_table
 
 
@@ -17,11 +17,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     base = F.filter("spans", lambda s: s["kind"] != "random")
-    return found.select("doc_id", *[F.size(secrets.of_kind("spans", k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
-                        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
-                        secrets.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[F.size(secret_scan.of_kind("spans", k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS],
+                        F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("spans")).alias("spans"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("class_id").alias("component_id"), "kept", "class_size")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
