@@ -115,9 +115,10 @@ def source_totals(sized: DataFrame, max_sources: int = MAX_SOURCES) -> tuple[lis
     return [r.source for r in got], [r.w for r in got], [r.n for r in got]
 
 
-def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = SEED) -> DataFrame:
-    """doc_id, source, size and the hash that permutes a source's documents."""
-    return docs.select(docs[key].alias("doc_id"), docs[source].cast("string").alias("source"),
+def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = SEED,
+          more: list[str] = ()) -> DataFrame:
+    """doc_id, source, size and the hash that permutes a source's documents (and the columns ``more``)."""
+    return docs.select(*more, docs[key].alias("doc_id"), docs[source].cast("string").alias("source"),
                        words(docs[text].cast("string")).alias("size"),
                        F.xxhash64(F.lit(seed), docs[key], docs[text].cast("string")).alias("h"))
 
@@ -191,6 +192,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = MOST,
     return out.withColumn("shards", shard_lookup(plan)(F.col("pieces.block"), F.col("source_no")))
 
 
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = MOST, block_words: int = BLOCK_WORDS,
+                  shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, text: str = "text", key: str = "doc_id",
+                  source: str = "source") -> DataFrame:
+    """The mix as rows of ``docs``, all their columns: documents stay whole, each as often as its pieces make up,
+    rounded (only the last document of a source's line has a fraction). Rows lie in the order of a hash within a task,
+    which holds stretches of many sources: the local shuffle."""
+    ship(docs.sparkSession)
+    sized = sizes(docs.withColumn("_doc", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), text, key, source, seed, ["_doc"])
+    names, size, counts = source_totals(sized)
+    plan = make_plan(names, size, weights, share, most, block_words, shard_blocks, seed)
+    rows = lines(sized, plan, counts).withColumn("pieces", pieces(block_words, most))
+    rows = rows.withColumn("shards", shard_lookup(plan)(F.col("pieces.block"), F.col("source_no")))
+    times = F.round(taken() / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    rows = rows.withColumn("times", times).filter("times > 0")
+    rows = rows.select("_doc", F.posexplode(F.array_repeat(F.col("shards")[0], F.col("times"))).alias("copy", "shard"), "h")
+    rows = rows.sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "copy", "h"))
+    return rows.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+
+
 def taken() -> Column:
     """Words the mix takes of a document, repeats counted, from its pieces."""
     return F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"])

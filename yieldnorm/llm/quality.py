@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, DoubleType
@@ -22,7 +22,7 @@ from pyspark.sql.types import BinaryType, DoubleType
 from ..plans.sizing import materialize
 from .common import mix64, remainder, ship, slices, text_or_empty, utf8, word_bounds, word_hashes
 
-MAX_FIT, PAIRS, CUT, FOLDS, SEED = 20_000, 100_000, 0.3, 5, 11
+MAX_FIT, PAIRS, CUT, FOLDS, SEED = 20_000, 40_000, 0.3, 5, 11
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -129,11 +129,23 @@ def scorer(x: np.ndarray, y: np.ndarray, cut: float = CUT, seed: int = SEED):
     return w, float(np.log(cut / (1 - cut)) - (s[k - 1] + s[k]) / 2)
 
 
-def score_column(w: np.ndarray, offset: float) -> Column:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",
+        cut: float = CUT, max_fit: int = MAX_FIT):
+    """A function column that scores texts, from the labels of the learning folds. The labelled rows used, at most
+    ``max_fit``, are broadcast to the documents; their vectors come to the driver."""
+    ship(docs.sparkSession)
+    known = labels.select(labels[key].alias("doc_id"), labels[label].cast("int").alias("y")).filter("y in (0, 1)")
+    known = known.filter(remainder(F.col("doc_id"), FOLDS) != 0).groupBy("doc_id").agg(F.min("y").alias("y"))
+    known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit), "labels")
+    base = docs.select(docs[key].alias("doc_id"), text_or_empty(docs, text).alias("text"))
+    rows = base.join(F.broadcast(known), "doc_id").select("doc_id", "y", vectors("text").alias("x"))
+    rows = rows.groupBy("doc_id").agg(F.first("x").alias("x"), F.first("y").alias("y")).orderBy("doc_id").collect()
+    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), WIDTH).astype(float)
+    w, offset = scorer(x, np.array([r.y for r in rows], int), cut)
+
     @arrow_udf(DoubleType())
-    def score(vectors: pa.Array) -> pa.Array:
-        x = np.frombuffer(b"".join(vectors.to_pylist()), np.float32).reshape(len(vectors), WIDTH)
-        return pa.array(1 / (1 + np.exp(-np.clip(x @ w + offset, -500, 500))))
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(1 / (1 + np.exp(-np.clip(features(texts).astype(float) @ w + offset, -500, 500))))
 
     return score
 
@@ -142,13 +154,13 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
              cut: float = CUT, max_fit: int = MAX_FIT) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out (crc32 of doc_id modulo FOLDS is 0; such labels aren't learned),
     score, predicted."""
-    ship(docs.sparkSession)
-    made = materialize(docs.select(docs[key].alias("doc_id"), vectors(text_or_empty(docs, text)).alias("x")), "features")
-    known = labels.select(labels[key].alias("doc_id"), labels[label].cast("int").alias("y")).filter("y in (0, 1)")
-    known = known.filter(remainder(F.col("doc_id"), FOLDS) != 0).groupBy("doc_id").agg(F.min("y").alias("y"))
-    rows = (made.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit).select("x", "y").collect())
-    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), WIDTH).astype(float)
-    w, offset = scorer(x, np.array([r.y for r in rows], int), cut)
-    out = made.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"),
-                      score_column(w, offset)("x").alias("score"))
+    score = fit(docs, labels, text, key, label, cut, max_fit)
+    out = docs.select(docs[key].alias("doc_id"), (remainder(docs[key], FOLDS) == 0).alias("held_out"),
+                      score(text_or_empty(docs, text)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",
+             cut: float = CUT, max_fit: int = MAX_FIT) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``cut``, with all their columns."""
+    return docs.filter(fit(docs, labels, text, key, label, cut, max_fit)(text_or_empty(docs, text)) >= cut)
