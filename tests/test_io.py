@@ -22,7 +22,7 @@ def test_fips_fixture_roundtrip_through_csv(spark, tmp_path):
     back = read_fips(spark, str(tmp_path / "out"))
     key = lambda r: (r.fips, r.name, r.state)
     assert sorted(map(key, back.collect())) == sorted(map(key, fips.collect()))
-    assert back.na.drop(subset=["state"]).count() == 21
+    assert back.na.drop(subset=["state"]).count() == 23
 
 
 def test_weather_reader_checks_and_prunes(spark, tmp_path):

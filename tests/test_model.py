@@ -33,7 +33,8 @@ def test_empty_input_refused(spark):
 
 def test_ml_table_shape(ml):
     assert ml.count() == 29
-    assert ml.columns == ["state_code", "county_code", "year", "commodity_name", "yield_amount", *model.FEATURES]
+    assert ml.columns == ["state_code", "county_code", "year", "commodity_name", "irrigation_practice_code", "yield_amount",
+                          *model.FEATURES]
     assert ml.filter("total_temp_max is null or yield_amount is null").count() == 0
 
 
@@ -103,5 +104,5 @@ def test_holdout_split_and_parity_view(spark, ml):
     assert train.count() + test.count() == ml.count()
     assert test.filter("year != 1999").count() == 0
     pred = model.predict(model.fit(train, SMALL), test)
-    assert rank.layout(pred, with_state=False).columns == list(rank.PREDICTION_COLUMNS[1:])
-    assert len(rank.PREDICTION_COLUMNS[1:]) == 12
+    assert rank.layout(pred, with_state=False).columns == list(rank.PARITY_COLUMNS)
+    assert len(rank.PARITY_COLUMNS) == 12

@@ -5,6 +5,7 @@ import io
 
 from yieldnorm.operators import geo, weather
 from yieldnorm.plans import queries as Q
+from yieldnorm.plans.sizing import materialize
 from yieldnorm.sources import county_rings, fixtures
 
 from .conftest import SF0001
@@ -26,12 +27,16 @@ def test_station_years_is_partially_aggregated_and_pruned(spark):
 
 def test_point_in_polygon_has_no_nested_loop_or_cartesian(spark):
     w = fixtures.weather_daily(spark, SF0001)
-    rings = county_rings(fixtures.county_features(spark, SF0001))
+    rings = materialize(county_rings(fixtures.county_features(spark, SF0001)), "rings")
     for keep in (True, False):
-        p = plan(geo.assign(w, rings, keep_unknown=keep))
-        assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
-        assert p.count("Scan parquet spark_catalog") == 0
-        assert p.count("lineitem.parquet") == 1  # the coordinates are read once
+        for refine in ("bands", "ring"):
+            p = plan(geo.assign(w, rings, keep_unknown=keep, refine=refine))
+            assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
+            # the coordinates are read once (before the plan, where unmatched points are joined back)
+            assert p.count("lineitem.parquet") == (0 if keep else 1)
+            # only that last join keeps unmatched rows: no null ring id reaches a join
+            assert p.count("Join LeftOuter (") == (1 if keep else 0)
+            assert "nation.parquet" not in p  # the rings are parsed before, once
 
 
 def test_attach_broadcasts_the_checked_mapping(spark):

@@ -32,10 +32,12 @@ def build_parser() -> argparse.ArgumentParser:
         s.add_argument("--counties", required=True, help="GeoJSON FeatureCollection file")
         s.add_argument("--counties-lines", action="store_true",
                        help="--counties is line-delimited GeoJSON (one Feature per line; splittable)")
+        s.add_argument("--years", default=None, help="first,last (filter pushed to the scan)")
         if name == "training":
             s.add_argument("--crop", default="Corn")
             s.add_argument("--params", default=None, help='JSON, e.g. {"maxIter": 100, "maxDepth": 7}')
-            s.add_argument("--years", default=None, help="first,last (filter pushed to the scan)")
+        else:
+            s.add_argument("--crops", default=None, help="comma-separated crop names as in the yields table, or 'all'")
     e = sub.add_parser("enrichment")
     e.add_argument("--anomalies", required=True)
     e.add_argument("--summary", required=True)
@@ -49,14 +51,15 @@ def build_parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, argv: list[str] | None = None) -> dict[str, str]:
     """Run the analysis; return {result name: table written}."""
     a = build_parser().parse_args(argv)
+    years = tuple(int(v) for v in a.years.split(",")) if getattr(a, "years", None) else None
     if a.analysis == "training":
-        years = tuple(int(v) for v in a.years.split(",")) if a.years else None
         out = notebooks.training(weather(spark, a.weather), read_county_rings(spark, a.counties, a.counties_lines),
                                  yields(spark, a.yields), crop=a.crop,
                                  params=json.loads(a.params) if a.params else None, years=years)
     elif a.analysis == "correlation":
+        chosen = {} if a.crops is None else {"crops": None if a.crops == "all" else a.crops.split(",")}
         out = notebooks.correlation(weather(spark, a.weather), read_county_rings(spark, a.counties, a.counties_lines),
-                                    yields(spark, a.yields))
+                                    yields(spark, a.yields), years=years, **chosen)
     else:
         out = notebooks.enrichment(anomalies(spark, a.anomalies), county_summary(spark, a.summary),
                                    read_fips(spark, a.fips))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.codes import fips5, norm_abbr, norm_county
 
 JOIN_KEYS = ("county", "state_abbr")
+# Fixed value: the padded code of rows that matched no county.
+UNMATCHED = "00000"
 
 
 def clean_fips(fips: DataFrame) -> DataFrame:
@@ -56,6 +58,13 @@ def pad(df: DataFrame, col: str = "fips") -> DataFrame:
     return df.withColumn(col, fips5(col))
 
 
+def matched(df: DataFrame, key: Sequence[str] = ("fips",)) -> DataFrame:
+    """Rows that belong to a county: every key column is set and is not the unmatched code."""
+    for k in key:
+        df = df.filter(F.col(k).isNotNull() & (F.col(k).cast("string") != UNMATCHED))
+    return df
+
+
 def state_lookup(df: DataFrame) -> DataFrame:
     """A10: state -> state_abbr from the enriched rows. A state with two abbreviations raises
     when the lookup is evaluated (inside the plan, no separate job)."""
@@ -99,8 +108,13 @@ def summary_enriched(summary: DataFrame, anomalies: DataFrame, fips: DataFrame)
 
 def map_table(df: DataFrame, metric: str | None = None, agg: str = "count",
               keys: Sequence[str] = ("fips", "year")) -> DataFrame:
-    """One row per 5-character FIPS and year, ready for a choropleth."""
-    if agg == "count" or metric is None:
+    """One row per 5-character FIPS and year, ready for a choropleth. Unmatched rows are left
+    out (A11 reports them). With a ``metric``, ``agg`` is applied to it (``count``: non-null
+    values); without one the rows are counted."""
+    df = matched(df, [k for k in keys if k == "fips"])
+    if metric is None:
+        if agg != "count":
+            raise ValueError(f"agg={agg!r} needs a metric")
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    fn = {"sum": F.sum, "avg": F.avg, "max": F.max}[agg]
+    fn = {"sum": F.sum, "avg": F.avg, "max": F.max, "count": F.count}[agg]
     return df.groupBy(*keys).agg(fn(metric).alias(f"{agg}_{metric}"), F.count(F.lit(1)).alias("n_rows"))

@@ -75,20 +75,17 @@ def edge_bands(rings: DataFrame, band: float) -> DataFrame:
     return e.groupBy(*RING_ID, *CODES, "band").agg(F.collect_list("e").alias("edges"))
 
 
-def _refine(cand: DataFrame, rings: DataFrame, refine: str, cell: float, how: str) -> DataFrame:
-    """Attach geometry to candidates and compute ``inside`` (ring id columns may be null with
-    ``how="left"``)."""
+def _refine(cand: DataFrame, rings: DataFrame, refine: str, cell: float) -> DataFrame:
+    """The candidates (ring ids are never null) whose ring holds the point."""
     if refine == "ring":
         geom = rings.select(*RING_ID, "ring", *CODES)
-        j = cand.join(geom, list(RING_ID), how)
-        return j.withColumn("inside", F.col("ring").isNotNull() & ring_contains("ring", "longitude", "latitude")
-                            ).drop("ring")
+        j = cand.join(geom, list(RING_ID))
+        return j.filter(ring_contains("ring", "longitude", "latitude")).drop("ring")
     if refine == "bands":
         band = cell / BANDS_PER_CELL
         c = cand.withColumn("band", cell_of("latitude", band))
-        j = c.join(edge_bands(rings, band), [*RING_ID, "band"], how)
-        return j.withColumn("inside", F.col("edges").isNotNull() & edges_contain("edges", "longitude", "latitude")
-                            ).drop("edges", "band")
+        j = c.join(edge_bands(rings, band), [*RING_ID, "band"])
+        return j.filter(edges_contain("edges", "longitude", "latitude")).drop("edges", "band")
     raise ValueError("refine must be 'ring' or 'bands'")
 
 
@@ -120,7 +117,7 @@ def containing_rings(points: DataFrame, rings: DataFrame, cell: float | str = "a
         raise ValueError("holes must be 'fill' or 'subtract'")
     cell = cell_size(rings, cell)
     cand = candidates(points, rings, cell)
-    hits = _refine(cand, rings, refine, cell, "inner").filter("inside").drop("inside")
+    hits = _refine(cand, rings, refine, cell)
     keys = ["latitude", "longitude", "ord", *CODES]
     if holes == "subtract":
         hits = (hits.groupBy(*keys, "poly_no").agg(F.count(F.lit(1)).alias("n"))
@@ -137,50 +134,19 @@ def assign(points: DataFrame, rings: DataFrame, cell: float | str = "auto", keep
     otherwise only matched coordinates are returned.
     """
     pts = distinct_points(points)
-    cell = cell_size(rings, cell)
-    if keep_unknown:
-        return _assign_all(pts, rings, cell, holes, refine)
+    if keep_unknown:  # used twice below: written once (a row per station), so that the input is read once
+        from ..plans.sizing import materialize
+        pts = materialize(pts, "points")
     hits = containing_rings(pts, rings, cell, holes, refine)
     first = hits.groupBy("latitude", "longitude").agg(
         F.min(F.struct("ord", "state_code", "county_code", "county_name")).alias("m"))
-    return first.select(
-        "latitude", "longitude",
-        F.col("m.state_code").alias("geo_state_code"),
-        F.col("m.county_code").alias("geo_county_code"),
-        F.col("m.county_name").alias("geo_county_name"),
-    )
-
-
-def _assign_all(pts: DataFrame, rings: DataFrame, cell: float | str, holes: str, refine: str = "bands") -> DataFrame:
-    """``assign`` keeping unmatched coordinates, reading the coordinates once: outer joins keep
-    points without candidates, and a conditional ``min`` per point picks the first containing
-    county (null when there is none, then the sentinel)."""
-    if holes not in ("fill", "subtract"):
-        raise ValueError("holes must be 'fill' or 'subtract'")
-    cell = cell_size(rings, cell)
-    p = pts.select("latitude", "longitude",
-                   cell_of("longitude", cell).alias("cx"), cell_of("latitude", cell).alias("cy"))
-    c = p.join(ring_cells(rings, cell), ["cx", "cy"], "left")
-    in_box = (F.col("longitude").between(F.col("x0"), F.col("x1"))
-              & F.col("latitude").between(F.col("y0"), F.col("y1")))
-    # candidates outside the box keep their point but lose their ring id (no geometry match)
-    c = c.select("latitude", "longitude",
-                 *[F.when(in_box, F.col(k)).alias(k) for k in ("ord", "poly_no", "ring_no")])
-    j = _refine(c, rings, refine, cell, "left")
-    inside = F.col("inside")
-    county = F.struct("ord", "state_code", "county_code", "county_name")
-    if holes == "fill":
-        first = j.groupBy("latitude", "longitude").agg(F.min(F.when(inside, county)).alias("m"))
-    else:
-        per_poly = j.groupBy("latitude", "longitude", "ord", "poly_no", "state_code", "county_code", "county_name").agg(
-            F.count_if(inside).alias("n"))
-        first = per_poly.groupBy("latitude", "longitude").agg(
-            F.min(F.when(F.col("n") % 2 == 1, county)).alias("m"))
-    s, c_, n = UNKNOWN
+    if keep_unknown:
+        first = pts.join(first, ["latitude", "longitude"], "left")
+    s, c, n = UNKNOWN if keep_unknown else (None, None, None)
     return first.select(
         "latitude", "longitude",
         F.coalesce(F.col("m.state_code"), F.lit(s)).alias("geo_state_code"),
-        F.coalesce(F.col("m.county_code"), F.lit(c_)).alias("geo_county_code"),
+        F.coalesce(F.col("m.county_code"), F.lit(c)).alias("geo_county_code"),
         F.coalesce(F.col("m.county_name"), F.lit(n)).alias("geo_county_name"),
     )
 
@@ -190,15 +156,13 @@ def known(mapping: DataFrame) -> DataFrame:
     return mapping.filter(F.col("geo_state_code") != UNKNOWN[0])
 
 
-def attach(df: DataFrame, mapping: DataFrame, keep_unknown: bool = False, broadcast: bool = False) -> DataFrame:
+def attach(df: DataFrame, mapping: DataFrame, keep_unknown: bool = False) -> DataFrame:
     """J2 (+F1): attach the county of each row's (latitude, longitude).
 
     Without ``keep_unknown`` this is an inner join against the known part of the mapping, which
-    is what the original left join followed by ``!= '-1'`` optimises to. Pass ``broadcast=True``
-    only after checking the mapping's size (see ``plans.sizing.broadcast_if_small``); otherwise
-    the planner and AQE choose the strategy from sizes they measure.
+    is what the original left join followed by ``!= '-1'`` optimises to. The planner and AQE
+    choose the strategy from sizes they measure; ``plans.sizing.broadcast_if_small`` hints a
+    broadcast of a mapping whose size was checked.
     """
     m = mapping if keep_unknown else known(mapping)
-    if broadcast:
-        m = F.broadcast(m)
     return df.join(m, ["latitude", "longitude"], "left" if keep_unknown else "inner")

@@ -34,7 +34,7 @@ def ml_table(fact: DataFrame, crop: str = "Corn", features: Sequence[str] = FEAT
              keep_state: bool = True) -> DataFrame:
     """P24 + F2 + F4 + P14: one crop (name compared after trim), labelled rows only, null
     features filled with 0.0 (the original's choice; inspect ``quality.null_counts`` first)."""
-    keys = (["state_code"] if keep_state else []) + ["county_code", "year", "commodity_name"]
+    keys = (["state_code"] if keep_state else []) + ["county_code", "year", "commodity_name", "irrigation_practice_code"]
     t = (fact.filter(F.trim(F.col("commodity_name")) == F.lit(crop))
          .select(*keys, label, *features)
          .filter(F.col(label).isNotNull()))
@@ -67,12 +67,16 @@ def split_by_year(ml: DataFrame, test_years: Iterable[int], col: str = "year") -
     the default scoring stays in-sample like the original."""
     years = list(test_years)
     is_test = F.col(col).isin(years)
-    return ml.filter(~is_test), ml.filter(is_test)
+    train, test = ml.filter(~is_test), ml.filter(is_test)
+    ensure_not_empty(train, "training part")
+    ensure_not_empty(test, "held-out part")
+    return train, test
 
 
 def fit(ml: DataFrame, params: Mapping[str, object] | None = None, features: Sequence[str] = FEATURES,
         label: str = LABEL, seed: int = SEED) -> PipelineModel:
-    """M3."""
+    """M3 (+F11: an empty table raises)."""
+    ensure_not_empty(ml, "table to fit")
     return pipeline(params, features, label, seed).fit(ml)
 
 
@@ -116,6 +120,7 @@ def grid(ml: DataFrame, param_grid: Mapping[str, Sequence] = PARAM_GRID, feature
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.sql import SparkSession
+    ensure_not_empty(ml, "table to fit")
     spark = SparkSession.getActiveSession()
     names = list(param_grid)
     iters = sorted(param_grid["maxIter"])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
-from .geo import assign, attach, known
+from .geo import attach, known
 
 # The five daily measures and the grain of the annual table.
 MEASURES = ("precipitation", "temp_max", "temp_min", "snow_depth", "snowfall")
@@ -73,6 +73,12 @@ def station_years(weather: DataFrame) -> DataFrame:
     )
 
 
+def merge_station_years(sy: DataFrame) -> DataFrame:
+    """Station-years of several parts (same columns, repeated keys) summed to one row per key."""
+    parts = [c for c in sy.columns if c not in ("latitude", "longitude", "year")]
+    return sy.groupBy("latitude", "longitude", "year").agg(*[F.sum(c).alias(c) for c in parts])
+
+
 def annual_from_station_years(sy: DataFrame, mapping: DataFrame, stat: str = "sum") -> DataFrame:
     """Second step: attach counties to station-years and re-aggregate per county-year."""
     if stat not in STATS:
@@ -84,14 +90,3 @@ def annual_from_station_years(sy: DataFrame, mapping: DataFrame, stat: str = "su
         aggs = [F.try_divide(F.sum(f"s_{m}").cast("double"), F.sum(f"c_{m}")).alias(out_name(stat, m))
                 for m in MEASURES]
     return j.groupBy(*GRAIN).agg(*aggs, F.sum("n").alias("observation_count"))
-
-
-def annual_by_county(weather: DataFrame, rings: DataFrame, stat: str = "sum", cell: float | str = "auto",
-                     holes: str = "fill") -> DataFrame:
-    """Geocode + annual aggregate as one lazy plan. Catalyst prunes the geocoding branch to
-    (latitude, longitude), so the two branches do not share the station-year exchange and the
-    daily table is read twice; ``plans.flows.annual_weather`` materialises the station-year table
-    first and reads the daily table once."""
-    sy = station_years(weather)
-    mapping = assign(sy, rings, cell=cell, keep_unknown=False, holes=holes)
-    return annual_from_station_years(sy, mapping, stat)

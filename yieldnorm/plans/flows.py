@@ -47,6 +47,8 @@ def annual_weather(weather_df: DataFrame, rings: DataFrame, stat: str = "sum", c
                    years: tuple[int, int] | None = None, refine: str = "bands") -> DataFrame:
     """A1 (sum) / A2 (avg, with P13's 0.0 fill when ``fill_avg``) per county-year."""
     sy = station_years(in_years(weather_df, years), checkpoint)
+    if checkpoint:  # parsed once; J1 reads the rings in several branches, joined on stable ids
+        rings = materialize(rings, "rings")
     mapping = geo.assign(sy, rings, cell=cell, keep_unknown=False, holes=holes, refine=refine)
     ann = weather.annual_from_station_years(sy, mapping, stat)
     if stat == "avg" and fill_avg:

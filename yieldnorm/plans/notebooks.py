@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from .. import sinks
 from ..operators import enrich, model, quality, rank, stats
 from . import flows
+from .sizing import materialize
 
 
 def training(weather_df: DataFrame, rings: DataFrame, yields_df: DataFrame, crop: str = "Corn",
@@ -23,7 +24,7 @@ def training(weather_df: DataFrame, rings: DataFrame, yields_df: DataFrame, crop
     f = flows.fact_table(weather_df, rings, yields_df, "sum", years=years)
     ml = model.prepare_for_fit(model.ml_table(f, crop))
     m = model.fit(ml, params)
-    pred = rank.layout(model.predict(m, ml))
+    pred = materialize(rank.layout(model.predict(m, ml)), "predictions")  # scored once for all outputs
     out = {
         "fact": f,
         "fact_null_counts": quality.null_counts(f),
@@ -42,9 +43,11 @@ def training(weather_df: DataFrame, rings: DataFrame, yields_df: DataFrame, crop
 
 
 def correlation(weather_df: DataFrame, rings: DataFrame, yields_df: DataFrame,
-                crops: Sequence[str] | None = (" Corn", " Soybeans"), nulls: str = "zero") -> dict[str, DataFrame]:
-    """Annual averages -> fact table -> per-crop z-scores and Pearson correlations."""
-    f = flows.fact_table(weather_df, rings, yields_df, "avg")
+                crops: Sequence[str] | None = (" Corn", " Soybeans"), nulls: str = "zero",
+                years: tuple[int, int] | None = None) -> dict[str, DataFrame]:
+    """Annual averages -> fact table -> per-crop z-scores and Pearson correlations, of the given
+    crops (None: all) and years."""
+    f = flows.fact_table(weather_df, rings, yields_df, "avg", years=years)
     sel = f
     if crops:
         from pyspark.sql import functions as F
@@ -61,8 +64,8 @@ def enrichment(anomalies: DataFrame, summary: DataFrame, fips: DataFrame, save:
                table_format: str = "parquet", anomalies_table: str = "flagged_anomalies_geo",
                summary_table: str = "county_summary_geo") -> dict[str, DataFrame]:
     """FIPS codes for the anomaly and county-summary tables, with match reports."""
-    a = enrich.anomalies_enriched(anomalies, fips)
-    s = enrich.summary_enriched(summary, anomalies, fips)
+    a = materialize(enrich.anomalies_enriched(anomalies, fips), "anomalies")  # joined once for all outputs
+    s = materialize(enrich.summary_enriched(summary, anomalies, fips), "summary")
     a_geo, s_geo = enrich.pad(a), enrich.pad(s)
     out = {
         "anomalies_geo": a_geo,

@@ -28,26 +28,49 @@ WEATHER = """weather AS (
          CASE WHEN l.l_linestatus = 'F' THEN CAST(l.l_linenumber AS BIGINT) * 2 END AS snowfall
   FROM lineitem l JOIN station st ON l.l_suppkey = st.s_suppkey)"""
 
-# every county: the unit square at (k % 5, k // 5) with two corners cut; closed ring of 7 vertices
-GEO = """pts AS (
+# every county: the unit square at (k % 5, k // 5) with two corners cut, some wider, some with a hole or an island
+RINGS = """shape AS (
+  SELECT n.n_nationkey AS ord, 0 AS poly_no, 0 AS ring_no, v.i, 7 AS n_points,
+         CAST(n.n_nationkey % 5 AS DOUBLE) + v.dx + CASE WHEN v.far AND n.n_nationkey % 6 = 1 THEN 0.35::DOUBLE ELSE 0 END AS x,
+         CAST(n.n_nationkey // 5 AS DOUBLE) + v.dy AS y
+  FROM nation n CROSS JOIN (VALUES (0, 0.25::DOUBLE, 0.0::DOUBLE, false), (1, 1.0::DOUBLE, 0.0::DOUBLE, true),
+       (2, 1.0::DOUBLE, 0.75::DOUBLE, true), (3, 0.75::DOUBLE, 1.0::DOUBLE, true), (4, 0.0::DOUBLE, 1.0::DOUBLE, false),
+       (5, 0.0::DOUBLE, 0.25::DOUBLE, false), (6, 0.25::DOUBLE, 0.0::DOUBLE, false)) v(i, dx, dy, far)
+  UNION ALL
+  SELECT n.n_nationkey, 0, 1, v.i, 5, CAST(n.n_nationkey % 5 AS DOUBLE) + v.dx, CAST(n.n_nationkey // 5 AS DOUBLE) + v.dy
+  FROM nation n CROSS JOIN (VALUES (0, 0.25::DOUBLE, 0.25::DOUBLE), (1, 0.75::DOUBLE, 0.25::DOUBLE),
+       (2, 0.75::DOUBLE, 0.75::DOUBLE), (3, 0.25::DOUBLE, 0.75::DOUBLE), (4, 0.25::DOUBLE, 0.25::DOUBLE)) v(i, dx, dy)
+  WHERE n.n_nationkey % 3 = 1
+  UNION ALL
+  SELECT n.n_nationkey, 1, 0, v.i, 5, CAST(n.n_nationkey % 5 AS DOUBLE) + v.dx, v.y
+  FROM nation n CROSS JOIN (VALUES (0, 0.25::DOUBLE, 5.05::DOUBLE), (1, 0.75::DOUBLE, 5.05::DOUBLE),
+       (2, 0.75::DOUBLE, 5.35::DOUBLE), (3, 0.25::DOUBLE, 5.35::DOUBLE), (4, 0.25::DOUBLE, 5.05::DOUBLE)) v(i, dx, y)
+  WHERE n.n_nationkey % 4 = 3)"""
+
+
+def _geo(holes: str) -> str:
+    """Mapping with a hole counted as inside (fill) or outside (subtract) of its polygon."""
+    if holes == "fill":
+        hits = "SELECT DISTINCT latitude, longitude, ord FROM in_ring"
+    else:
+        hits = ("SELECT DISTINCT latitude, longitude, ord FROM (SELECT latitude, longitude, ord, poly_no FROM in_ring "
+                "GROUP BY ALL HAVING count(*) % 2 = 1)")
+    return f"""pts AS (
   SELECT DISTINCT latitude, longitude FROM weather
   WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)),
-verts AS (
-  SELECT n.n_nationkey AS ord, v.i,
-         CAST(n.n_nationkey % 5 AS DOUBLE) + v.dx AS x, CAST(n.n_nationkey // 5 AS DOUBLE) + v.dy AS y
-  FROM nation n CROSS JOIN (VALUES (0, 0.25::DOUBLE, 0.0::DOUBLE), (1, 1.0::DOUBLE, 0.0::DOUBLE),
-       (2, 1.0::DOUBLE, 0.75::DOUBLE), (3, 0.75::DOUBLE, 1.0::DOUBLE), (4, 0.0::DOUBLE, 1.0::DOUBLE),
-       (5, 0.0::DOUBLE, 0.25::DOUBLE), (6, 0.25::DOUBLE, 0.0::DOUBLE)) v(i, dx, dy)),
+{RINGS},
 edges AS (
-  SELECT a.ord, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj
-  FROM verts a JOIN verts b ON a.ord = b.ord AND b.i = CASE WHEN a.i = 0 THEN 6 ELSE a.i - 1 END),
-hits AS (
-  SELECT p.latitude, p.longitude, e.ord
+  SELECT a.ord, a.poly_no, a.ring_no, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj
+  FROM shape a JOIN shape b ON a.ord = b.ord AND a.poly_no = b.poly_no AND a.ring_no = b.ring_no
+   AND b.i = CASE WHEN a.i = 0 THEN a.n_points - 1 ELSE a.i - 1 END),
+in_ring AS (
+  SELECT p.latitude, p.longitude, e.ord, e.poly_no, e.ring_no
   FROM pts p CROSS JOIN edges e
-  GROUP BY p.latitude, p.longitude, e.ord
+  GROUP BY ALL
   HAVING sum(CASE WHEN ((e.yi > p.latitude) <> (e.yj > p.latitude))
                    AND (p.longitude < (e.xj - e.xi) * (p.latitude - e.yi) / NULLIF(e.yj - e.yi, 0) + e.xi)
                   THEN 1 ELSE 0 END) % 2 = 1),
+hits AS ({hits}),
 firsthit AS (SELECT latitude, longitude, min(ord) AS ord FROM hits GROUP BY latitude, longitude),
 known_mapping AS (
   SELECT f.latitude, f.longitude, lpad(CAST(n.n_regionkey AS VARCHAR), 2, '0') AS geo_state_code,
@@ -59,6 +82,9 @@ mapping AS (
   FROM pts p LEFT JOIN known_mapping m ON p.latitude = m.latitude AND p.longitude = m.longitude)"""
 
 
+GEO = _geo("fill")
+
+
 def _annual(stat: str) -> str:
     if stat == "sum":
         aggs = ",\n         ".join(f"CAST(sum(w.{m}) AS BIGINT) AS total_{m}" for m in MEASURES)
@@ -161,6 +187,10 @@ ENRICH = with_("""fips AS (
          substr(r.r_name, 1, 2) AS state
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey % 7 <> 0
   UNION ALL
+  SELECT CAST(r.r_regionkey * 1000 + 500 + n.n_nationkey AS BIGINT) AS fips, lower(n.n_name) || ' county.' AS name,
+         substr(r.r_name, 1, 2) AS state
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey % 11 = 5
+  UNION ALL
   SELECT CAST(r_regionkey * 1000 AS BIGINT) AS fips, r_name AS name, CAST(NULL AS VARCHAR) AS state FROM region)""",
                f"""fips_clean AS (
   SELECT fips, name, state,
@@ -226,19 +256,27 @@ def oracle() -> dict[str, str]:
     q: dict[str, str] = {}
     q["src_weather"] = with_(STATION, WEATHER) + "SELECT * FROM weather"
     q["src_yields"] = with_(YIELDS.split(",\nyields_prepared")[0]) + "SELECT * FROM yields"
-    q["src_county_rings"] = """SELECT CAST(n_nationkey AS BIGINT) AS ord, lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS state_code,
-       lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS county_code, n_name AS county_name, 0 AS poly_no, 0 AS ring_no,
-       7 AS n_points, CAST(n_nationkey % 5 AS DOUBLE) AS x0, CAST(n_nationkey // 5 AS DOUBLE) AS y0,
-       CAST(n_nationkey % 5 AS DOUBLE) + 1.0 AS x1, CAST(n_nationkey // 5 AS DOUBLE) + 1.0 AS y1
-FROM nation"""
+    q["src_county_rings"] = with_(RINGS) + """SELECT CAST(s.ord AS BIGINT) AS ord, lpad(CAST(n.n_regionkey AS VARCHAR), 2, '0') AS state_code,
+       lpad(CAST(n.n_nationkey AS VARCHAR), 3, '0') AS county_code, n.n_name AS county_name, s.poly_no, s.ring_no,
+       s.n_points, min(s.x) AS x0, min(s.y) AS y0, max(s.x) AS x1, max(s.y) AS y1
+FROM shape s JOIN nation n ON s.ord = n.n_nationkey
+GROUP BY s.ord, n.n_regionkey, n.n_nationkey, n.n_name, s.poly_no, s.ring_no, s.n_points"""
+    q["src_county_rings_file"] = q["src_county_rings"]
+    # a line-delimited file carries no position: the feature's place is its file and line
+    q["src_county_rings_lines"] = with_(RINGS) + """SELECT lpad(CAST(n.n_regionkey AS VARCHAR), 2, '0') AS state_code,
+       lpad(CAST(n.n_nationkey AS VARCHAR), 3, '0') AS county_code, n.n_name AS county_name, s.poly_no, s.ring_no,
+       s.n_points, min(s.x) AS x0, min(s.y) AS y0, max(s.x) AS x1, max(s.y) AS y1
+FROM shape s JOIN nation n ON s.ord = n.n_nationkey
+GROUP BY n.n_regionkey, n.n_nationkey, n.n_name, s.poly_no, s.ring_no, s.n_points"""
     q["src_fips"] = ENRICH + "SELECT fips, name, state FROM fips"
     q["src_fips_csv"] = q["src_fips"]
     q["src_anomalies"] = ENRICH + "SELECT * FROM anomalies"
     q["src_county_summary"] = ENRICH + "SELECT * FROM summary"
 
     q["geo_mapping"] = with_(*BASE) + "SELECT * FROM mapping"
-    q["geo_mapping_subtract"] = q["geo_mapping"]
+    q["geo_mapping_subtract"] = with_(STATION, WEATHER, _geo("subtract")) + "SELECT * FROM mapping"
     q["geo_mapping_bands"] = q["geo_mapping"]
+    q["geo_mapping_auto"] = q["geo_mapping"]
     q["geo_mapping_ring"] = q["geo_mapping"]
     q["geo_mapping_known"] = with_(*BASE) + "SELECT * FROM known_mapping"
     q["weather_with_county"] = with_(*BASE) + """SELECT w.latitude, w.longitude, w.date, w.precipitation, w.temp_max,
@@ -279,7 +317,7 @@ FROM weather w JOIN known_mapping m ON w.latitude = m.latitude AND w.longitude =
     q["pearson"] = _pearson_sql("zero")
     q["pearson_pairwise"] = _pearson_sql("pairwise")
 
-    ml_select = ("state_code, county_code, year, commodity_name, yield_amount, "
+    ml_select = ("state_code, county_code, year, commodity_name, irrigation_practice_code, yield_amount, "
                  + ", ".join(f"coalesce({f}, 0) AS {f}" for f in FEATURES))
     q["ml_table"] = FACT_SUM + (f"SELECT {ml_select} FROM fact_sum "
                                 "WHERE trim(commodity_name) = 'Corn' AND yield_amount IS NOT NULL")
@@ -311,22 +349,20 @@ FROM weather w JOIN known_mapping m ON w.latitude = m.latitude AND w.longitude =
     q["residual_class"] = LINEAR + (
         f"SELECT {PRED_COLS}, CASE WHEN residual > 5.0 THEN 'outperform' WHEN residual < -5.0 THEN 'underperform' "
         "WHEN residual IS NOT NULL THEN 'aligned' END AS performance FROM pred")
-    q["residual_consistency"] = LINEAR + (
-        "SELECT state_code, county_code, commodity_name, CAST(count(residual) AS BIGINT) AS n_years, "
-        "round(avg(residual), 6) AS mean_residual, round(stddev_samp(residual), 6) AS stddev_residual, "
-        "round(avg(CASE WHEN residual IS NOT NULL THEN CAST(residual > 0 AS DOUBLE) END), 6) AS share_positive, "
-        "round(min(residual), 6) AS min_residual, round(max(residual), 6) AS max_residual "
-        "FROM pred GROUP BY state_code, county_code, commodity_name")
-
-    q["residual_patterns"] = LINEAR + (
-        "SELECT state_code, county_code, commodity_name, n_years, round(mr, 6) AS mean_residual, "
-        "round(sr, 6) AS stddev_residual, round(sp, 6) AS share_positive, round(mn, 6) AS min_residual, "
-        "round(mx, 6) AS max_residual, CASE WHEN sp >= 0.75 THEN 'consistent outperformer' "
-        "WHEN sp <= 1 - 0.75 THEN 'consistent underperformer' WHEN sp IS NOT NULL THEN 'mixed' END AS pattern "
-        "FROM (SELECT state_code, county_code, commodity_name, CAST(count(residual) AS BIGINT) AS n_years, "
-        "avg(residual) AS mr, stddev_samp(residual) AS sr, "
-        "avg(CASE WHEN residual IS NOT NULL THEN CAST(residual > 0 AS DOUBLE) END) AS sp, "
-        "min(residual) AS mn, max(residual) AS mx FROM pred GROUP BY state_code, county_code, commodity_name)")
+    # one residual per county, crop and year (the mean over irrigation practices), then a county's years
+    by_year = (LINEAR.rstrip("\n") + ",\nby_year AS (SELECT state_code, county_code, commodity_name, year, avg(residual) AS res "
+               "FROM pred GROUP BY ALL),\n"
+               "steady AS (SELECT state_code, county_code, commodity_name, count(DISTINCT year) FILTER (WHERE res IS NOT NULL) AS n_years, "
+               "avg(res) AS mean_residual, stddev_samp(res) AS stddev_residual, "
+               "CAST(count(*) FILTER (WHERE res > 0) AS DOUBLE) / NULLIF(count(res), 0) AS share_positive, "
+               "min(res) AS min_residual, max(res) AS max_residual FROM by_year GROUP BY ALL)\n")
+    cols = ("state_code, county_code, commodity_name, n_years, round(mean_residual, 6) AS mean_residual, "
+            "round(stddev_residual, 6) AS stddev_residual, round(share_positive, 6) AS share_positive, "
+            "round(min_residual, 6) AS min_residual, round(max_residual, 6) AS max_residual")
+    q["residual_consistency"] = by_year + f"SELECT {cols} FROM steady"
+    q["residual_patterns"] = by_year + (
+        f"SELECT {cols}, CASE WHEN share_positive >= 0.75 THEN 'consistent outperformer' WHEN share_positive <= 0.25 "
+        "THEN 'consistent underperformer' WHEN share_positive IS NOT NULL THEN 'mixed' END AS pattern FROM steady")
     q["fips_clean"] = ENRICH + "SELECT * FROM fips_clean"
     q["fips_duplicates"] = ENRICH + ("SELECT county, state_abbr, CAST(count(*) AS BIGINT) AS n FROM fips_clean "
                                      "GROUP BY county, state_abbr HAVING count(*) > 1")
@@ -339,9 +375,31 @@ FROM weather w JOIN known_mapping m ON w.latitude = m.latitude AND w.longitude =
     q["county_summary_geo"] = ENRICH + ("SELECT state, county, n_anomalies, state_abbr, "
                                         "lpad(CAST(coalesce(fips, 0) AS VARCHAR), 5, '0') AS fips FROM summary_enriched")
     q["summary_match_rate"] = ENRICH + rate + "summary_enriched"
-    q["anomaly_map"] = ENRICH + "SELECT fips, year, CAST(count(*) AS BIGINT) AS n_rows FROM anomalies_geo GROUP BY fips, year"
-    q["anomaly_map_year"] = ENRICH + ("SELECT fips, year, CAST(count(*) AS BIGINT) AS n_rows FROM anomalies_geo "
-                                      f"WHERE year = {MAP_YEAR} GROUP BY fips, year")
-    q["top10_counties"] = ENRICH + ("SELECT fips, CAST(count(c_custkey) AS BIGINT) AS count_c_custkey FROM anomalies_geo "
-                                    "GROUP BY fips ORDER BY count_c_custkey DESC NULLS LAST, fips ASC LIMIT 10")
+    # only rows with a FIPS code belong to a county; the others are reported by anomalies_unmatched
+    code = "lpad(CAST(fips AS VARCHAR), 5, '0')"
+    q["anomaly_map"] = ENRICH + (f"SELECT {code} AS fips, year, CAST(count(*) AS BIGINT) AS n_rows FROM anom_enriched "
+                                 "WHERE fips IS NOT NULL GROUP BY ALL")
+    q["anomaly_map_year"] = ENRICH + (f"SELECT {code} AS fips, year, CAST(count(*) AS BIGINT) AS n_rows FROM anom_enriched "
+                                      f"WHERE fips IS NOT NULL AND year = {MAP_YEAR} GROUP BY ALL")
+    q["top10_counties"] = ENRICH + (f"SELECT {code} AS fips, CAST(count(c_custkey) AS BIGINT) AS count_c_custkey "
+                                    "FROM anom_enriched WHERE fips IS NOT NULL GROUP BY ALL "
+                                    "ORDER BY count_c_custkey DESC, fips ASC LIMIT 10")
+
+    # ---- boosted trees: what must hold of any fit, from the data
+    corn = FACT_SUM.rstrip("\n") + ",\ncorn AS (SELECT * FROM fact_sum WHERE trim(commodity_name) = 'Corn' AND yield_amount IS NOT NULL)\n"
+    keys = "state_code, county_code, year, commodity_name, irrigation_practice_code, round(yield_amount, 6) AS yield_amount"
+    q["gbt_prediction_rows"] = corn + f"SELECT {keys}, true AS predicted, true AS residual_is_difference FROM corn"
+    q["gbt_by_crop_rows"] = FACT_SUM + (f"SELECT {keys}, true AS predicted, true AS residual_is_difference FROM fact_sum "
+                                        "WHERE yield_amount IS NOT NULL")
+    q["gbt_importance_sum"] = "SELECT CAST(6 AS BIGINT) AS n_features, true AS all_between_0_and_1, CAST(1.0 AS DOUBLE) AS total"
+    q["gbt_grid_points"] = """SELECT CAST(row_number() OVER (ORDER BY a.i, d.i, s.i) - 1 AS INTEGER) AS grid_pos, a.v AS maxIter,
+       d.v AS maxDepth, s.v AS stepSize, true AS rmse_not_above_fewer_trees
+FROM (VALUES (0, 50), (1, 100), (2, 200)) a(i, v) CROSS JOIN (VALUES (0, 3), (1, 5), (2, 7)) d(i, v)
+CROSS JOIN (VALUES (0, 0.05::DOUBLE), (1, 0.1::DOUBLE), (2, 0.2::DOUBLE)) s(i, v)"""
+    q["gbt_best_is_least"] = "SELECT CAST(1 AS BIGINT) AS n_best, true AS least_rmse"
+
+    # ---- sinks: written, read back
+    q["sink_table"] = q["fact_sum"]
+    q["sink_table_replaced"] = q["county_summary_geo"]
+    q["sink_parquet"] = q["fact_years"]
     return q

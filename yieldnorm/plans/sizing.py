@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -22,9 +23,52 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(write_table(df, name))
 
 
-def scratch_path(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/yieldnorm-tables/{name}-{uuid.uuid4().hex}"
+_CLEANED: set[str] = set()  # run folders whose removal at exit is arranged
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder under the shared checkpoint folder; it goes when Python exits, or
+    by ``remove_scratch``."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/yieldnorm-tables/{spark.sparkContext.applicationId}"
+    if path not in _CLEANED:
+        _CLEANED.add(path)
+        atexit.register(_remove_quietly, *_hadoop(spark, path))
+    return path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the run's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; DataFrames over them can't be read any more."""
+    fs, path = _hadoop(spark, run_folder(spark))
+    fs.delete(path, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def _remove_quietly(fs, path) -> None:
+    try:
+        fs.delete(path, True)
+    except Exception:  # the JVM is gone: the folder stays, as after a crash
+        pass
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, p = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def write_table(df: DataFrame, name: str = "table", max_records_per_file: int | None = None) -> str:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,17 +36,14 @@ def local_session(cpus: int | str = "*", app: str = "yieldnorm", shuffle_partiti
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    local_checkpoints(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, making sure the SparkContext uses it.
-
-    The folder is taken from the session (``spark.checkpoint.dir`` or an already-set context
-    directory). Only a local-mode session without either gets a private temporary folder; on a
-    cluster an unset value is an error, because a machine-local folder does not survive the loss
-    of an executor.
-    """
+    """The shared checkpoint folder, making sure the SparkContext uses it: ``spark.checkpoint.dir``
+    or an already-set context directory. An unset value is an error, because a machine-local folder
+    does not survive the loss of an executor; see ``local_checkpoints`` for local sessions."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server's configuration names the folder
@@ -56,8 +56,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
-        configured = tempfile.mkdtemp(prefix="yieldnorm-ckpt-")
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def local_checkpoints(spark: SparkSession) -> None:
+    """Gives a local-mode session (``local``, ``local[...]``) that names no checkpoint folder a private
+    temporary one, removed when Python exits. For tests, bench and the driver's entry points."""
+    sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        return
+    if sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return
+    folder = tempfile.mkdtemp(prefix="yieldnorm-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)

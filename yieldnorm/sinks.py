@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def save_table(df: DataFrame, name: str, fmt: str = "parquet", overwrite_schema: bool = True,
-               partition_by: Sequence[str] | None = None) -> None:
-    """K1/K2/K5: overwrite a catalog table (optionally partitioned, e.g. by year)."""
+               partition_by: Sequence[str] | None = None, path: str | None = None) -> None:
+    """K1/K2/K5: overwrite a catalog table (optionally partitioned, e.g. by year; with ``path`` its
+    files lie there instead of the warehouse)."""
     w = df.write.format(fmt).mode("overwrite")
+    if path is not None:
+        w = w.option("path", path)
     if overwrite_schema and fmt == "delta":
         w = w.option("overwriteSchema", "true")
     if partition_by:

@@ -18,43 +18,11 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 CROP_OF_SEGMENT = {"BUILDING": " Corn", "MACHINERY": " Soybeans"}
 
 
-import functools
-
-_TABLES: dict[tuple[str, str], DataFrame] = {}
-_PLANS: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _app(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # a Spark Connect session has no SparkContext
-        return f"session-{id(spark)}"
-
-
-def _plan_cache(fn):
-    """Reuse the lazy DataFrame (the plan, never data) a derivation returns, per application and
-    folder: building it again only repeats driver-side work."""
-    @functools.wraps(fn)
-    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (_app(spark), sf_dir.rstrip("/"), fn.__name__)
-        df = _PLANS.get(key)
-        if df is None:
-            df = _PLANS[key] = fn(spark, sf_dir)
-        return df
-    return wrapper
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the scan DataFrame is reused within one application (no second file
-    listing or footer read), never its data."""
-    key = (_app(spark), f"{sf_dir.rstrip('/')}/{name}.parquet")
-    df = _TABLES.get(key)
-    if df is None:
-        df = _TABLES[key] = spark.read.parquet(key[1])
-    return df
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@_plan_cache
 def station(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One station per supplier; every 29th has no latitude."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
@@ -67,10 +35,10 @@ def station(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_plan_cache
-def weather_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily observations: one per lineitem, located at its supplier's station."""
-    li = table(spark, sf_dir, "lineitem").select(
+def weather_daily(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """Daily observations: one per lineitem (or row of the given table or stream), located at its
+    supplier's station."""
+    li = (lineitem if lineitem is not None else table(spark, sf_dir, "lineitem")).select(
         "l_suppkey", "l_quantity", "l_extendedprice", "l_linenumber", "l_returnflag",
         "l_linestatus", "l_shipdate")
     st = station(spark, sf_dir)
@@ -94,25 +62,34 @@ def _vertex(x: Column, y: Column, alt: Column) -> Column:
     return F.when(alt, F.array(x, y, F.lit(100.0))).otherwise(F.array(x, y))
 
 
-@_plan_cache
 def county_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GeoJSON features as (ord, properties, geometry{type, coordinates as JSON text}).
 
     One county per nation: the unit square at (k % 5, k div 5) with its low-left and up-right
-    corners cut by 0.25. Even keys use STATEFP/COUNTYFP/NAME, odd keys STATE/COUNTY/COUNTY_NAME;
-    every fourth county is a one-part MultiPolygon; every third carries an altitude. One Point
-    feature per region follows the counties and must be skipped.
+    corners cut by 0.25. Every sixth county (k % 6 = 1) reaches 0.35 into its right neighbour;
+    every third (k % 3 = 1) has a hole in the middle; every fourth (k % 4 = 3) is a MultiPolygon
+    whose second part is an island north of the grid. Even keys use STATEFP/COUNTYFP/NAME, odd
+    keys STATE/COUNTY/COUNTY_NAME; every third carries an altitude. One Point feature per region
+    follows the counties and must be skipped.
     """
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     k = F.col("n_nationkey")
     cx = (k % 5).cast("double")
     cy = F.floor(k / 5).cast("double")
     alt = (k % 3) == 0
-    ring = F.array(
-        _vertex(cx + 0.25, cy, alt), _vertex(cx + 1.0, cy, alt), _vertex(cx + 1.0, cy + 0.75, alt),
-        _vertex(cx + 0.75, cy + 1.0, alt), _vertex(cx, cy + 1.0, alt), _vertex(cx, cy + 0.25, alt),
-        _vertex(cx + 0.25, cy, alt),
-    )
+    right = cx + F.when((k % 6) == 1, F.lit(1.35)).otherwise(F.lit(1.0))
+
+    def ring_of(*xy):
+        return F.array(*[_vertex(x, y, alt) for x, y in xy])
+
+    def square(x0, y0, x1, y1):
+        return ring_of((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))
+
+    outer = ring_of((cx + 0.25, cy), (right, cy), (right, cy + 0.75), (right - 0.25, cy + 1.0), (cx, cy + 1.0),
+                    (cx, cy + 0.25), (cx + 0.25, cy))
+    hole = square(cx + 0.25, cy + 0.25, cx + 0.75, cy + 0.75)
+    island = square(cx + 0.25, F.lit(5.05), cx + 0.75, F.lit(5.35))
+    polygon = F.when((k % 3) == 1, F.array(outer, hole)).otherwise(F.array(outer))
     multi = (k % 4) == 3
     region_s = F.col("n_regionkey").cast("string")
     key_s = k.cast("string")
@@ -124,7 +101,7 @@ def county_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     geometry = F.struct(
         F.when(multi, F.lit("MultiPolygon")).otherwise(F.lit("Polygon")).alias("type"),
-        F.when(multi, F.to_json(F.array(F.array(ring)))).otherwise(F.to_json(F.array(ring))).alias("coordinates"),
+        F.when(multi, F.to_json(F.array(polygon, F.array(island)))).otherwise(F.to_json(polygon)).alias("coordinates"),
     )
     counties = n.select(k.cast(LongType()).alias("ord"), props.alias("properties"), geometry.alias("geometry"))
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -136,14 +113,12 @@ def county_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counties.unionByName(points)
 
 
-@_plan_cache
 def county_ring_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The county features parsed into one row per ring (``sources.county_rings``)."""
     from .geojson import county_rings
     return county_rings(county_features(spark, sf_dir))
 
 
-@_plan_cache
 def county_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """County yields report: one row per county, year, commodity and practice."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
@@ -173,9 +148,9 @@ def county_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_plan_cache
 def fips_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIPS list: nations (every 7th left out) plus one state-level row per region (null state)."""
+    """FIPS list: nations (every 7th left out, every 11th from 5 on listed twice under one key) plus
+    one state-level row per region (null state)."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     k = F.col("n_nationkey")
@@ -189,12 +164,21 @@ def fips_master(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.substring("r_name", 1, 2).alias("state"),
         )
     )
+    again = (
+        n.filter(k % 11 == 5)
+        .join(r, n.n_regionkey == r.r_regionkey)
+        .select(
+            (F.col("r_regionkey") * 1000 + 500 + k).cast(LongType()).alias("fips"),
+            F.concat(F.lower("n_name"), F.lit(" county.")).alias("name"),
+            F.substring("r_name", 1, 2).alias("state"),
+        )
+    )
     states = r.select(
         (F.col("r_regionkey") * 1000).cast(LongType()).alias("fips"),
         F.col("r_name").alias("name"),
         F.lit(None).cast("string").alias("state"),
     )
-    return counties.unionByName(states)
+    return counties.unionByName(again).unionByName(states)
 
 
 def _customer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +192,6 @@ def _customer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_plan_cache
 def flagged_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anomaly rows (customers with a negative balance) with raw, unnormalised place names."""
     p = _customer_places(spark, sf_dir)
@@ -221,7 +204,6 @@ def flagged_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_plan_cache
 def county_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (state, county) of the anomaly places, with the number of anomalies."""
     p = _customer_places(spark, sf_dir)

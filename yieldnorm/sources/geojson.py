@@ -16,7 +16,7 @@ Output of :func:`county_rings` (one row per ring)::
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, MapType, StringType,
                                StructField, StructType)
@@ -53,9 +53,13 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     """Features of a FeatureCollection file: (ord, properties, geometry).
 
     The collection is one JSON document, so one task parses it; the features are then
-    spread over ``spark.sql.shuffle.partitions`` partitions before any geometry work.
+    spread over ``spark.sql.shuffle.partitions`` partitions before any geometry work. A file
+    that is cut off or no FeatureCollection raises.
     """
-    fc = spark.read.schema(COLLECTION_SCHEMA).option("multiLine", True).json(path)
+    fc = spark.read.schema(COLLECTION_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    whole = (F.col("type") == "FeatureCollection") & F.col("features").isNotNull()
+    fc = fc.select(F.when(whole, F.col("features")).otherwise(
+        F.raise_error(F.concat(F.lit("not a FeatureCollection: "), F.input_file_name()))).alias("features"))
     feats = fc.select(F.posexplode("features").alias("ord", "f"))
     return feats.select(
         F.col("ord").cast(LongType()).alias("ord"),
@@ -68,7 +72,7 @@ def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
     """Features of line-delimited GeoJSON (one Feature object per line, RFC 8142 style): the
     files split across tasks like any JSON-lines input. ``ord`` is (file path, position), which
     orders features by file, then by line, for the first-feature-wins rule."""
-    feats = spark.read.schema(FEATURE_SCHEMA).json(path)
+    feats = spark.read.schema(FEATURE_SCHEMA).option("mode", "FAILFAST").json(path)
     return feats.select(
         F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos")).alias("ord"),
         "properties",
@@ -76,16 +80,31 @@ def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _sound(polygons: Column) -> Column:
+    """Every polygon, ring and point is there, and a point has two finite ordinates or more."""
+    def point(p):
+        return p.isNotNull() & (F.size(p) >= 2) & F.forall(p, lambda o: o.isNotNull() & (F.abs(o) < float("inf")))
+
+    def all_of(test):
+        return lambda a: a.isNotNull() & F.forall(a, test)
+
+    return F.coalesce(all_of(all_of(all_of(point)))(polygons), F.lit(False))
+
+
 def county_rings(features: DataFrame) -> DataFrame:
-    """Rings of every Polygon / MultiPolygon feature; other or null geometries are skipped."""
+    """Rings of every Polygon / MultiPolygon feature; other or null geometries are skipped. A
+    polygon whose coordinates don't parse, or hold a missing or non-finite ordinate, raises."""
     props = F.col("properties")
     gtype = F.col("geometry.type")
     coords = F.col("geometry.coordinates")
-    polygons = (
+    parsed = (
         F.when(gtype == "Polygon", F.array(F.from_json(coords, _POLYGON)))
         .when(gtype == "MultiPolygon", F.from_json(coords, _MULTI))
     )
-    feats = features.filter(gtype.isin("Polygon", "MultiPolygon")).select(
+    wanted = F.coalesce(gtype.isin("Polygon", "MultiPolygon"), F.lit(False))
+    polygons = F.when(~wanted, F.lit(None)).when(_sound(parsed), parsed).otherwise(F.raise_error(F.concat(
+        F.lit("bad coordinates in feature "), F.coalesce(F.to_json("properties"), F.lit("null")), F.lit(": "), F.coalesce(F.substring(coords, 1, 200), F.lit("null")))))
+    feats = features.filter(wanted).select(
         "ord",
         zfill(first_key(props, STATE_KEYS, ""), 2).alias("state_code"),
         zfill(first_key(props, COUNTY_KEYS, ""), 3).alias("county_code"),
