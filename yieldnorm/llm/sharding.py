@@ -36,14 +36,23 @@ def first_map(n_slots: int = SLOTS, n_shards: int = SHARDS) -> np.ndarray:
 
 
 def rebalance(shard_of: np.ndarray, load: np.ndarray, n_shards: int) -> np.ndarray:
-    """The map edited until shard loads are near equal. Each shard keeps its largest slots that fit under the mean and
-    hands on the others, which go, largest first, to the shard with the least load."""
+    """The map edited until shard loads are near equal. Each shard keeps its largest slots that fit under the level and
+    hands on the others, which go, largest first, to the shard with the least load. The level is the mean, without the
+    slots that are larger and the shards that these fill alone."""
     out = shard_of.copy()
-    mean = load.sum() / n_shards
+    order = np.lexsort((np.arange(len(load)), -load))
+    rest, left = float(load.sum()), n_shards
+    for s in order:
+        if left == 1 or load[s] * left <= rest:
+            break
+        rest, left = rest - load[s], left - 1
+    level = rest / left
     total, moving = np.zeros(n_shards), []
-    for s in np.lexsort((np.arange(len(load)), -load)):
+    for s in order:
         own = out[s]
-        if own < n_shards and (total[own] + load[s] <= mean or load[s] == 0):
+        if load[s] > level and (own >= n_shards or total[own] > 0):
+            own = out[s] = int(np.argmin(total))  # a shard that still has nothing, as the largest come first
+        if own < n_shards and (total[own] + load[s] <= level or load[s] == 0 or total[own] == 0):
             total[own] += load[s]
         else:
             moving.append(s)
