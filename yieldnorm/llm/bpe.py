@@ -24,9 +24,10 @@ _NONE = np.int64(1) << 40
 #: Count of a run that cannot be looked up alone; far above any text's count.
 _BREAK = 1 << 50
 #: Runs kept at most by a worker; beyond, the table is emptied and filled again.
-MAX_RUNS = 400_000
+MAX_RUNS = 700_000
 #: The usual characters, on whose classes all Unicode versions agree; texts with others are split by the library.
 _USUAL = re.compile("[\x00-\x1b\x20-\u024f\u2010-\u2027]*\\Z")
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
 _GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -52,8 +53,13 @@ class Merger:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         key = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.order = np.argsort(key, kind="stable")
-        self.key, self.rank, self.made = key[self.order], self.order.astype(np.int64), made[self.order]
+        order = np.argsort(key, kind="stable")
+        self.key, self.rank, self.made = key[order], order.astype(np.int64), made  # made: by rank
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], _NONE)
 
     def symbols(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pre-tokens one after another, and the number of each pre-token's."""
@@ -63,30 +69,38 @@ class Merger:
         full = np.flatnonzero(n)
         ids[np.cumsum(n)[full] - 1] = self.last_id[flat[np.cumsum(n)[full] - 1]]
         seq = np.repeat(np.arange(len(n)), n)
+        rank = np.full(len(ids), _NONE)  # of the pair that begins at each symbol
+        if len(ids):
+            same = np.flatnonzero(seq[:-1] == seq[1:])
+            rank[same] = self.ranks(ids[same], ids[same + 1])
         done = []
         while len(ids):
-            key = (ids[:-1] << 32) | ids[1:]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            rank = np.full(len(ids), _NONE)
-            ok = (self.key[at] == key) & (seq[:-1] == seq[1:])
-            rank[:-1][ok] = self.rank[at[ok]]
             head = np.flatnonzero(np.concatenate(([True], seq[1:] != seq[:-1])))
             size = np.diff(np.append(head, len(ids)))
             low = np.minimum.reduceat(rank, head)
-            over = np.repeat(low == _NONE, size)
+            over = low == _NONE
             if over.any():
-                done.append((seq[over], ids[over]))
-            low = np.repeat(low, size)
-            hit = (rank == low) & ~over
-            place = np.arange(len(ids))
-            start = np.maximum.accumulate(np.where(hit & ~np.concatenate(([False], hit[:-1])), place, 0))
-            hit &= ((place - start) & 1) == 0
+                gone = np.repeat(over, size)
+                done.append((seq[gone], ids[gone]))
+                ids, seq, rank = ids[~gone], seq[~gone], rank[~gone]
+                low, size = low[~over], size[~over]
+                if not len(ids):
+                    break
+            hit = rank == np.repeat(low, size)
             i = np.flatnonzero(hit)
-            ids = ids.copy()
-            ids[i] = self.made[at[i]]
-            keep = ~over
+            if (hit[1:] & hit[:-1]).any():  # a repeated symbol: every other place of each run, from its first
+                start = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(i) > 1)), np.arange(len(i)), 0))
+                i = i[((np.arange(len(i)) - start) & 1) == 0]
+            ids[i] = self.made[rank[i]]
+            keep = np.ones(len(ids), bool)
             keep[i + 1] = False
-            ids, seq = ids[keep], seq[keep]
+            i -= np.arange(len(i))  # where the merged symbols come to lie
+            ids, seq, rank = ids[keep], seq[keep], rank[keep]
+            rank[i] = _NONE
+            for at in (i, i[i > 0] - 1):
+                at = at[at < len(ids) - 1]
+                at = at[seq[at] == seq[at + 1]]
+                rank[at] = self.ranks(ids[at], ids[at + 1])
         if not done:
             return np.zeros(0, np.int64), np.zeros(len(n), np.int64)
         s, t = np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
@@ -102,29 +116,33 @@ class ByteCounter:
         self.split = regex.compile(_GPT2)
         self.first: dict[str, int] = {}  # runs at the start of a line
         self.spaced: dict[str, int] = {}  # runs after a space
+        self.tokens: dict[str, int] = {}  # pre-tokens
         self.marks = re.compile("|".join(map(re.escape, self.m.special))) if self.m.special else None
 
-    def pretokens(self, text: str) -> list[bytes]:
-        if _USUAL.match(text):
-            return [x.encode() for x in self.split.findall(text)]
-        return [text[a:b].encode() for _, (a, b) in self.m.library.pre_tokenizer.pre_tokenize_str(text)]
+    def pretokens(self, text: str) -> list[str]:
+        if text.isascii() and not _ODD_SPACE.search(text) or _USUAL.match(text):
+            return self.split.findall(text)
+        return [text[a:b] for _, (a, b) in self.m.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _count(self, kinds: set[str]) -> None:
+        """Counts of new pre-tokens into the table."""
+        kinds = list(kinds.difference(self.tokens))
+        _, n = self.m.symbols([x.encode() for x in kinds])
+        self.tokens.update(zip(kinds, n.tolist(), strict=True))
 
     def _learn(self, table: dict[str, int], new: set[str], lead: str) -> None:
-        new = list(new)
-        plain = [r for r in new if r and not r[0].isspace() and not r[-1].isspace()]
         table.update(dict.fromkeys(new, _BREAK))
+        plain = [r for r in new if r and not r[0].isspace() and not r[-1].isspace()]
         parts = [self.pretokens(lead + r) for r in plain]
-        _, n = self.m.symbols([p for x in parts for p in x])
-        total = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))]
-        table.update(zip(plain, np.diff(total).tolist(), strict=True))
+        self._count(set(itertools.chain.from_iterable(parts)))
+        get = self.tokens.__getitem__
+        table.update(zip(plain, [sum(map(get, x)) for x in parts], strict=True))
 
     def whole(self, text: str) -> int:
         """Tokens of a text whose white space is irregular."""
         parts = self.pretokens(text)
-        kinds = list(set(parts))
-        _, n = self.m.symbols(kinds)
-        count = dict(zip(kinds, n.tolist(), strict=True))
-        return sum(map(count.__getitem__, parts))
+        self._count(set(parts))
+        return sum(map(self.tokens.__getitem__, parts))
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; a special token's string counts as one token."""
@@ -137,9 +155,9 @@ class ByteCounter:
                     flat.append(p)
                     owner.append(k)
         split = [[line.split(" ") for line in t.split("\n")] for t in flat]
-        if len(self.first) + len(self.spaced) > self.max_runs:
-            self.first.clear()
-            self.spaced.clear()
+        for table in (self.first, self.spaced, self.tokens):
+            if len(table) > self.max_runs:
+                table.clear()
         first = {r[0] for lines in split for r in lines}.difference(self.first)
         if first:
             self._learn(self.first, first, "")
@@ -157,6 +175,33 @@ class ByteCounter:
         return extra
 
 
+class _Ragged:
+    """Id lists by string, in one flat array that grows by doubling."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+
+    def add(self, keys: list[str], flat: np.ndarray, n: np.ndarray) -> None:
+        first, last = len(self.at), len(self.at) + len(keys)
+        while last > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.start[first:last] = self.used + np.cumsum(n) - n
+        self.size[first:last] = n
+        self.pool[self.used:self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.at.update(zip(keys, range(first, last), strict=True))
+
+    def gather(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all keys one after another, and the number of each."""
+        k = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        n = self.size[k]
+        end = np.cumsum(n)
+        return self.pool[np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[k] - (end - n), n)], n
+
+
 class WordEncoder:
     """Token ids of whole texts under a vocabulary that drops white space and lower-cases (end-of-word suffix). Runs
     between spaces and line feeds are encoded alone: nothing of the split rule reaches across white space."""
@@ -164,56 +209,46 @@ class WordEncoder:
     def __init__(self, path: str, max_runs: int = MAX_RUNS):
         self.m, self.max_runs = Merger(path), max_runs
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t\n\r\x0b\x0c]+")  # of lower-cased ASCII runs
         self.clear()
 
     def clear(self) -> None:
-        self.runs: dict[str, int] = {"": 0}
-        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.runs, self.tokens = _Ragged(), _Ragged()
+        self.runs.add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _pretokens(self, run: str) -> list[str] | None:
+        if "<" in run and any(s in run for s in self.m.special):
+            return None
+        if run.isascii():
+            return self.ascii.findall(run.lower())
+        return self.split.findall(run.lower()) if _USUAL.match(run) else None
 
     def _learn(self, new: list[str]) -> None:
-        usual = [bool(_USUAL.match(r)) and not any(s in r for s in self.m.special) for r in new]
-        parts = [[x.encode() for x in self.split.findall(r.lower())] if u and r.isascii() else None for u, r in zip(usual, new)]
-        for k, (u, r) in enumerate(zip(usual, new)):
-            if u and parts[k] is None:
-                parts[k] = [x.encode() for x in self.split.findall(self.m.library.normalizer.normalize_str(r))]
-        known = dict.fromkeys(p for x in parts if x for p in x)
-        ids, n = self.m.symbols(list(known))
-        end = np.cumsum(n)
-        place = dict(zip(known, range(len(known))))
-        made = []
-        for x, r in zip(parts, new):
-            if x is None:
-                made.append(np.array(self.m.library.encode(r, add_special_tokens=False).ids, np.uint32))
-            else:
-                got = [ids[end[i] - n[i]:end[i]] for i in map(place.__getitem__, x)]
-                made.append((got[0] if len(got) == 1 else np.concatenate(got) if got else ids[:0]).astype(np.uint32))
-        size = np.fromiter(map(len, made), np.int64, len(made))
-        first = len(self.runs)
-        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.pool = np.concatenate((self.pool, *made))
-        self.runs.update(zip(new, range(first, first + len(new))))
+        parts = [self._pretokens(r) for r in new]
+        odd = [k for k, x in enumerate(parts) if x is None]
+        for k in odd:  # the library splits these; a line feed, which no run holds, marks their place in the table
+            parts[k] = ["\n" + new[k]]
+        kinds = set(itertools.chain.from_iterable(parts)).difference(self.tokens.at)
+        plain = [x for x in kinds if x[0] != "\n"]
+        ids, n = self.m.symbols([x.encode() for x in plain])
+        self.tokens.add(plain, ids.astype(np.uint32), n)
+        if odd:
+            made = [np.array(self.m.library.encode(new[k], add_special_tokens=False).ids, np.uint32) for k in odd]
+            self.tokens.add([parts[k][0] for k in odd], np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made)))
+        flat, count = self.tokens.gather(list(itertools.chain.from_iterable(parts)))
+        ends = np.concatenate(([0], np.cumsum(count)))[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
+        self.runs.add(new, flat, np.diff(ends, prepend=0))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.runs) > self.max_runs:
+        if len(self.runs.at) > self.max_runs or len(self.tokens.at) > self.max_runs:
             self.clear()
-        new = set()
-        for r in split:
-            new.update(r)
-        new.difference_update(self.runs)
+        new = set().union(*split).difference(self.runs.at)
         if new:
-            self._learn(sorted(new))
-        get = self.runs.__getitem__
-        out = []
-        for r in split:
-            k = np.fromiter(map(get, r), np.int64, len(r))
-            n = self.size[k]
-            end = np.cumsum(n)
-            at = np.arange(end[-1]) + np.repeat(self.start[k] - (end - n), n)
-            out.append(self.pool[at])
-        return out
+            self._learn(list(new))
+        flat, n = self.runs.gather(list(itertools.chain.from_iterable(split)))
+        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        return np.split(flat, ends[:-1]) if len(texts) else []
 
 
 _MADE: dict[tuple, object] = {}
