@@ -30,3 +30,19 @@ def test_training_cli(spark, tmp_path):
                           "--out-prefix", "cli_"])
     assert spark.table(written["predictions"]).count() == 29
     assert spark.table(written["fact"]).count() == 136
+
+
+def test_correlation_cli_takes_crops_and_years(spark, tmp_path):
+    fixtures.weather_daily(spark, SF0001).write.parquet(str(tmp_path / "w"))
+    fixtures.county_yields(spark, SF0001).write.parquet(str(tmp_path / "y"))
+    feats = [r.asDict(recursive=True) for r in fixtures.county_features(spark, SF0001).orderBy("ord").collect()]
+    (tmp_path / "c.geojsonl").write_text("\n".join(json.dumps(
+        {"type": "Feature", "properties": f["properties"],
+         "geometry": {"type": f["geometry"]["type"], "coordinates": json.loads(f["geometry"]["coordinates"])}}) for f in feats))
+    args = ["correlation", "--weather", str(tmp_path / "w"), "--yields", str(tmp_path / "y"),
+            "--counties", str(tmp_path / "c.geojsonl"), "--counties-lines"]
+    every = run(spark, [*args, "--crops", "all", "--years", "1996,1997", "--out-prefix", "all_"])
+    two = run(spark, [*args, "--out-prefix", "two_"])
+    crops = lambda t: {r[0] for r in spark.table(t).select("commodity_name").distinct().collect()}
+    assert crops(two["pearson"]) == {" Corn", " Soybeans"} < crops(every["pearson"])
+    assert {r[0] for r in spark.table(every["fact"]).select("year").distinct().collect()} <= {1996, 1997}
