@@ -43,9 +43,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, each in its place in a window."""
     local_checkpoints(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers keep their tables while they serve the other stages, so these are small
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), max_runs=RUNS)
 
 
+RUNS = 200_000
+
 STAGES = [("quality", quality_filter), ("exact_dedup", exact_duplicates), ("near_dedup", near_duplicates),
           ("mixing", mix_sources), ("packing", pack_windows)]
 

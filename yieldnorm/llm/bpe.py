@@ -254,8 +254,8 @@ class WordEncoder:
 _MADE: dict[tuple, object] = {}
 
 
-def shared(kind, path: str):
-    """One counter or encoder for each worker process and file; its table of runs outlives a task."""
-    if (kind, path) not in _MADE:
-        _MADE[kind, path] = kind(path)
-    return _MADE[kind, path]
+def shared(kind, path: str, max_runs: int = MAX_RUNS):
+    """One counter or encoder for each worker process, file and table size; its table of runs outlives a task."""
+    if (kind, path, max_runs) not in _MADE:
+        _MADE[kind, path, max_runs] = kind(path, max_runs)
+    return _MADE[kind, path, max_runs]

@@ -42,14 +42,16 @@ def cuts(n: int, window: int = WINDOW, max_piece: int = MAX_PIECE) -> list[tuple
 
 
 def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, max_piece: int = MAX_PIECE,
-                  with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
+                  with_ids: bool = False, text: str = "text", key: str = "doc_id",
+                  max_runs: int = bpe.MAX_RUNS) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids. A worker keeps a table of
+    ``max_runs`` runs of text that it has encoded."""
     fields = [StructField("doc_id", docs.schema[key].dataType)]
     fields += [StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
     fields += [StructField("ids", ArrayType(LongType()))] * with_ids
 
     def cut(batches):
-        encoder = bpe.shared(bpe.WordEncoder, path)
+        encoder = bpe.shared(bpe.WordEncoder, path, max_runs)
         for batch in batches:
             texts = batch.column(1)
             _, off = utf8(texts)
@@ -166,9 +168,10 @@ def place_pieces(pieces: DataFrame, window: int = WINDOW, group_windows: int = G
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, max_piece: int = MAX_PIECE,
-         group_windows: int = GROUP_WINDOWS, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
+         group_windows: int = GROUP_WINDOWS, with_ids: bool = False, text: str = "text", key: str = "doc_id",
+         max_runs: int = bpe.MAX_RUNS) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), doc_tokens,
     sequence_id, offset and, if asked for, ids."""
     ship(docs.sparkSession)
-    made = cut_documents(docs, path, window, end_id, max_piece, with_ids, text, key)
+    made = cut_documents(docs, path, window, end_id, max_piece, with_ids, text, key, max_runs)
     return place_pieces(made, window, group_windows)
