@@ -76,6 +76,23 @@ def test_classes_equal_brute_force(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(least.values(), key=str)
 
 
+def test_family_whose_members_lie_about_the_threshold(spark, monkeypatch):
+    """A base text and copies, each a little under or over 0.8 of it and far less of each other; small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "GROUP_ROWS", 40)
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(150)]
+    data = [(0, " ".join(base))]
+    for k in range(1, 90):
+        t = list(base)
+        for i in rng.choice(150, int(rng.integers(2, 7)), replace=False):
+            t[i] = f"x{rng.integers(1e9)}"
+        data.append((k, " ".join(t)))
+    for rows in (data, data[1:]):  # with and without the base that holds the family together
+        got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert partition((r.doc_id, r.class_id) for r in got) == partition(zip((d for d, _ in rows), brute(rows)))
+
+
 def test_documents_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF0001}/documents.parquet")
     data = [(r.doc_id, r.text) for r in docs.collect()]

@@ -8,12 +8,15 @@ components; a component's minimum agrees between two bags with probability equal
 similarity. Only points below a bound are made; where a component stays empty, the bound is doubled.
 
 Signatures are cut into bands. Texts that share a band are candidates, compared by the exact overlap of their bags,
-sum of minima over sum of maxima, ``>= threshold``. First every member of a band's bucket is compared with the bucket's
-first text; then, where a bucket holds texts of several classes, those of different classes with each other. Pairs
-inside a class are never listed. Classes are connected components.
-
-Texts that are equal when lower-cased are one class and are compared once. Texts without words (null, empty, white
-space) are classes of their own and never linked. Of a class the row with the least doc_id stays (null last, then any).
+sum of minima over sum of maxima, ``>= threshold``. First every member of a band's bucket is compared with the member
+that has the most company over all its buckets, and classes are formed. Then, where a bucket still holds several
+classes, tasks compare texts of different classes over blocks of at most ``BLOCK`` texts: pairs whose signatures agree
+far too little (by five standard deviations) are passed over, pairs whose classes have met meanwhile too, the others
+are verified, each in the first band that both share. Only links come out; pairs are never listed. Classes are
+connected components.
+
+Texts that are equal when lower-cased are one class and are compared once (null is empty). A text without words
+(empty, white space) is linked with nothing but equal texts. Of a class the row with the least doc_id stays (null last, then any).
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ from .components import components
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
 SIZE = BANDS * ROWS
 #: Texts of so many bytes are signed at once.
-SIGN_BYTES = 2 * SLICE_BYTES
+SIGN_BYTES = SLICE_BYTES
+#: Texts of a block, and rows that a task's group holds (about).
+BLOCK, GROUP_ROWS = 1024, 2000
 #: Candidate texts' keys are broadcast up to this size, else the join shuffles.
 KEY_BYTES = 64 << 20
 _UNIT = 1 << 36  # fixed-point unit of arrival times, so that their sums are exact
@@ -167,6 +172,75 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("s", similarity("ta", "tb")).filter(F.col("s") >= threshold).select("a", "b")
 
 
+def _cell_links(sig: np.ndarray, label: np.ndarray, text: list, one: np.ndarray, two: np.ndarray, band: int,
+                threshold: float) -> list[tuple[int, int]]:
+    """Links (positions) between texts of different classes in a cell: ``one`` against ``two``, or within one block."""
+    least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / SIZE)
+    within = one is two
+    found = []
+    step = max(1, (4 << 20) // (SIZE * len(two)))
+    for a in range(0, len(one), step):
+        i = one[a:a + step]
+        equal = sig[i][:, None, :] == sig[two][None, :, :]
+        agree = equal.mean(2)
+        wanted = (agree >= least) & (label[i][:, None] != label[two][None, :])
+        if within:
+            wanted &= np.arange(a, a + len(i))[:, None] < np.arange(len(two))[None, :]
+        x, y = np.nonzero(wanted)
+        first = equal[x, y].reshape(len(x), BANDS, ROWS).all(2).argmax(1) == band
+        found.append(np.stack([agree[x, y][first], i[x[first]], two[y[first]]]))
+    found = np.concatenate(found, 1)
+    if not found.shape[1]:
+        return []
+    root = {int(c): int(c) for c in label}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    used = np.unique(found[1:].astype(np.int64))
+    bag = dict(zip(used.tolist(), _bag_list(pa.array([text[k] for k in used], pa.string()))))
+    out = []
+    for k in np.argsort(-found[0], kind="stable"):
+        i, j = int(found[1, k]), int(found[2, k])
+        p, q = top(int(label[i])), top(int(label[j]))
+        if p != q and overlap(bag[i], bag[j]) >= threshold:
+            root[max(p, q)] = min(p, q)
+            out.append((i, j))
+    return out
+
+
+def compare_cells(group: pa.Table, threshold: float) -> pa.Table:
+    """Links (a, b: rows) found in the cells of a group; see ``classes``."""
+    no, band, lo, hi, mine, row, label = (group[c].to_numpy() for c in ("no", "band", "lo", "hi", "block", "row", "component"))
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(row), SIZE)
+    text = group["text"].to_pylist()
+    order = np.lexsort((row, hi, lo, band))
+    cell = np.stack([band, lo, hi])[:, order]
+    ends = np.flatnonzero(np.concatenate(([True], (cell[:, 1:] != cell[:, :-1]).any(0), [True])))
+    links = []
+    for s, e in zip(ends, ends[1:]):
+        at = order[s:e]
+        one, two = at[mine[at] == lo[at]], at[mine[at] == hi[at]]
+        if lo[at[0]] == hi[at[0]]:
+            two = one
+        if len(one) and len(two):
+            links += _cell_links(sig, label, text, one, two, int(no[at[0]]), threshold)
+    pairs = np.array(links, np.int64).reshape(len(links), 2)
+    return pa.table({"a": row[pairs[:, 0]], "b": row[pairs[:, 1]]})
+
+
+def cells_of(mixed: DataFrame) -> DataFrame:
+    """Members (no, band, row, component) of buckets dealt to cells: a block of a bucket meets every block of it."""
+    n = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    out = mixed.join(n, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    out = out.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.select("no", "band", "row", "component", "block", F.least("block", "other").alias("lo"),
+                      F.greatest("block", "other").alias("hi"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row per row of ``docs``: doc_id, node (hash of the lower-cased text), row, class_id (the least doc_id of the
     class), kept (one row of each class), class_size."""
@@ -179,11 +253,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", k
     reps = signed.join(group.select(F.col("rep").alias("row")), "row", "left_semi").filter("sig is not null")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                         lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * ROWS + 1, F.lit(ROWS))))
-    bands = materialize(reps.select("row", F.explode(bands).alias("band")), "bands")
-    buckets = bands.groupBy("band").agg(F.min("row").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(bands.join(buckets.drop("n"), "band"), "members")
-
-    tried = materialize(members.filter("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
+    bands = materialize(reps.select("row", F.posexplode(bands).alias("no", "band")), "bands")
+    buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialize(bands.join(buckets, "band"), "members")
+    company = members.groupBy("row").agg(F.sum("n").alias("company"))
+    leads = members.join(company, "row").groupBy("band").agg(F.max(F.struct("company", "row"))["row"].alias("lead"))
+    pairs = members.join(leads, "band").filter("row <> lead")
+    tried = materialize(pairs.select(F.least("lead", "row").alias("a"), F.greatest("lead", "row").alias("b")).distinct(), "pairs")
     wanted = members.select("row").distinct()
     wanted = materialize(wanted.join(signed, "row").select("row", "doc_id", "node"), "wanted")
     small, _ = broadcast_if_small(wanted, row_bytes=48, max_bytes=KEY_BYTES)
@@ -195,15 +271,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", k
     links = materialize(verified(tried, texts, threshold), "links")
     first = components(links)
 
-    # buckets that hold several classes: compare the texts of different classes
-    placed = members.select("band", "row").join(first.withColumnRenamed("node", "row"), "row", "left")
+    # buckets that hold several classes
+    placed = members.select("no", "band", "row").join(first.withColumnRenamed("node", "row"), "row", "left")
     placed = materialize(placed.withColumn("component", F.coalesce("component", "row")), "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    mixed = placed.join(mixed.select("band"), "band", "left_semi")
-    other = mixed.select("band", F.col("row").alias("b"), F.col("component").alias("cb"))
-    cross = mixed.withColumnRenamed("row", "a").join(other, "band").filter("a < b and component <> cb")
-    cross = cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(cross, texts, threshold)
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    cells = materialize(cells_of(placed.join(mixed.select("band"), "band", "left_semi")), "cells")
+    groups = max(1, -(-cells.count() // GROUP_ROWS))
+    full = cells.join(signed.select("row", "sig"), "row").join(texts, "row")
+    dealt = full.withColumn("g", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(groups)))
+    more = dealt.groupBy("g").applyInArrow(lambda t: compare_cells(t, threshold), "a long, b long")
     final = components(links.unionByName(more))
 
     group = group.join(final.withColumnRenamed("node", "rep"), "rep", "left")
@@ -211,7 +287,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", k
     rows = materialize(signed.select("doc_id", "node", "row").join(group, "node"), "classes")
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("best"),
                                          F.count(F.lit(1)).alias("class_size"))
-    return rows.join(best, "component").select(
+    # written, so that the join can split a class that holds many rows
+    return rows.join(materialize(best, "best"), "component").select(
         "doc_id", "node", "row", F.col("best.doc_id").alias("class_id"),
         (F.col("row") == F.col("best.row")).alias("kept"), "class_size")
 
