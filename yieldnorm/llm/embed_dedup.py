@@ -202,7 +202,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, vec: str = "
     placed = components(found.select("a", "b")).withColumnRenamed("node", "row")
     out = rows.select("vec_id", "row").join(degree, "row", "left").join(placed, "row", "left")
     out = materialize(out.withColumn("component", F.coalesce("component", "row")), "placed")
-    least = out.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    # written, so that the join can split a component that holds many rows
+    least = materialize(out.groupBy("component").agg(F.min("vec_id").alias("component_id")), "least")
     out = out.join(least, "component").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                                               "component_id")
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
