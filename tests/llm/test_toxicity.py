@@ -58,3 +58,22 @@ def test_words_do_not_cross_rows():
     data = pa.array(["ab", "cd", None, "Éa b"])
     got = [(i, j, len(h), row.tolist()) for i, j, h, row in toxicity.lowered(data)]
     assert got == [(0, 4, 4, [0, 1, 3, 3])]
+
+
+def test_every_word_has_counts_of_its_own(spark):
+    n = 3000  # two of these words are equal modulo 2**20
+    data = [(" ".join(f"w{i}" for i in range(n)), 0, 0), (" ".join(f"a{i} z" for i in range(200)), 1, 0)]
+    got = {r.bucket: r for r in toxicity.count_words(spark.createDataFrame(data, "text string, y int, half int")).collect()}
+    text = b"z " + b" ".join(b"w%d" % i for i in range(n))
+    h, _ = toxicity.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(set(h % np.uint64(1 << 20))) < n + 1 and len(got) == n + 201
+    z, *ws = (got[int(x % np.uint64(toxicity.BUCKETS))] for x in h)
+    assert z.seen == 200 and all((r.n00, r.n10, r.seen) == (1, 0, 1) for r in ws)
+
+
+def test_joined_words_score_as_broadcast_ones(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).selectExpr("-1L doc_id", "null text", "lang", "source", "n_chars"))
+    whole, some, none = ({(r.doc_id, round(r.score, 6)) for r in toxicity.classify(docs, labels, max_bytes=m).collect()}
+                         for m in (toxicity.MODEL_BYTES, 20 * 2000, 0))
+    assert whole == some == none and len({s for _, s in whole}) > 50
