@@ -93,3 +93,24 @@ def test_whole_documents_and_empty_table(spark):
     assert all(abs(r.w - plan[r.source]) <= longest[r.source] for r in took)
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_dealt_mix_is_what_documents_are_summed_from(spark):
+    df = spark.createDataFrame(rows() + [(950, "", "en", "none", 1, 1)] * 3, SCHEMA)
+    mix, held = mixing.dealt(df, block_words=64, shard_blocks=32)
+    got, pieces = held.collect(), mix.collect()
+    want = mixing.mix(df, block_words=64, shard_blocks=32).select(
+        "doc_id", "source", "size", "source_size", "target", mixing.taken().alias("taken"), F.size("pieces").alias("n_pieces"), "shards")
+    assert sorted(map(str, got)) == sorted(map(str, want.collect())) and len(got) == df.count()
+    assert sum(r.taken for r in got) == sum(r.words for r in pieces)
+    per = np.bincount([s for r in got for s in r.shards])
+    assert len(per) > 3 and per.tolist() == np.bincount([r.shard for r in pieces]).tolist()
+    order = [(r.shard, r.place) for r in pieces]
+    assert order == sorted(order) and len({(r.source_no, r.begin, r["pass"], r.first) for r in pieces}) == len(pieces)
+
+
+def test_query_shows_the_shards_of_the_dealt_mix(spark):
+    from yieldnorm.llm import queries
+    got = queries.op3_mixing(spark, "/root/testdata/sf0.01").collect()
+    assert all(len(r.shards) == r.n_pieces and (r.n_pieces > 0) == (r.taken > 0) for r in got)
+    assert any(r.shards for r in got)

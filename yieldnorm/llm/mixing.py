@@ -218,10 +218,30 @@ def taken() -> Column:
 
 def deal(mixed: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself, a row per piece: shard, place (a hash that orders the shard: the local shuffle), doc_id, source,
-    pass, block, first, words."""
+    pass, block, first, words, and source_no and begin, which name a row that has words, be it repeated or not."""
     z = mixed.select("*", F.explode(F.arrays_zip("pieces", "shards")).alias("z"))
     p = F.col("z.pieces")
     return z.select(F.col("z.shards").alias("shard"),
                     F.xxhash64(F.lit(seed), "source_no", p["pass"], p["block"], "h", p["first"]).alias("place"), "doc_id",
                     "source", p["pass"].alias("pass"), p["block"].alias("block"), p["first"].alias("first"),
-                    p["words"].alias("words"))
+                    p["words"].alias("words"), "source_no", "begin")
+
+
+def dealt(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = MOST, block_words: int = BLOCK_WORDS,
+          shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, text: str = "text", key: str = "doc_id",
+          source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The mix as it is dealt to the shards, and what each document has in it. The first is ``deal`` as a table, written
+    in the order of shard and place, so that a shard is a run of its files. The second is summed from that table, one
+    row per row of ``docs``: doc_id, source, size, source_size, target, taken, n_pieces, shards (the shard of each
+    piece, in the order of pass and block)."""
+    mixed = materialize(mix(docs, weights, share, most, block_words, shard_blocks, seed, text, key, source), "mixed")
+    out = materialize(deal(mixed, seed).orderBy("shard", "place"), "mix")
+    held = F.sort_array(F.collect_list(F.struct("pass", "block", "shard")))
+    sums = out.groupBy("source_no", "begin").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).cast("int").alias("n_pieces"),
+                                                 F.transform(held, lambda x: x["shard"]).alias("shards"))
+    rows = mixed.select("source_no", "begin", "doc_id", "source", "size", "source_size", "target")
+    some = rows.filter("size > 0").join(sums, ["source_no", "begin"], "left")  # rows without words begin where others do
+    nothing = {"taken": F.lit(0).cast("long"), "n_pieces": F.lit(0), "shards": F.array().cast("array<int>")}
+    none = rows.filter("size = 0").withColumns(nothing)
+    whole = some.withColumns({c: F.coalesce(c, v) for c, v in nothing.items()}).unionByName(none)
+    return out, whole.drop("source_no", "begin")

@@ -25,9 +25,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"),
-                        F.size("pieces").alias("n_pieces"))
+    _, held = mixing.dealt(read_table(spark, sf_dir, "documents"))
+    return held.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", "shards")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
