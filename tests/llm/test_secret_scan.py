@@ -52,3 +52,13 @@ def test_whole_query(spark):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [base.count(k) for k in ("assign", "access", "hex")]
     assert secret_scan.find_secrets(spark.createDataFrame([], "doc_id long, text string"), TIK).count() == 0
+
+
+def test_random_strings_of_one_letter_case_are_found():
+    enc = secret_scan.encoding(TIK)
+    found = lambda t: [t[a:b] for k, a, b in secret_scan.spans(t, enc) if k == "random"]
+    for t in ("qzxjkvbwplmnrtyhgfdsxcvb", "QZXJKVBWPLMNRTYHGFDSXCVB", "LAWJM-DDRFA-WHGHB-WLZKP-ZJAPS", "XKQJZ-48210-BWFPH-90317-VTMGC"):
+        assert found(f"key {t} here") == [t]
+    for t in ("src/main/java/org/apache/spark", "MAX_CONNECTIONS_PER_HOST", "Donaudampfschifffahrtsgesellschaft",
+              "2024-01-02-03-04-05-06", "invoice-2024-000123-4567", "antidisestablishmentarianism"):
+        assert not found(t) and not found(t.upper())

@@ -4,8 +4,8 @@ Patterns, leftmost non-overlapping each: ``assign`` (a key word, a colon or equa
 characters), ``access`` (AKIA and capitals or digits, 20 or more in all), ``hex`` (24 or more lower-case hex digits).
 The method adds ``random``: a run of at least ``MIN_RUN`` letters, digits and ``+/_=-`` whose characters per token,
 under a public tiktoken vocabulary, number at most ``MAX_RATIO``; ordinary words and names take fewer tokens. Known
-digests (hex of a digest's length), UUIDs, numbers, and names made of words are left out, and so is a run that
-overlaps a span of the patterns.
+digests (hex of a digest's length), UUIDs and numbers are left out by their form, and so is a run that overlaps a span
+of the patterns. A run of parts of one letter case each is measured in lower case, as names in capitals take more tokens.
 
 Null texts count as empty: no spans. Positions are code points, the end exclusive. Whole texts are read.
 """
@@ -37,6 +37,7 @@ MIN_RUN, MAX_RATIO = 20, 2.0
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 DIGEST_DIGITS = (32, 40, 48, 56, 64, 96, 128)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_NUMBER = re.compile(r"[0-9]+(?:[-_/+=][0-9]+)*[-_/+=]*")
 _WORDS = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=](?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,13 +56,18 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 def known(run: str) -> bool:
-    """A digest, a UUID, or a name made of words and numbers: not a random string."""
-    if _UUID.fullmatch(run) or _WORDS.fullmatch(run):
+    """A digest, a UUID, or a number (or several, joined): not a random string."""
+    if _UUID.fullmatch(run) or _NUMBER.fullmatch(run):
         return True
     bare = run.strip("+/_=-")
     return len(bare) in DIGEST_DIGITS and _HEX.fullmatch(bare) is not None
 
 
+def ratio(run: str, enc: tiktoken.Encoding) -> float:
+    """Characters per token."""
+    return len(run) / len(enc.encode_ordinary(run.lower() if _WORDS.fullmatch(run) else run))
+
+
 def spans(text: str, enc: tiktoken.Encoding) -> list[tuple[str, int, int]]:
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m["value"]) >= ASSIGN_VALUE]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
@@ -74,7 +80,7 @@ def spans(text: str, enc: tiktoken.Encoding) -> list[tuple[str, int, int]]:
             k += 1
         if k < len(base) and base[k][0] < b or known(m[0]):
             continue
-        if (b - a) / len(enc.encode_ordinary(m[0])) <= MAX_RATIO:
+        if ratio(m[0], enc) <= MAX_RATIO:
             found.append(("random", a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
