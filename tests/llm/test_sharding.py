@@ -50,3 +50,15 @@ def test_map_versions_and_rebalancing(spark, tmp_path):
     sharding.save_map(spark, path, 0, first)
     sharding.save_map(spark, path, 1, edited)
     assert [r.shard for r in sharding.load_map(spark, path, 1).orderBy("virtual_slot").collect()] == edited.tolist()
+
+
+def test_many_equal_rows_spread_over_slots_and_shards(spark):
+    data = [(i, "text %d" % i, i, "x") for i in range(1000)] + [(5000, "the same text", 1, "x")] * 500 + [(None, None, 1, "x")] * 300
+    df = spark.createDataFrame(data, SCHEMA)
+    a, b = (sharding.shard(d, n_shards=6, n_slots=512).collect() for d in (df, df.repartition(7)))
+    assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) == len(data)
+    load = [sum(r.size for r in a if r.shard == k) for k in range(6)]
+    assert max(load) < 1.02 * np.mean(load)
+    for d, n in ((5000, 500), (None, 300)):
+        own = [r.virtual_slot for r in a if r.doc_id == d]
+        assert len(own) == n and max(np.bincount(own)) < 10

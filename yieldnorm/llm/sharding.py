@@ -4,8 +4,9 @@ Records hash into a fixed number of virtual slots (thousands); bytes and rows ar
 versioned slot-to-shard map, stored as a table, says which shard holds a slot. Rebalancing edits the map: it moves
 slots from shards above the mean to those below and writes the next version; records never need hashing anew.
 
-Size is the text's UTF-8 bytes plus ``OVERHEAD`` (null text: only that). A null doc_id hashes with the text, and a
-record's slot depends on doc_id and text alone, so repeated rows share a slot. An empty table gives no rows.
+Size is the text's UTF-8 bytes plus ``OVERHEAD`` (null text: only that). A null doc_id hashes with the text. A
+record's slot depends on doc_id and text, and for a repeated row on its number among its equals, so that these spread
+over the slots; which of them has which number makes no difference. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,14 +21,27 @@ from pyspark.sql.window import Window
 from ..plans.sizing import materialize, scratch_path
 
 SLOTS, SHARDS, OVERHEAD = 8192, 24, 8
+#: Equal rows are numbered within so many groups, then from group to group.
+GROUPS = 1024
 
 
 def records(docs: DataFrame, n_slots: int = SLOTS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot for each row."""
     t = F.coalesce(docs[text].cast("string").cast("binary"), F.lit("").cast("binary"))
-    return docs.select(docs[key].alias("doc_id"), (F.octet_length(t) + OVERHEAD).cast("long").alias("size"),
-                       F.crc32(t).alias("text_crc32"),
-                       F.pmod(F.xxhash64(docs[key], t), F.lit(n_slots)).cast("int").alias("virtual_slot"))
+    rows = docs.select(docs[key].alias("doc_id"), (F.octet_length(t) + OVERHEAD).cast("long").alias("size"),
+                       F.crc32(t).alias("text_crc32"), F.xxhash64(docs[key], t).alias("h"),
+                       (F.monotonically_increasing_id() % GROUPS).cast("int").alias("g"))
+    rows = materialize(rows, "records")  # a row keeps its group
+    equal = ["h", "size", "text_crc32"]
+    counts = rows.groupBy(*equal, "g").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*equal).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    # a group before which there are none, as of rows without equals, needs no entry
+    counts = counts.withColumn("before", F.sum("n").over(earlier)).filter("before > 0").drop("n")
+    inside = F.row_number().over(Window.partitionBy(*equal, "g").orderBy("doc_id")) - 1
+    rows = rows.withColumn("k", inside).join(materialize(counts, "repeated"), [*equal, "g"], "left")
+    k = F.col("k") + F.coalesce("before", F.lit(0))
+    slot = F.pmod(F.when(k == 0, F.col("h")).otherwise(F.xxhash64("h", k)), F.lit(n_slots)).cast("int")
+    return rows.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def first_map(n_slots: int = SLOTS, n_shards: int = SHARDS) -> np.ndarray:
