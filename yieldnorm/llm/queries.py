@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, minhash, mixing, packing, quality, secret_scan, sharding, token_count, toxicity
+from . import (embed_dedup, exact_dedup, hard_negatives, minhash, mixing, packing, quality, secret_scan, sharding, token_count,
+               toxicity)
 from .common import read_table
 
 
@@ -60,6 +61,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(rows["vec_id"] % 7 == 0, (rows["label"] + 1) % 10)
+    return hard_negatives.mine(rows, rows["vec_id"] % 100 == 0, moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)
 }
@@ -72,4 +79,26 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {_NORM} AS t FROM documents)
         WINDOW g AS (PARTITION BY t)""",
+    "op11_hard_negatives": """
+        WITH v AS (
+          SELECT row_number() OVER () AS i, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS q
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (
+          SELECT a.i AS ai, a.vec_id AS anchor_id, b.i AS bi, b.vec_id AS id, a.label = b.label AS alike,
+                 CAST(list_sum([z[1] * z[2] for z in list_zip(a.q, b.q)]) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.i <> b.i AND len(a.q) = len(b.q)
+          WHERE a.vec_id % 100 = 0),
+        p AS (
+          SELECT ai, anchor_id, bi, id AS positive_id, score AS positive_score FROM s WHERE alike
+          QUALIFY row_number() OVER (PARTITION BY ai ORDER BY score DESC, id, bi) <= 5),
+        n AS (
+          SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.ai, p.bi ORDER BY s.score DESC, s.id, s.bi) AS rank
+          FROM p JOIN s ON s.ai = p.ai AND NOT s.alike
+          WHERE 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE rank <= 10""",
 }
