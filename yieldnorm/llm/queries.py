@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (embed_dedup, exact_dedup, hard_negatives, minhash, mixing, packing, quality, secret_scan, sharding, token_count,
-               toxicity)
+from . import (collocations, embed_dedup, exact_dedup, hard_negatives, minhash, mixing, packing, quality, secret_scan, sharding,
+               token_count, toxicity)
 from .common import read_table
 
 
@@ -67,6 +67,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, rows["vec_id"] % 100 == 0, moved)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)
 }
@@ -101,4 +105,38 @@ ORACLE: dict[str, str] = {
           WHERE 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
         SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
         FROM n WHERE rank <= 10""",
+    "op12_collocations": f"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_NORM}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        lines AS (SELECT row_number() OVER () AS p, lang, [x for x in string_split_regex(piece, '[ \\t]+') if x <> ''] AS w FROM pieces),
+        words AS (SELECT p, lang, unnest(w) AS x1, generate_subscripts(w, 1) AS i FROM lines),
+        runs AS (
+          SELECT lang, x1, lead(x1, 1) OVER q AS x2, lead(x1, 2) OVER q AS x3, lead(x1, 3) OVER q AS x4 FROM words
+          WINDOW q AS (PARTITION BY p ORDER BY i)),
+        grams AS (
+          SELECT lang, 1 AS k, x1 AS phrase, count(*) AS f FROM runs GROUP BY ALL
+          UNION ALL SELECT lang, 2, x1 || ' ' || x2, count(*) FROM runs WHERE x2 IS NOT NULL GROUP BY ALL
+          UNION ALL SELECT lang, 3, x1 || ' ' || x2 || ' ' || x3, count(*) FROM runs WHERE x3 IS NOT NULL GROUP BY ALL
+          UNION ALL SELECT lang, 4, x1 || ' ' || x2 || ' ' || x3 || ' ' || x4, count(*) FROM runs WHERE x4 IS NOT NULL GROUP BY ALL),
+        totals AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+        cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2 AND f >= 30),
+        split AS MATERIALIZED (
+          SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS rest
+          FROM cand, (VALUES (1), (2), (3)) AS ks(c) WHERE c < k),
+        parts AS MATERIALIZED (SELECT lang, phrase, f FROM grams WHERE f >= 30),
+        heads AS MATERIALIZED (
+          SELECT s.*, l.f AS l FROM split s JOIN parts l ON l.lang = s.lang AND l.phrase = s.head),
+        cuts AS (
+          SELECT s.lang, s.phrase, s.a, c, l, r.f AS r, (2000000::HUGEINT * s.a) // (l + r.f) AS score
+          FROM heads s JOIN parts r ON r.lang = s.lang AND r.phrase = s.rest),
+        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        inner_ AS (
+          SELECT lang, a, unnest([array_to_string(w[i:i + n - 1], ' ') for i in range(1, k - n + 2)]) AS phrase
+          FROM cand, (VALUES (2), (3)) AS sizes(n) WHERE n < k),
+        cover AS (SELECT lang, phrase, max(a) AS cover FROM inner_ GROUP BY lang, phrase),
+        kept AS (
+          SELECT lowest.* FROM lowest LEFT JOIN cover USING (lang, phrase) WHERE cover IS NULL OR 100 * cover < 80 * a)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        JOIN totals USING (lang) WHERE rank <= 2000""",
 }
