@@ -71,7 +71,7 @@ def test_equals_brute_force(spark):
 
 
 def test_small_partitions_tight_summaries_and_several_rounds(spark, monkeypatch):
-    for name, value in {"STRETCH": 700, "MASS": 4096, "SPARE": 1, "PER_ROUND": 64, "FILTER_BITS": 8}.items():
+    for name, value in {"STRETCH": 700, "HELD": 900, "MASS": 4096, "SPARE": 1, "PER_ROUND": 64, "FILTER_BITS": 8}.items():
         monkeypatch.setattr(C, name, value)
     assert run(spark, DATA, threshold=12) == brute(DATA, threshold=12)
 

@@ -37,10 +37,11 @@ from .common import mix64, ship, slices, utf8, word_hashes
 LONGEST, THRESHOLD, COVERED, FACTOR, TOP = 4, 30, 80, 2_000_000, 2000
 #: Bytes that end a piece, and bytes between words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-#: Capacity of a summary in multiples of mass / threshold, phrases of a partition (about), bytes of a stretch of text.
-SPARE, MASS, STRETCH = 4, 1 << 23, 1 << 23
+#: Capacity of a summary in multiples of mass / threshold, phrases of a partition (about), bytes of a stretch of text, and
+#: phrases that a task sums before it hands them on.
+SPARE, MASS, STRETCH, HELD = 4, 1 << 23, 1 << 21, 1 << 22
 FILTER_BITS, PER_ROUND = 28, 1 << 24
-BITS, _COUNT = 48, 16
+BITS = 48
 
 _BREAK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
@@ -117,14 +118,6 @@ def short(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - BITS)
 
 
-def summed(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and total counts of entries (hash, count in the low bits)."""
-    entries = np.sort(entries)
-    h, n = entries >> np.uint64(_COUNT), (entries & np.uint64((1 << _COUNT) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.add.reduceat(n, first) if len(first) else n
-
-
 def packed(h: np.ndarray) -> bytes:
     """Sorted numbers as differences, the lowest bytes of all first; see ``unpacked``."""
     d = np.diff(h, prepend=np.uint64(0))
@@ -141,23 +134,32 @@ def unpacked(b: bytes) -> np.ndarray:
 
 
 def count_hashes(batches, partitions: int):
-    """First pass, map side: for each stretch and partition the phrases' hashes, sorted, and their counts."""
+    """First pass, map side: the hashes of ``HELD`` phrases (about) by partition, sorted, with their counts."""
     lift = np.uint64(BITS - partitions.bit_length() + 1)
+
+    def emit(held):
+        h = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(h)))
+        h = h[first]
+        cut = np.searchsorted(h, np.arange(partitions + 1, dtype=np.uint64) << lift)
+        some = np.flatnonzero(np.diff(cut))
+        counts = [n[cut[p]:cut[p + 1]].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for p in some]
+        return pa.record_batch({
+            "part": pa.array(some, pa.int64()), "mass": pa.array([int(n[cut[p]:cut[p + 1]].sum()) for p in some], pa.int64()),
+            "hashes": pa.array([packed(h[cut[p]:cut[p + 1]]) for p in some], pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    held, size = [], 0
     for batch in batches:
         for words, seed, _ in stretches(batch):
-            h = [short(words.hashes(words.phrases(n), n, seed)) for n in range(1, LONGEST + 1)]
-            h = np.sort(np.concatenate(h))
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(h)))
-            h = h[first]
-            cut = np.searchsorted(h, np.arange(partitions + 1, dtype=np.uint64) << lift)
-            some = np.flatnonzero(np.diff(cut))
-            yield pa.record_batch({
-                "part": pa.array(some, pa.int64()),
-                "mass": pa.array([int(n[cut[p]:cut[p + 1]].sum()) for p in some], pa.int64()),
-                "hashes": pa.array([packed(h[cut[p]:cut[p + 1]]) for p in some], pa.binary()),
-                "counts": pa.array([n[cut[p]:cut[p + 1]].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for p in some],
-                                   pa.binary())})
+            for n in range(1, LONGEST + 1):
+                held.append(short(words.hashes(words.phrases(n), n, seed)))
+                size += len(held[-1])
+            if size >= HELD:
+                yield emit(held)
+                held, size = [], 0
+    if size:
+        yield emit(held)
 
 
 class Summary:
