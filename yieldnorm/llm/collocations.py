@@ -39,7 +39,7 @@ LONGEST, THRESHOLD, COVERED, FACTOR, TOP = 4, 30, 80, 2_000_000, 2000
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Capacity of a summary in multiples of mass / threshold, phrases of a partition (about), bytes of a stretch of text, and
 #: phrases that a task sums before it hands them on.
-SPARE, MASS, STRETCH, HELD = 4, 1 << 23, 1 << 21, 1 << 22
+SPARE, MASS, STRETCH, HELD = 4, 1 << 23, 1 << 19, 1 << 21
 FILTER_BITS, PER_ROUND = 28, 1 << 24
 BITS = 48
 
@@ -119,17 +119,18 @@ def short(h: np.ndarray) -> np.ndarray:
 
 
 def packed(h: np.ndarray) -> bytes:
-    """Sorted numbers as differences, the lowest bytes of all first; see ``unpacked``."""
-    d = np.diff(h, prepend=np.uint64(0))
+    """Sorted numbers as the first one and differences, the lowest bytes of all differences first; see ``unpacked``."""
+    d = np.diff(h)
     width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + d.view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+    return bytes([width]) + h[:1].tobytes() + d.view(np.uint8).reshape(-1, 8).T[:width].tobytes()
 
 
 def unpacked(b: bytes) -> np.ndarray:
     width = b[0]
-    planes = np.frombuffer(b, np.uint8, offset=1).reshape(width, -1)
-    d = np.zeros((planes.shape[1], 8), np.uint8)
-    d[:, :width] = planes.T
+    planes = np.frombuffer(b, np.uint8, offset=9).reshape(width, -1)
+    d = np.zeros((planes.shape[1] + 1, 8), np.uint8)
+    d[1:, :width] = planes.T
+    d[0] = np.frombuffer(b, np.uint8, 8, 1)
     return np.cumsum(d.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
