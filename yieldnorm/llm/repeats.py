@@ -57,7 +57,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0 to n - 1 and their inverses, modulo 2^64."""
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
+            steps = np.full(max(n, 2 * STRETCH), base, np.uint64)
             steps[0] = 1
             _POWERS[k] = np.cumprod(steps)
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -108,9 +108,8 @@ def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def send_anchors(batches, parts: int):
     """Step 1, map side: anchors that one text of a stretch has, with its key, and one entry for those that several have;
-    the latter's texts are sent apart (``known``), dealt evenly, as no other stretch is needed to know them as shared."""
+    the latter's texts are sent apart (``known``), dealt by key, as no other stretch is needed to know them as shared."""
     lift = np.uint64(BITS - parts.bit_length() + 1)
-    turn = 0
 
     def rows(part, h, code, keys, known, lone):
         used, place = np.unique(code, return_inverse=True)
@@ -118,7 +117,6 @@ def send_anchors(batches, parts: int):
                 "codes": place.astype("<u2").tobytes(), "keys": keys[used].tobytes()}
 
     def emit(pairs, keys):
-        nonlocal turn
         pairs = np.unique(np.concatenate(pairs))
         keys = np.concatenate(keys)
         h, code = pairs >> np.uint64(16), (pairs & np.uint64(_ROWS - 1)).astype(np.int64)
@@ -126,10 +124,11 @@ def send_anchors(batches, parts: int):
         first = np.flatnonzero(new)
         lone = np.diff(np.append(first, len(h))) == 1
         shared = ~np.repeat(lone, np.diff(np.append(first, len(h))))
-        out = []
-        if shared.any():
-            out.append(rows(turn % parts, h[shared], code[shared], keys, True, np.zeros(1, bool)))
-            turn += 1
+        to = (mix64(keys[code[shared]].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(parts + 1))
+        some_h, some_code = h[shared][order], code[shared][order]
+        out = [rows(p, some_h[a:b], some_code[a:b], keys, True, np.zeros(1, bool)) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
         h, code = h[first], code[first]
         cut = np.searchsorted(h, np.arange(parts + 1, dtype=np.uint64) << lift)
         out += [rows(p, h[a:b], code[a:b], keys, False, lone[a:b]) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
@@ -173,8 +172,7 @@ def shared_anchors(group: pa.Table) -> pa.Table:
         wanted = lone & np.repeat(size > 1, size)
         out_k.append(k[wanted])
         out_h.append(h[wanted])
-    cols = [np.concatenate(c).astype(np.int64) for c in (out_k, out_h)]
-    return pa.table({"key": cols[0], "anchor": cols[1]})
+    return pa.table({"key": np.concatenate(out_k).astype(np.int64), "anchor": np.concatenate(out_h).astype(np.int64)})
 
 
 def ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -238,42 +236,53 @@ def collection_order(flat: np.ndarray, off: np.ndarray, least: int) -> tuple[np.
     size = np.diff(off)
     bwt, lcp = np.full(n, _OPEN, np.uint8), np.zeros(n, np.uint8)
     name = np.arange(n, dtype=np.uint32) << np.uint32(7)  # string and length of a suffix
+    rests = np.zeros(0, np.int32)  # the places of the non-empty suffixes' rests: rising among suffixes with one first symbol
+    bucket = np.zeros(257, np.int64)  # where the suffixes of each first symbol begin
     who, place = np.arange(n), np.arange(n)
     for j in range(int(size.max(initial=0))):
         goes_on = size[who] > j
         who, place = who[goes_on], place[goes_on]
-        bwt[place] = flat[off[who + 1] - 1 - j]
-        rank = np.argsort(bwt, kind="stable")[:len(bwt) - n + len(who)]  # non-empty suffixes by the place of their rests
-        new = np.zeros(len(bwt), bool)
-        new[place] = True
-        k = np.flatnonzero(new[rank])
-        rest = rank[k]
-        symbol = bwt[rest]
-        before, after = rank[np.maximum(k - 1, 0)], rank[np.minimum(k + 1, len(rank) - 1)]
-        left = (k > 0) & (bwt[before] == symbol)
-        right = (k + 1 < len(rank)) & (bwt[after] == symbol) & ~new[after]
-        lo, hi = np.concatenate((before[left], rest[right])) + 1, np.concatenate((rest[left], after[right])) + 1
-        common = _range_least(lcp, lo, hi) + 1
-        ours = np.zeros(len(k), np.uint8)
+        symbol = flat[off[who + 1] - 1 - j]
+        bwt[place] = symbol
+        order = np.argsort(symbol, kind="stable")
+        who, place, symbol = who[order], place[order], symbol[order]
+        cut = np.searchsorted(symbol, np.arange(257))
+        at = np.empty(len(who), np.int64)  # the old suffix that each new one comes before
+        for c in np.flatnonzero(np.diff(cut)):
+            mine = slice(cut[c], cut[c + 1])
+            at[mine] = bucket[c] + np.searchsorted(rests[bucket[c]:bucket[c + 1]], place[mine].astype(np.int32))
+        first = np.concatenate(([True], (at[1:] != at[:-1]) | (symbol[1:] != symbol[:-1])))
+        left = ~first | (at > bucket[symbol])
+        before = np.where(first, rests[np.maximum(at - 1, 0)] if len(rests) else 0, np.concatenate(([0], place[:-1])))
+        right = np.append(first[1:], True) & (at < bucket[symbol.astype(int) + 1])
+        after = rests[at[right]]
+        common = _range_least(lcp, np.concatenate((before[left], place[right])) + 1, np.concatenate((place[left], after)) + 1) + 1
+        ours = np.zeros(len(who), np.uint8)
         ours[left] = common[:left.sum()]
-        ins = n + k
-        old = np.ones(len(bwt) + len(k), bool)
+        ins = n + at + np.arange(len(at))
+        old = np.ones(len(bwt) + len(ins), bool)
         old[ins] = False
-        out = []
-        for was, value in ((bwt, _OPEN), (lcp, ours), (name, (name[rest] & ~np.uint32(127)) | np.uint32(j + 1))):
-            now = np.empty(len(old), was.dtype)
-            now[old] = was
-            now[ins] = value
-            out.append(now)
-        bwt, lcp, new_name = out
+        moved = np.flatnonzero(old).astype(np.int32)  # where the old suffixes stand now
+        bwt, lcp, rests, name = (
+            _merged(old, bwt, ins, _OPEN), _merged(old, lcp, ins, ours), _merged(old[n:], moved[rests], ins - n, moved[place]),
+            _merged(old, name, ins, (who.astype(np.uint32) << np.uint32(7)) | np.uint32(j + 1)))
         lcp[ins[right] + 1] = common[left.sum():]
-        who, place, name = (new_name[ins] >> np.uint32(7)).astype(np.int64), ins, new_name
+        bucket += np.concatenate((cut[:256], [len(ins)]))
+        place = ins
     length = (name & np.uint32(127)).astype(np.int64)
     long = length >= least
     string = (name >> np.uint32(7)).astype(np.int64)
     return string[long], (size[string] - length)[long], np.cumsum(lcp < least)[long]
 
 
+def _merged(old: np.ndarray, was: np.ndarray, ins: np.ndarray, value) -> np.ndarray:
+    """``was`` at the places ``old`` of a new array, ``value`` at the others."""
+    now = np.empty(len(old), was.dtype)
+    now[old] = was
+    now[ins] = value
+    return now
+
+
 def _range_least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Least of values[lo:hi] for each pair with lo < hi."""
     order = np.argsort(-lo)  # falling starts: the stretch between one query's end and the next one's start is not read
