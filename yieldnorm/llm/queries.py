@@ -146,24 +146,25 @@ ORACLE: dict[str, str] = {
         JOIN totals USING (lang) WHERE rank <= 2000""",
     "op13_suffix_dedup": """
         WITH d AS (
-          SELECT row_number() OVER () AS i, doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h
+          SELECT row_number() OVER () AS i, doc_id, octet_length(encode(coalesce(text, ''))) AS n, encode(coalesce(text, '')) AS b
           FROM documents),
-        places AS MATERIALIZED (SELECT i, doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50),
-        windows AS MATERIALIZED (SELECT i, doc_id, p, md5_number(substring(h, 2 * p + 1, 100)) AS w FROM places),
+        windows AS MATERIALIZED (
+          SELECT i, doc_id, p, md5(b[p + 1:p + 50]) AS w
+          FROM (SELECT i, doc_id, b, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
         firsts AS MATERIALIZED (SELECT w, min(doc_id) AS first FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
         gone AS (SELECT i, p FROM windows JOIN firsts USING (w) WHERE first < doc_id),
         marks AS (SELECT i, p, CASE WHEN p - lag(p) OVER (PARTITION BY i ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM gone),
         numbered AS (SELECT i, p, sum(fresh) OVER (PARTITION BY i ORDER BY p) AS s FROM marks),
         spans AS (SELECT i, s, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY i, s),
         pieces AS (
-          SELECT i, a, b, substring(h, 2 * coalesce(lag(b) OVER q, 0) + 1, 2 * (a - coalesce(lag(b) OVER q, 0))) AS before,
-                 CASE WHEN lead(a) OVER q IS NULL THEN substring(h, 2 * b + 1) ELSE '' END AS after
-          FROM spans JOIN d USING (i) WINDOW q AS (PARTITION BY i ORDER BY a)),
+          SELECT i, s.a, s.b, d.b[coalesce(lag(s.b) OVER q, 0) + 1:s.a] AS before,
+                 CASE WHEN lead(s.a) OVER q IS NULL THEN d.b[s.b + 1:] ELSE ''::BLOB END AS after
+          FROM spans s JOIN d USING (i) WINDOW q AS (PARTITION BY i ORDER BY s.a)),
         kept AS (
           SELECT i, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
-                 sha256(unhex(string_agg(before || after, '' ORDER BY a))) AS kept_sha256
+                 sha256(unhex(string_agg(hex(before) || hex(after), '' ORDER BY a))) AS kept_sha256
           FROM pieces GROUP BY i)
         SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-               coalesce(kept_sha256, sha256(unhex(h))) AS kept_sha256
+               coalesce(kept_sha256, sha256(b)) AS kept_sha256
         FROM d LEFT JOIN kept USING (i)""",
 }

@@ -70,7 +70,7 @@ def anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return z, z, z.astype(np.uint64), z
     up, down = _powers(len(data))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * up)))
-    least = mix64((total[GRAM:] - total[:-GRAM]) * down[:len(data) - GRAM + 1]) >> np.uint64(64 - BITS)
+    least = mix64((total[GRAM:] - total[:-GRAM]) * down[:len(data) - GRAM + 1])
     width = 1
     while width < SPAN:
         step = min(width, SPAN - width)
@@ -87,7 +87,8 @@ def anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     pieces = -(-windows // SPAN)
     which = np.repeat(np.arange(len(start)), pieces)
     step = (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SPAN
-    return start[which] + step, np.minimum(windows[which] - step, SPAN), least[start[which]], row[which]
+    anchor = mix64(least[start[which]]) >> np.uint64(64 - BITS)  # least values crowd the low end; hash ranges want them even
+    return start[which] + step, np.minimum(windows[which] - step, SPAN), anchor, row[which]
 
 
 def _stretches(texts: pa.Array):
