@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared checkpoint folder and continue from it.
 
     Used for small tables that several later jobs read (station-years, the coordinate mapping,
@@ -20,7 +20,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     sees the real file size when it decides between a broadcast and a shuffle join.
     (``Dataset.checkpoint`` would compute its input twice unless cached first.)
     """
-    return df.sparkSession.read.parquet(write_table(df, name))
+    return df.sparkSession.read.parquet(write_table(df, name, compression=compression))
 
 
 _CLEANED: set[str] = set()  # run folders whose removal at exit is arranged
@@ -71,13 +71,15 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
-def write_table(df: DataFrame, name: str = "table", max_records_per_file: int | None = None) -> str:
+def write_table(df: DataFrame, name: str = "table", max_records_per_file: int | None = None, compression: str | None = None) -> str:
     """Write ``df`` as parquet under the shared checkpoint folder; return the path.
     ``max_records_per_file`` splits each task's output into several files (no shuffle)."""
     path = scratch_path(df.sparkSession, name)
     w = df.write.mode("error")
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", int(max_records_per_file))
+    if compression:
+        w = w.option("compression", compression)
     w.parquet(path)
     return path
 
