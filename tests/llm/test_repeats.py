@@ -75,7 +75,7 @@ def test_nulls_copies_repeats_and_long_texts(spark):
     assert run(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("change", [{"HOT": 2, "GROUP_BYTES": 900}, {"STRETCH": 300, "HELD": 40, "MASS": 64}, {"SENT_BYTES": 0}])
+@pytest.mark.parametrize("change", [{"HOT": 2, "GROUP_BYTES": 900}, {"STRETCH": 300, "HELD": 40, "MASS": 64}, {"SENT_BYTES": 0}, {"LONG": 400, "STRETCH": 90}])
 def test_hot_anchors_small_parts_and_shuffle_joins(spark, monkeypatch, change):
     for name, value in change.items():
         monkeypatch.setattr(R, name, value)
@@ -96,7 +96,7 @@ def test_empty_and_extra_columns(spark):
 @given(st.lists(st.binary(min_size=0, max_size=12).map(lambda b: bytes(x % 3 for x in b)), max_size=12), st.integers(1, 5))
 def test_collection_order_against_sorting(strings, least):
     off = np.concatenate(([0], np.cumsum([len(s) for s in strings]))).astype(np.int64)
-    string, start, kind = R.collection_order(np.frombuffer(b"".join(strings), np.uint8), off, least)
+    string, start, kind = R.collection_order(np.frombuffer(b"".join(strings), np.uint8).astype(np.int32), off, least)
     tails = [strings[s][a:] for s, a in zip(string, start)]
     assert tails == sorted(tails)
     assert sorted(zip(string.tolist(), start.tolist())) == sorted(
@@ -110,11 +110,12 @@ def test_segments_hold_each_window_once(texts):
     import pyarrow as pa
 
     data, off = R.utf8(pa.array(texts, pa.string()))
-    start, windows, anchor, row = R.anchored(data, off)
+    start, windows, anchor, row, core = R.anchored(data, off)
     seen = sorted((int(r), int(s - off[r]) + k) for s, w, r in zip(start, windows, row) for k in range(w))
     assert seen == [(i, a) for i, t in enumerate(texts) for a in range(max(0, len(t) - 49))]
     assert (windows <= R.SPAN).all()
     by = {}
-    for s, w, h in zip(start, windows, anchor):
+    for s, w, h, c in zip(start, windows, anchor, core):
         for k in range(w):
-            assert by.setdefault(data[s + k:s + k + 50].tobytes(), h) == h
+            assert 0 <= c - k <= 26
+            assert by.setdefault(data[s + k:s + k + 50].tobytes(), (h, c - k)) == (h, c - k)

@@ -5,14 +5,16 @@ that also starts in a document with a smaller id. Four steps, all of whose shuff
 
 1. Anchors. A window's anchor is the least hash of its ``GRAM``-byte substrings, so equal windows have equal anchors.
    Tasks send each anchor once for each stretch of text (packed, by hash range); anchors that only one text has are out.
-2. Segments. Runs of windows with the same shared anchor are cut out of the texts, at most ``SPAN`` windows each; equal
-   segments of a batch are one row with the list of their places. The rows are written as a table.
+2. Segments. Runs of windows with the same shared anchor in the same place are cut out of the texts (at most ``SPAN``
+   windows); equal segments of a batch are one row with the list of their places. The rows are written as a table.
 3. Suffix order. Segments are grouped by anchor, so equal windows meet in one group. A group is a collection of short
    strings whose Burrows-Wheeler transform is built column by column from the right, one symbol of every string a round
    (``collection_order``): each round reads the transform and the common prefixes of the round before once, in order, and
-   writes them anew with the new suffixes in their places. Suffixes with ``WINDOW`` symbols in common are equal windows.
+   writes them anew with the new suffixes in their places. A segment's anchor substring counts as one symbol, which
+   shortens the strings. Suffixes that have a window's symbols in common are equal windows.
    An anchor with more than ``HOT`` segments is dealt by whole windows instead, which spreads it over the groups.
-4. Each segment's windows get the least document that has them; joined to the segment's places they become spans.
+4. Each segment's windows get the least document that has them. Where a segment has one place, that gives spans at once;
+   the others are joined to the list of their places, which a common passage makes long.
 
 Groups are bounded (``GROUP_BYTES``, and a hot anchor's ``HOT`` segments), so a round's sequential files are kept as arrays
 in memory.
@@ -44,9 +46,9 @@ SPAN = WINDOW - GRAM + 1
 STRETCH, HELD, MASS = 1 << 19, 1 << 20, 1 << 21
 #: Bytes of a group of segments (about), segments of an anchor that stay together, and bytes of a broadcast side.
 GROUP_BYTES, HOT, SENT_BYTES = 1 << 21, 20_000, 32 << 20
-BITS, _LAST = 48, np.iinfo(np.int64).max
+BITS, _LAST, LONG, _PLACE = 48, np.iinfo(np.int64).max, 1 << 20, np.uint64((1 << 20) - 1)
 #: A row's place in a stretch takes 16 bits beside an anchor's 48.
-_ROWS, _OPEN = 1 << 16, 255
+_ROWS, _OPEN = 1 << 16, -1
 
 _TABLE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(977))
 _BASE = 0x9E3779B97F4A7C15
@@ -63,14 +65,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, anchor, row) of the segments of some texts: all their windows, in runs with the same anchor."""
+def anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, windows, anchor, row, core) of the segments of some texts (2^20 bytes at most): all their windows, in runs with
+    the same least ``GRAM``-byte substring, which begins ``core`` bytes after the segment."""
     z = np.zeros(0, np.int64)
     if len(data) < WINDOW:
-        return z, z, z.astype(np.uint64), z
+        return z, z, z.astype(np.uint64), z, z
     up, down = _powers(len(data))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * up)))
-    least = mix64((total[GRAM:] - total[:-GRAM]) * down[:len(data) - GRAM + 1])
+    gram = mix64((total[GRAM:] - total[:-GRAM]) * down[:len(data) - GRAM + 1])
+    least = gram & ~_PLACE | np.arange(len(gram), dtype=np.uint64)  # ties go to the leftmost
     width = 1
     while width < SPAN:
         step = min(width, SPAN - width)
@@ -84,20 +88,23 @@ def anchored(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     row = np.searchsorted(off, start, "right") - 1
     whole = start + WINDOW <= off[row + 1]
     start, windows, row = start[whole], windows[whole], row[whole]
-    pieces = -(-windows // SPAN)
-    which = np.repeat(np.arange(len(start)), pieces)
-    step = (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SPAN
-    anchor = mix64(least[start[which]]) >> np.uint64(64 - BITS)  # least values crowd the low end; hash ranges want them even
-    return start[which] + step, np.minimum(windows[which] - step, SPAN), anchor, row[which]
+    place = (least[start] & _PLACE).astype(np.int64)
+    return start, windows, mix64(gram[place]) >> np.uint64(64 - BITS), row, place - start
 
 
 def _stretches(texts: pa.Array):
-    """(rows, data, offsets) of stretches of texts."""
+    """(rows, data, offsets, first bytes) of stretches of texts; a text over ``LONG`` bytes is cut into stretches that share
+    ``WINDOW`` - 1 bytes, so that each of its windows lies in one of them."""
     data, off = utf8(texts)
     n, i = len(off) - 1, 0
     while i < n:
         j = min(max(i + 1, int(np.searchsorted(off, off[i] + STRETCH, "right")) - 1), i + _ROWS, n)
-        yield np.arange(i, j), data[off[i]:off[j]], off[i:j + 1] - off[i]
+        if off[j] - off[i] <= LONG:
+            yield np.arange(i, j), data[off[i]:off[j]], off[i:j + 1] - off[i], np.zeros(j - i, np.int64)
+        else:
+            for a in range(int(off[i]), int(off[j]) - WINDOW + 1, LONG - WINDOW + 1):
+                b = min(a + LONG, int(off[j]))
+                yield np.array([i]), data[a:b], np.array([0, b - a]), np.array([a - off[i]])
         i = j
 
 
@@ -140,11 +147,11 @@ def send_anchors(batches, parts: int):
     for batch in batches:
         batch = _once(batch)
         names = batch.column("key").to_numpy().astype(np.int64)
-        for at, data, off in _stretches(batch.column("text")):
+        for at, data, off, _ in _stretches(batch.column("text")):
             if size and (size >= HELD or held + len(at) > _ROWS):
                 yield emit(pairs, keys)
                 pairs, keys, held, size = [], [], 0, 0
-            _, _, h, row = anchored(data, off)
+            _, _, h, row, _ = anchored(data, off)
             pairs.append((h << np.uint64(16)) | (row + held).astype(np.uint64))
             keys.append(names[at])
             held, size = held + len(at), size + len(h)
@@ -186,19 +193,19 @@ def ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
 
 def cut_segments(batches):
     """Step 2: the segments of the wanted anchors; equal ones are a row with the list of their places."""
-    place = pa.struct([("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
+    place = pa.struct([("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 
     def emit(parts):
-        bytes_, anchor, key, doc, at = ([p[i] for p in parts] for i in range(5))
-        kinds = pa.concat_arrays(bytes_).dictionary_encode()
-        anchor, key, doc, at = (np.concatenate(x) for x in (anchor, key, doc, at))
+        kinds = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+        anchor, core, key, doc, at = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
         which = kinds.indices.to_numpy()
         order = np.argsort(which, kind="stable")
         first = np.flatnonzero(np.diff(which[order], prepend=-1))
         doc = doc[order]
-        places = pa.StructArray.from_arrays([pa.array(key[order]), pa.array(doc), pa.array(at[order].astype(np.int32))], fields=list(place))
+        places = pa.StructArray.from_arrays([pa.array(key[order]), pa.array(doc), pa.array(at[order])], fields=list(place))
         return pa.record_batch({
             "anchor": pa.array(anchor[order][first].astype(np.int64)), "seg": kinds.dictionary.cast(pa.binary()),
+            "core": pa.array(core[order][first].astype(np.int32)),
             "lo": pa.array(np.minimum.reduceat(doc, first)), "hi": pa.array(np.maximum.reduceat(doc, first)),
             "places": pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), places)})
 
@@ -208,14 +215,15 @@ def cut_segments(batches):
         key, doc = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "doc"))
         lists = batch.column("anchors").cast(pa.large_list(pa.int64()))
         begin, wanted = np.asarray(lists.offsets), np.asarray(lists.values).astype(np.uint64)
-        for rows, data, off in _stretches(batch.column("text")):
-            start, windows, h, row = anchored(data, off)
+        for rows, data, off, skipped in _stretches(batch.column("text")):
+            start, windows, h, row, core = anchored(data, off)
             mine = wanted[begin[rows[0]]:begin[rows[-1] + 1]]
             owner = np.repeat(np.arange(len(rows)), np.diff(begin[rows[0]:rows[-1] + 2])).astype(np.uint64)
             ok = np.isin((h << np.uint64(16)) | row.astype(np.uint64), (mine << np.uint64(16)) | owner)
-            start, windows, h, row = start[ok], windows[ok], h[ok], row[ok]
+            start, windows, h, row, core = start[ok], windows[ok], h[ok], row[ok], core[ok]
             if len(start):
-                parts.append((ragged(data, start, windows + WINDOW - 1), h, key[rows[row]], doc[rows[row]], start - off[row]))
+                parts.append((ragged(data, start, windows + WINDOW - 1), h, core, key[rows[row]], doc[rows[row]],
+                              start - off[row] + skipped[row]))
                 size += len(start)
             if size >= HELD // 4:
                 yield emit(parts)
@@ -226,8 +234,8 @@ def cut_segments(batches):
 
 def collection_order(flat: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, class) of all suffixes with ``least`` symbols or more of the strings flat[off[i]:off[i + 1]], in
-    their order; suffixes whose first ``least`` symbols are equal have the same class. Symbols are below 255, strings
-    shorter than 128.
+    their order; suffixes whose first ``least`` symbols are equal have the same class. Symbols are non-negative numbers
+    below 2^31, strings shorter than 128.
 
     The transform starts with the empty suffixes. In round j the symbol before each string's suffix of length j is
     written into that suffix's place, which completes the order of the longer suffixes: a suffix cS stands among those
@@ -235,40 +243,38 @@ def collection_order(flat: np.ndarray, off: np.ndarray, least: int) -> tuple[np.
     more than the least common prefix between S and the neighbour's rest."""
     n = len(off) - 1
     size = np.diff(off)
-    bwt, lcp = np.full(n, _OPEN, np.uint8), np.zeros(n, np.uint8)
+    low = np.int64((1 << 32) - 1)
+    bwt, lcp = np.full(n, _OPEN, np.int32), np.zeros(n, np.uint8)
     name = np.arange(n, dtype=np.uint32) << np.uint32(7)  # string and length of a suffix
-    rests = np.zeros(0, np.int32)  # the places of the non-empty suffixes' rests: rising among suffixes with one first symbol
-    bucket = np.zeros(257, np.int64)  # where the suffixes of each first symbol begin
+    heads = np.zeros(0, np.int64)  # first symbol of each non-empty suffix, and where its rest stands: rising
     who, place = np.arange(n), np.arange(n)
     for j in range(int(size.max(initial=0))):
         goes_on = size[who] > j
         who, place = who[goes_on], place[goes_on]
-        symbol = flat[off[who + 1] - 1 - j]
+        symbol = flat[off[who + 1] - 1 - j].astype(np.int64)
         bwt[place] = symbol
         order = np.argsort(symbol, kind="stable")
         who, place, symbol = who[order], place[order], symbol[order]
-        cut = np.searchsorted(symbol, np.arange(257))
-        at = np.empty(len(who), np.int64)  # the old suffix that each new one comes before
-        for c in np.flatnonzero(np.diff(cut)):
-            mine = slice(cut[c], cut[c + 1])
-            at[mine] = bucket[c] + np.searchsorted(rests[bucket[c]:bucket[c + 1]], place[mine].astype(np.int32))
+        at = np.searchsorted(heads, symbol << 32 | place)  # the old suffix that each new one comes before
         first = np.concatenate(([True], (at[1:] != at[:-1]) | (symbol[1:] != symbol[:-1])))
-        left = ~first | (at > bucket[symbol])
-        before = np.where(first, rests[np.maximum(at - 1, 0)] if len(rests) else 0, np.concatenate(([0], place[:-1])))
-        right = np.append(first[1:], True) & (at < bucket[symbol.astype(int) + 1])
-        after = rests[at[right]]
-        common = _range_least(lcp, np.concatenate((before[left], place[right])) + 1, np.concatenate((place[left], after)) + 1) + 1
+        around = np.concatenate(([-1], heads, [-1]))
+        before, after = around[at], around[at + 1]
+        left = ~first | (before >> 32 == symbol)
+        right = np.append(first[1:], True) & (after >> 32 == symbol)
+        before = np.where(first, before & low, np.concatenate(([0], place[:-1])))
+        common = _range_least(lcp, np.concatenate((before[left], place[right])) + 1,
+                              np.concatenate((place[left], after[right] & low)) + 1) + 1
         ours = np.zeros(len(who), np.uint8)
         ours[left] = common[:left.sum()]
         ins = n + at + np.arange(len(at))
         old = np.ones(len(bwt) + len(ins), bool)
         old[ins] = False
-        moved = np.flatnonzero(old).astype(np.int32)  # where the old suffixes stand now
-        bwt, lcp, rests, name = (
-            _merged(old, bwt, ins, _OPEN), _merged(old, lcp, ins, ours), _merged(old[n:], moved[rests], ins - n, moved[place]),
+        moved = np.flatnonzero(old)  # where the old suffixes stand now
+        bwt, lcp, heads, name = (
+            _merged(old, bwt, ins, _OPEN), _merged(old, lcp, ins, ours),
+            _merged(old[n:], heads & ~low | moved[heads & low], ins - n, symbol << 32 | moved[place]),
             _merged(old, name, ins, (who.astype(np.uint32) << np.uint32(7)) | np.uint32(j + 1)))
         lcp[ins[right] + 1] = common[left.sum():]
-        bucket += np.concatenate((cut[:256], [len(ins)]))
         place = ins
     length = (name & np.uint32(127)).astype(np.int64)
     long = length >= least
@@ -295,18 +301,32 @@ def _range_least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return out
 
 
+def collapsed(kinds: pa.Array, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments as strings of symbols, with their anchor's ``GRAM`` bytes as one symbol: all windows of a segment hold
+    them, at the same place in equal windows."""
+    off = np.frombuffer(kinds.buffers()[1], np.int64)[kinds.offset:kinds.offset + len(kinds) + 1]
+    flat = np.frombuffer(kinds.buffers()[2], np.uint8)
+    grams = ragged(flat, off[:-1] + core, np.full(len(core), GRAM)).dictionary_encode().indices.to_numpy()
+    symbols = flat[off[0]:off[-1]].astype(np.int32)
+    at = off[:-1] - off[0] + core
+    symbols[at] = 256 + grams
+    keep = np.ones(len(symbols), bool)
+    keep[(at[:, None] + np.arange(1, GRAM)).reshape(-1)] = False
+    return symbols[keep], off - off[0] - np.arange(len(off)) * (GRAM - 1)
+
+
 def match_windows(group: pa.Table) -> pa.Table:
-    """Step 3: for each segment (sid, at) runs a..b of windows and the least document that has them, where that is below
-    the segment's largest."""
+    """Step 3: runs of windows of the segments that a document below the segment's largest has. A segment with one place
+    (``key``) gives spans of bytes there; of others (``sid``), runs start..stop of windows with their least document."""
     kinds = group["seg"].cast(pa.large_binary()).combine_chunks().dictionary_encode()
     which = kinds.indices.to_numpy()
-    lo, hi, sid, shift = (group[c].to_numpy() for c in ("lo", "hi", "sid", "at"))
-    off = np.frombuffer(kinds.dictionary.buffers()[1], np.int64)[:len(kinds.dictionary) + 1]
-    flat = np.frombuffer(kinds.dictionary.buffers()[2], np.uint8)
-    n = len(off) - 1
+    lo, hi, shift, core, at = (group[c].to_numpy() for c in ("lo", "hi", "shift", "core", "at"))
+    n = len(kinds.dictionary)
+    cores = np.zeros(n, np.int64)
+    cores[which] = core
     least = np.full(n, _LAST)
     np.minimum.at(least, which, lo)
-    string, start, kind = collection_order(flat, off, WINDOW)
+    string, start, kind = collection_order(*collapsed(kinds.dictionary, cores), WINDOW - GRAM + 1)
     first = np.flatnonzero(np.diff(kind, prepend=-1))
     value = np.repeat(np.minimum.reduceat(least[string], first), np.diff(np.append(first, len(kind)))) if len(kind) else least[:0]
     best = np.full((n, SPAN), _LAST)
@@ -317,26 +337,37 @@ def match_windows(group: pa.Table) -> pa.Table:
     stop = ok & np.concatenate((~ok[:, 1:] | (got[:, 1:] != got[:, :-1]), np.ones((len(got), 1), bool)), 1)
     r, a = np.nonzero(go)
     b = np.nonzero(stop)[1]
-    return pa.table({"sid": sid[r], "a": a + shift[r], "b": b + shift[r], "least": got[r, a]})
+    found = group.select(["key", "sid"]).take(pa.array(r))
+    return pa.table({"key": found["key"], "sid": found["sid"], "doc": pa.array(hi[r]), "least": pa.array(got[r, a]),
+                     "start": pa.array(a + shift[r] + at[r]), "stop": pa.array(b + shift[r] + at[r] + WINDOW)})
 
 
-CUT = StructType([
-    StructField("n_removed", LongType()), StructField("n_spans", LongType()),
-    StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))),
-    StructField("kept_sha256", StringType())])
+SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
+CUT = StructType([StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("spans", SPANS),
+                  StructField("kept_sha256", StringType())])
 
 
-@arrow_udf(CUT)
-def cut_out(texts: pa.Array, lists: pa.Array) -> pa.Array:
-    data, off = utf8(texts)
+@arrow_udf(SPANS)
+def united(lists: pa.Array) -> pa.Array:
+    """Spans that touch or overlap as one, in order."""
     out = []
-    for i, found in enumerate(lists.to_pylist()):
-        text, kept, spans, end = data[off[i]:off[i + 1]], hashlib.sha256(), [], 0
-        for s in sorted((s["start"], s["stop"]) for s in found or ()):
+    for found in lists.to_pylist():
+        spans = []
+        for s in sorted((s["start"], s["stop"]) for s in found):
             if spans and s[0] <= spans[-1]["stop"]:
                 spans[-1]["stop"] = max(spans[-1]["stop"], s[1])
             else:
                 spans.append({"start": s[0], "stop": s[1]})
+        out.append(spans)
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+
+
+@arrow_udf(CUT)
+def cut_out(texts: pa.Array, lists: pa.Array) -> pa.Array:
+    data, off = utf8(texts)
+    out = []
+    for i, found in enumerate(lists.to_pylist()):
+        text, kept, spans, end = data[off[i]:off[i + 1]], hashlib.sha256(), found or [], 0
         for s in spans:
             kept.update(text[end:s["start"]].tobytes())
             end = s["stop"]
@@ -348,7 +379,7 @@ def cut_out(texts: pa.Array, lists: pa.Array) -> pa.Array:
 
 
 def repeated_spans(base: DataFrame) -> DataFrame:
-    """key, doc, spans (start, stop: bytes; may overlap) of the texts of ``base`` (key, doc, text) that repeat others."""
+    """key, doc, found (start, stop: bytes, in order) of the texts of ``base`` (key, doc, text) that repeat others."""
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = 1 << max(0, (size // (14 * MASS))).bit_length()  # an anchor for every 14 bytes or so
     sent = base.select("key", "text").mapInArrow(
@@ -358,25 +389,31 @@ def repeated_spans(base: DataFrame) -> DataFrame:
     n = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
     side, _ = broadcast_if_small(wanted, row_bytes=48 + 8 * (n[1] // max(1, n[0])), max_bytes=SENT_BYTES)
     cut = base.join(side, "key").select("key", "doc", "text", "anchors").mapInArrow(
-        cut_segments, "anchor long, seg binary, lo long, hi long, places array<struct<key: long, doc: long, at: int>>")
-    segments = materialize(cut.withColumn("sid", F.monotonically_increasing_id()), "segments")
+        cut_segments, "anchor long, seg binary, core int, lo long, hi long, places array<struct<key: long, doc: long, at: long>>")
+    segments = materialize(cut.withColumn("sid", F.monotonically_increasing_id()), "segments", compression="zstd")
 
     total = segments.agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0))).first()[0]
     groups = total // GROUP_BYTES + 1
     hot = materialize(segments.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
-    marked = segments.join(broadcast_if_small(hot, row_bytes=32)[0], "anchor", "left")
+    one = F.size("places") == 1
+    marked = segments.select("anchor", "seg", "core", "lo", "hi", F.when(one, F.col("places")[0]["key"]).alias("key"),
+                             F.when(one, F.col("places")[0]["at"]).otherwise(0).alias("at"), F.when(~one, F.col("sid")).alias("sid"))
+    marked = marked.join(broadcast_if_small(hot, row_bytes=32)[0], "anchor", "left")
     single = F.posexplode(F.when(F.col("hot"), F.transform(
         F.sequence(F.lit(0), F.octet_length("seg") - WINDOW), lambda i: F.substring(F.col("seg"), i + 1, F.lit(WINDOW)))
-    ).otherwise(F.array("seg"))).alias("at", "seg")
-    dealt = marked.select("sid", "lo", "hi", "anchor", "hot", single).withColumn(
-        "g", F.pmod(F.when(F.col("hot"), F.xxhash64("seg")).otherwise(F.xxhash64("anchor")), F.lit(groups)))
-    found = dealt.select("g", "sid", "at", "seg", "lo", "hi").groupBy("g").applyInArrow(match_windows, "sid long, a long, b long, least long")
-    runs = found.groupBy("sid").agg(F.collect_list(F.struct("a", "b", "least")).alias("runs"))
-    each = segments.select("sid", "places").join(runs, "sid").select("runs", F.explode("places").alias("p"))
+    ).otherwise(F.array("seg"))).alias("shift", "window")
+    dealt = marked.select("*", single).select(
+        F.pmod(F.when(F.col("hot"), F.xxhash64("window")).otherwise(F.xxhash64("anchor")), F.lit(groups)).alias("g"),
+        "key", "sid", "shift", "at", F.col("window").alias("seg"), (F.col("core") - F.col("shift")).alias("core"), "lo", "hi")
+    found = materialize(dealt.groupBy("g").applyInArrow(
+        match_windows, "key long, sid long, doc long, least long, start long, stop long"), "runs", compression="zstd")
+    alone = found.filter("key is not null").select("key", "doc", "start", "stop")
+    runs = found.filter("sid is not null").groupBy("sid").agg(F.collect_list(F.struct("start", "stop", "least")).alias("runs"))
+    each = segments.filter(F.size("places") > 1).select("sid", "places").join(runs, "sid").select("runs", F.explode("places").alias("p"))
     each = each.select("p", F.explode("runs").alias("r")).filter(F.col("r.least") < F.col("p.doc"))
-    spans = each.select("p.key", "p.doc", (F.col("p.at") + F.col("r.a")).alias("start"),
-                        (F.col("p.at") + F.col("r.b") + WINDOW).alias("stop")).distinct()
-    return spans.groupBy("key", "doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    each = each.select("p.key", "p.doc", (F.col("p.at") + F.col("r.start")).alias("start"), (F.col("p.at") + F.col("r.stop")).alias("stop"))
+    spans = alone.unionByName(each).groupBy("key", "doc").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    return spans.withColumn("found", united("found"))
 
 
 def mark_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
