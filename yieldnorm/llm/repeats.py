@@ -320,7 +320,8 @@ def match_windows(group: pa.Table) -> pa.Table:
     (``key``) gives spans of bytes there; of others (``sid``), runs start..stop of windows with their least document."""
     kinds = group["seg"].cast(pa.large_binary()).combine_chunks().dictionary_encode()
     which = kinds.indices.to_numpy()
-    lo, hi, shift, core, at = (group[c].to_numpy() for c in ("lo", "hi", "shift", "core", "at"))
+    lo, hi, where = (group[c].to_numpy() for c in ("lo", "hi", "where"))
+    at, core = where >> 8, where & 255
     n = len(kinds.dictionary)
     cores = np.zeros(n, np.int64)
     cores[which] = core
@@ -339,7 +340,7 @@ def match_windows(group: pa.Table) -> pa.Table:
     b = np.nonzero(stop)[1]
     found = group.select(["key", "sid"]).take(pa.array(r))
     return pa.table({"key": found["key"], "sid": found["sid"], "doc": pa.array(hi[r]), "least": pa.array(got[r, a]),
-                     "start": pa.array(a + shift[r] + at[r]), "stop": pa.array(b + shift[r] + at[r] + WINDOW)})
+                     "start": pa.array(a + at[r]), "stop": pa.array(b + at[r] + WINDOW)})
 
 
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
@@ -350,16 +351,19 @@ CUT = StructType([StructField("n_removed", LongType()), StructField("n_spans", L
 @arrow_udf(SPANS)
 def united(lists: pa.Array) -> pa.Array:
     """Spans that touch or overlap as one, in order."""
-    out = []
-    for found in lists.to_pylist():
-        spans = []
-        for s in sorted((s["start"], s["stop"]) for s in found):
-            if spans and s[0] <= spans[-1]["stop"]:
-                spans[-1]["stop"] = max(spans[-1]["stop"], s[1])
-            else:
-                spans.append({"start": s[0], "stop": s[1]})
-        out.append(spans)
-    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+    lists = lists.cast(pa.large_list(lists.type.value_type))
+    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    start, stop = (np.asarray(x) for x in lists.flatten().flatten())
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    # a row's numbers lie above those of the rows before it, so one running maximum serves all rows
+    above = row * (int(stop.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(stop + above)
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | ((start + above)[1:] > reach[:-1])))) if len(row) else order
+    ends = np.append(first[1:] - 1, len(row) - 1) if len(first) else first
+    spans = pa.StructArray.from_arrays([pa.array(start[first]), pa.array((reach - above)[ends])], ["start", "stop"])
+    off = np.searchsorted(row[first], np.arange(len(lists) + 1))
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), spans)
 
 
 @arrow_udf(CUT)
@@ -385,10 +389,9 @@ def repeated_spans(base: DataFrame) -> DataFrame:
     sent = base.select("key", "text").mapInArrow(
         lambda b: send_anchors(b, parts), "part long, known boolean, hashes binary, lone binary, codes binary, keys binary")
     wanted = sent.groupBy("part").applyInArrow(shared_anchors, "key long, anchor long")
-    wanted = materialize(wanted.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "anchors")
-    n = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
-    side, _ = broadcast_if_small(wanted, row_bytes=48 + 8 * (n[1] // max(1, n[0])), max_bytes=SENT_BYTES)
-    cut = base.join(side, "key").select("key", "doc", "text", "anchors").mapInArrow(
+    # about as large as the texts, so never broadcast
+    wanted = wanted.groupBy("key").agg(F.collect_set("anchor").alias("anchors")).hint("shuffle_merge")
+    cut = base.join(wanted, "key").select("key", "doc", "text", "anchors").mapInArrow(
         cut_segments, "anchor long, seg binary, core int, lo long, hi long, places array<struct<key: long, doc: long, at: long>>")
     segments = materialize(cut.withColumn("sid", F.monotonically_increasing_id()), "segments", compression="zstd")
 
@@ -404,7 +407,8 @@ def repeated_spans(base: DataFrame) -> DataFrame:
     ).otherwise(F.array("seg"))).alias("shift", "window")
     dealt = marked.select("*", single).select(
         F.pmod(F.when(F.col("hot"), F.xxhash64("window")).otherwise(F.xxhash64("anchor")), F.lit(groups)).alias("g"),
-        "key", "sid", "shift", "at", F.col("window").alias("seg"), (F.col("core") - F.col("shift")).alias("core"), "lo", "hi")
+        "key", "sid", F.col("window").alias("seg"), "lo", "hi",
+        (F.shiftleft(F.col("at") + F.col("shift"), 8) + (F.col("core") - F.col("shift"))).alias("where"))
     found = materialize(dealt.groupBy("g").applyInArrow(
         match_windows, "key long, sid long, doc long, least long, start long, stop long"), "runs", compression="zstd")
     alone = found.filter("key is not null").select("key", "doc", "start", "stop")
