@@ -134,3 +134,20 @@ def test_overlap_is_the_plain_one(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.classes(df).count() == 0 and minhash.drop_near_duplicates(df).count() == 0
+
+
+def test_clashing_columns(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text, 1, 2), (2, text.upper(), 3, 4), (3, "other words", 5, 6)],
+                               "doc_id long, text string, __n int, __k int")
+    more = df.withColumns({c: df["__n"] for c in ("node_", "key_", "times_", "row_", "own_node_", "own_key_")})
+    got = minhash.drop_near_duplicates(more)
+    assert got.columns == more.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_small_groups_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 500)
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    got = minhash.classes(docs).collect()
+    assert partition((r.doc_id, r.class_id) for r in got) == partition(zip((d for d, _ in data), brute(data)))

@@ -255,7 +255,14 @@ _MADE: dict[tuple, object] = {}
 
 
 def shared(kind, path: str, max_runs: int = MAX_RUNS):
-    """One counter or encoder for each worker process, file and table size; its table of runs outlives a task."""
+    """One counter or encoder for each worker process, file and table size; its table of runs outlives a task. A worker keeps
+    the last one only: workers serve many stages, and the tables of earlier ones would stay in their memory."""
     if (kind, path, max_runs) not in _MADE:
+        _MADE.clear()
         _MADE[kind, path, max_runs] = kind(path, max_runs)
     return _MADE[kind, path, max_runs]
+
+
+def release() -> None:
+    """Forgets the worker's counter or encoder."""
+    _MADE.clear()

@@ -30,6 +30,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, DoubleType
 
 from ..plans.sizing import broadcast_if_small, materialize
+from . import bpe
 from .common import SLICE_BYTES, fresh, mix64, ship, slices, text_or_empty, utf8, word_bounds, word_hashes
 from .components import components
 
@@ -37,8 +38,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
 SIZE = BANDS * ROWS
 #: Texts of so many bytes are signed at once.
 SIGN_BYTES = SLICE_BYTES
-#: Texts of a block, and rows that a task's group holds (about).
-BLOCK, GROUP_ROWS = 1024, 2000
+#: Texts of a block, and rows and bytes of text that a task's group holds (about).
+BLOCK, GROUP_ROWS, GROUP_BYTES = 1024, 2000, 8 << 20
 #: Candidate texts' keys are broadcast up to this size, else the join shuffles.
 KEY_BYTES = 64 << 20
 _UNIT = 1 << 36  # fixed-point unit of arrival times, so that their sums are exact
@@ -161,6 +162,7 @@ def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
 
 @arrow_udf(BinaryType())
 def signature(texts: pa.Array) -> pa.Array:
+    bpe.release()  # a worker that packed or counted tokens before would keep its tables beside the signatures
     return sign(texts)
 
 
@@ -172,7 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("s", similarity("ta", "tb")).filter(F.col("s") >= threshold).select("a", "b")
 
 
-def _cell_links(sig: np.ndarray, label: np.ndarray, text: list, one: np.ndarray, two: np.ndarray, band: int,
+def _cell_links(sig: np.ndarray, label: np.ndarray, text: pa.Array, one: np.ndarray, two: np.ndarray, band: int,
                 threshold: float) -> list[tuple[int, int]]:
     """Links (positions) between texts of different classes in a cell: ``one`` against ``two``, or within one block."""
     least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / SIZE)
@@ -200,7 +202,7 @@ def _cell_links(sig: np.ndarray, label: np.ndarray, text: list, one: np.ndarray,
         return c
 
     used = np.unique(found[1:].astype(np.int64))
-    bag = dict(zip(used.tolist(), _bag_list(pa.array([text[k] for k in used], pa.string()))))
+    bag = dict(zip(used.tolist(), _bag_list(text.take(pa.array(used)))))
     out = []
     for k in np.argsort(-found[0], kind="stable"):
         i, j = int(found[1, k]), int(found[2, k])
@@ -213,9 +215,10 @@ def _cell_links(sig: np.ndarray, label: np.ndarray, text: list, one: np.ndarray,
 
 def compare_cells(group: pa.Table, threshold: float) -> pa.Table:
     """Links (a, b: rows) found in the cells of a group; see ``classes``."""
+    bpe.release()
     no, band, lo, hi, mine, row, label = (group[c].to_numpy() for c in ("no", "band", "lo", "hi", "block", "row", "component"))
     sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(row), SIZE)
-    text = group["text"].to_pylist()
+    text = group["text"].cast(pa.large_string()).combine_chunks()  # stays in Arrow: only texts of likely pairs are read
     order = np.lexsort((row, hi, lo, band))
     cell = np.stack([band, lo, hi])[:, order]
     ends = np.flatnonzero(np.concatenate(([True], (cell[:, 1:] != cell[:, :-1]).any(0), [True])))
@@ -276,7 +279,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", k
     placed = materialize(placed.withColumn("component", F.coalesce("component", "row")), "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     cells = materialize(cells_of(placed.join(mixed.select("band"), "band", "left_semi")), "cells")
-    groups = max(1, -(-cells.count() // GROUP_ROWS))
+    sizes = texts.select("row", F.octet_length("text").alias("size"))
+    held = cells.join(sizes, "row").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    groups = max(1, -(-held["n"] // GROUP_ROWS), -(-held["size"] // GROUP_BYTES))
     full = cells.join(signed.select("row", "sig"), "row").join(texts, "row")
     dealt = full.withColumn("g", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(groups)))
     more = dealt.groupBy("g").applyInArrow(lambda t: compare_cells(t, threshold), "a long, b long")
@@ -295,12 +300,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", k
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    n, k, t, r = fresh(docs, "node_", "key_", "times_", "row_")
+    n, k, t, r, mine, own = fresh(docs, "node_", "key_", "times_", "row_", "own_node_", "own_key_")
     kept = classes(docs, threshold, text, key)
     kept = kept.groupBy("node", "doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias(t)).filter("stays")
     kept = kept.select(F.col("node").alias(n), F.col("doc_id").alias(k), t)
-    rows = docs.select("*", F.unhex(F.md5(F.lower(text_or_empty(docs, text)))).alias("__n"), docs[key].alias("__k"))
-    rows = rows.join(kept, (F.col("__n") == F.col(n)) & F.col("__k").eqNullSafe(F.col(k)))
+    rows = docs.select("*", F.unhex(F.md5(F.lower(text_or_empty(docs, text)))).alias(mine), docs[key].alias(own))
+    rows = rows.join(kept, (F.col(mine) == F.col(n)) & F.col(own).eqNullSafe(F.col(k)))
     once = rows.filter(F.col(t) == 1).select(docs.columns)
     # rows repeated with the same doc_id and text: one stays, reduced map-side
     repeated = rows.filter(F.col(t) > 1).groupBy(n, k).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(r))
