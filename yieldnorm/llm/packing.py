@@ -43,9 +43,9 @@ def cuts(n: int, window: int = WINDOW, max_piece: int = MAX_PIECE) -> list[tuple
 
 def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, max_piece: int = MAX_PIECE,
                   with_ids: bool = False, text: str = "text", key: str = "doc_id",
-                  max_runs: int = bpe.MAX_RUNS) -> DataFrame:
+                  max_runs: int = bpe.MAX_RUNS, keep: bool = True) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids. A worker keeps a table of
-    ``max_runs`` runs of text that it has encoded."""
+    ``max_runs`` runs of text that it has encoded, from task to task if ``keep``."""
     fields = [StructField("doc_id", docs.schema[key].dataType)]
     fields += [StructField(c, LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
     fields += [StructField("ids", ArrayType(LongType()))] * with_ids
@@ -75,6 +75,9 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
                     cols.append(pa.array(ids, pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        if not keep:
+            del encoder
+            bpe.release()
 
     return docs.select(docs[key], text_or_empty(docs, text)).mapInArrow(cut, StructType(fields))
 
@@ -169,9 +172,9 @@ def place_pieces(pieces: DataFrame, window: int = WINDOW, group_windows: int = G
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, max_piece: int = MAX_PIECE,
          group_windows: int = GROUP_WINDOWS, with_ids: bool = False, text: str = "text", key: str = "doc_id",
-         max_runs: int = bpe.MAX_RUNS) -> DataFrame:
+         max_runs: int = bpe.MAX_RUNS, keep: bool = True) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), doc_tokens,
     sequence_id, offset and, if asked for, ids."""
     ship(docs.sparkSession)
-    made = cut_documents(docs, path, window, end_id, max_piece, with_ids, text, key, max_runs)
+    made = cut_documents(docs, path, window, end_id, max_piece, with_ids, text, key, max_runs, keep)
     return place_pieces(made, window, group_windows)
