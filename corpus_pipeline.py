@@ -43,11 +43,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, each in its place in a window."""
     local_checkpoints(spark)
-    # workers keep their tables while they serve the other stages, so these are small
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), max_runs=RUNS)
+    # the same workers serve the other stages: tables are small and go with the task
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), max_runs=RUNS, keep=False)
 
 
-RUNS = 200_000
+RUNS = 100_000
 
 STAGES = [("quality", quality_filter), ("exact_dedup", exact_duplicates), ("near_dedup", near_duplicates),
           ("mixing", mix_sources), ("packing", pack_windows)]
