@@ -51,6 +51,7 @@ def small_fits(monkeypatch):
     """The same queries over fewer trees; the SQL twins hold for any fit (grid points but for the tree counts)."""
     monkeypatch.setattr(registry, "GBT_PARAMS", {"maxIter": 3, "maxDepth": 3, "stepSize": 0.2})
     monkeypatch.setattr(registry, "GBT_GRID", {"maxIter": [1, 2, 3], "maxDepth": [1, 2, 3], "stepSize": [0.05, 0.1, 0.2]})
+    monkeypatch.setitem(ORACLE, "gbt_prefix_rmse", ORACLE["gbt_prefix_rmse"].replace("(50), (100)", "(1), (2), (3)"))
     sql = ORACLE["gbt_grid_points"].replace("(0, 50), (1, 100), (2, 200)", "(0, 1), (1, 2), (2, 3)")
     monkeypatch.setitem(ORACLE, "gbt_grid_points", sql.replace("(0, 3), (1, 5), (2, 7)", "(0, 1), (1, 2), (2, 3)"))
 

@@ -391,6 +391,11 @@ FROM weather w JOIN known_mapping m ON w.latitude = m.latitude AND w.longitude =
     q["gbt_prediction_rows"] = corn + f"SELECT {keys}, true AS predicted, true AS residual_is_difference FROM corn"
     q["gbt_by_crop_rows"] = FACT_SUM + (f"SELECT {keys}, true AS predicted, true AS residual_is_difference FROM fact_sum "
                                         "WHERE yield_amount IS NOT NULL")
+    q["gbt_tree_scores"] = corn + f"SELECT {keys}, true AS scores_equal FROM corn"
+    q["gbt_first_leaves"] = corn + ("SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS leaves_are_means, "
+                                    "round(CAST(sum(yield_amount) AS DOUBLE), 6) AS total_yield FROM corn")
+    q["gbt_prefix_rmse"] = corn + ("SELECT CAST(k AS INTEGER) AS maxIter, count(*) AS n, true AS rmse_equals_grid "
+                                   "FROM corn CROSS JOIN (VALUES (50), (100)) AS its(k) GROUP BY k")
     q["gbt_importance_sum"] = "SELECT CAST(6 AS BIGINT) AS n_features, true AS all_between_0_and_1, CAST(1.0 AS DOUBLE) AS total"
     q["gbt_grid_points"] = """SELECT CAST(row_number() OVER (ORDER BY a.i, d.i, s.i) - 1 AS INTEGER) AS grid_pos, a.v AS maxIter,
        d.v AS maxDepth, s.v AS stepSize, true AS rmse_not_above_fewer_trees

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from ..operators import enrich, fact, geo, model, quality, rank, stats, weather, yields
+from ..operators import enrich, fact, geo, model, quality, rank, stats, trees, weather, yields
 from .. import sinks
 from ..sources import county_rings, fixtures, read_county_rings, read_fips, tables
 from ..streaming import annual as streaming_annual
@@ -410,9 +410,13 @@ def _corn_ml(spark, d):
     return ml
 
 
+def _corn_model_path(spark, d):
+    return f"{run_folder(spark)}/model-{_key(d, GBT_PARAMS)}"
+
+
 def _corn_model(spark, d):
     """(model table, fitted pipeline): the fit is stored once per run and read by its queries."""
-    ml, path = _corn_ml(spark, d), f"{run_folder(spark)}/model-{_key(d, GBT_PARAMS)}"
+    ml, path = _corn_ml(spark, d), _corn_model_path(spark, d)
     if not path_exists(spark, f"{path}-done/_SUCCESS"):
         model.fit(ml, GBT_PARAMS).write().overwrite().save(path)
         spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
@@ -456,6 +460,41 @@ def q_gbt_prediction_rows(spark, d):
     return _prediction_rows(_corn_predictions(spark, d))
 
 
+def _corn_scored(spark, d):
+    """(rows with their fitted prediction and every tree's part of it, the trees), scored by descent over the tree table."""
+    pred = _corn_predictions(spark, d)
+    table = trees.nodes(spark, _corn_model_path(spark, d))
+    return trees.score(pred, table, depth=GBT_PARAMS["maxDepth"]), table
+
+
+def _near(a, b, within=1e-9):
+    return F.abs(a - b) <= within * F.greatest(F.lit(1.0), F.abs(b))
+
+
+def q_gbt_tree_scores(spark, d):
+    """M4: descent over the tree table gives the fitted model's prediction of every row."""
+    scored, _ = _corn_scored(spark, d)
+    return rounded(scored.select(*rank.KEYS, "yield_amount", _near(trees.first_trees(F.col("parts")), F.col("predicted_yield"))
+                                 .alias("scores_equal")))
+
+
+def q_gbt_first_leaves(spark, d):
+    """M2/M3: each leaf of the first tree holds the mean of the labels that reach it."""
+    leaves = trees.leaf_means(*_corn_scored(spark, d))
+    return rounded(leaves.agg(F.sum("n").alias("n_rows"), F.bool_and(F.coalesce(_near(F.col("value"), F.col("mean")), F.lit(False)))
+                              .alias("leaves_are_means"), F.sum(F.col("n") * F.col("value")).alias("total_yield")))
+
+
+def q_gbt_prefix_rmse(spark, d):
+    """M6: sums over the first trees of one fit give the grid's errors for fewer iterations."""
+    scored, _ = _corn_scored(spark, d)
+    mine = [k for k in GBT_GRID["maxIter"] if k <= GBT_PARAMS["maxIter"]]
+    same = (F.col("maxDepth") == GBT_PARAMS["maxDepth"]) & (F.col("stepSize") == GBT_PARAMS["stepSize"])
+    grid = _corn_grid(spark, d).filter(same).select("maxIter", F.col("rmse").alias("grid_rmse"))
+    got = trees.rmse_by_iterations(scored, mine).join(grid, "maxIter", "left")
+    return got.select("maxIter", "n", F.coalesce(_near(F.col("rmse"), F.col("grid_rmse")), F.lit(False)).alias("rmse_equals_grid"))
+
+
 def q_gbt_predictions_view(spark, d):
     """The original's 12-column prediction table, largest |residual| first (top 50)."""
     return rounded(rank.largest_abs(rank.layout(_corn_predictions(spark, d), with_state=False), 50))
