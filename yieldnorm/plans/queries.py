@@ -78,7 +78,7 @@ def q_src_county_summary(spark, d):
 # ---------------------------------------------------------------- geocoding and weather
 
 def _rings(spark, d):
-    return materialize(fixtures.county_ring_table(spark, d), "rings")
+    return flows.fixture_rings(spark, d)
 
 
 def _written_features(spark, d, lines):
@@ -164,12 +164,12 @@ def q_annual_sum_direct(spark, d):
 
 def q_annual_sum(spark, d):
     w, r, _ = flows.fixture_inputs(spark, d)
-    return flows.annual_weather(w, r, "sum", cell=CELL)
+    return flows.annual_weather(w, r, "sum", cell=CELL, share_rings=False)
 
 
 def q_annual_avg(spark, d):
     w, r, _ = flows.fixture_inputs(spark, d)
-    return rounded(flows.annual_weather(w, r, "avg", cell=CELL))
+    return rounded(flows.annual_weather(w, r, "avg", cell=CELL, share_rings=False))
 
 
 def q_streaming_annual_sum(spark, d):
@@ -183,7 +183,7 @@ def q_streaming_annual_sum(spark, d):
 def q_annual_avg_unfilled(spark, d):
     """A2 without P13: county-years whose measure is never observed keep a null average."""
     w, r, _ = flows.fixture_inputs(spark, d)
-    return rounded(flows.annual_weather(w, r, "avg", cell=CELL, fill_avg=False))
+    return rounded(flows.annual_weather(w, r, "avg", cell=CELL, share_rings=False, fill_avg=False))
 
 
 def q_yields_prepared(spark, d):
@@ -215,7 +215,7 @@ def q_fact_preview(spark, d):
 def q_annual_sum_years(spark, d):
     """F13 pushed to the scan: only 1996-2000 observations are aggregated."""
     w, r, _ = flows.fixture_inputs(spark, d)
-    return flows.annual_weather(w, r, "sum", cell=CELL, years=(1996, 2000))
+    return flows.annual_weather(w, r, "sum", cell=CELL, share_rings=False, years=(1996, 2000))
 
 
 def q_fact_years(spark, d):
