@@ -19,12 +19,15 @@ COLUMNS = {
     5: "doc_id:bigint n_bytes:bigint n_tokens:bigint over_limit:boolean", 6: "vec_id:bigint n_links:bigint component_id:bigint kept:boolean",
     7: "doc_id:bigint component_id:bigint kept:boolean", 8: "doc_id:bigint held_out:boolean score:double predicted:int",
     9: "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint",
-    10: "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int"}
+    10: "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
+    11: "anchor_id:bigint positive_id:bigint rank:int negative_id:bigint positive_score:bigint negative_score:bigint",
+    12: "lang:string rank:bigint phrase:string a:bigint l:bigint r:bigint n:bigint score:bigint",
+    13: "doc_id:bigint n_bytes:bigint n_removed:bigint n_spans:bigint kept_sha256:string"}
 BY_NUMBER = {int(n[2:].split("_")[0]): n for n in queries.QUERIES}
 
 
 def test_each_operator_has_one_query():
-    assert BY_NUMBER.keys() == COLUMNS.keys() == set(range(1, 11)) and len(queries.QUERIES) == 10
+    assert BY_NUMBER.keys() == COLUMNS.keys() == set(range(1, 14)) and len(queries.QUERIES) == 13
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -39,7 +42,8 @@ def test_contract_columns(spark, n):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF0001}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF0001}/{t}.parquet')")
     want = con.sql(queries.ORACLE[name])
     got = queries.QUERIES[name](spark, SF0001)
     assert got.columns == want.columns
