@@ -29,6 +29,7 @@ HEADLINE = [
     "residual_consistency",   # R2
     "anomalies_geo",          # J4 + P9-P12
     "county_summary_geo",     # J5/J6 + A10
+    "gbt_predictions",        # M1-M4: the fit (stored once per run), load and score
 ]
 
 
