@@ -85,7 +85,7 @@ _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-               doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+               row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {_NORM} AS t FROM documents)
         WINDOW g AS (PARTITION BY t)""",
     "op11_hard_negatives": """
