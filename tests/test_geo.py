@@ -76,7 +76,8 @@ def test_rings_parsed(rings):
     assert (r6.state_code, r6.county_code, r6.county_name) == ("05", "005", "Unknown")
 
 
-@pytest.mark.parametrize("cell,refine", [(0.5, "ring"), (1.0, "ring"), (7.0, "ring"), (0.5, "bands"), (7.0, "bands")])
+@pytest.mark.parametrize("cell,refine", [(0.5, "ring"), (1.0, "ring"), (7.0, "ring"), (0.5, "bands"), (7.0, "bands"),
+                                         ("auto", "quadtree")])
 def test_assign_matches_plain_loop(spark, rings, cell, refine):
     pts = spark.createDataFrame([(float(y), float(x)) for x, y in POINTS] + [(None, 1.0), (1.0, None)],
                                 "latitude double, longitude double")
@@ -89,7 +90,7 @@ def test_assign_matches_plain_loop(spark, rings, cell, refine):
     assert known == {k: v[2] for k, v in want.items() if v[0] != "-1"}
 
 
-@pytest.mark.parametrize("refine", ["ring", "bands"])
+@pytest.mark.parametrize("refine", ["ring", "bands", "quadtree"])
 def test_holes_subtract(spark, rings, refine):
     pts = spark.createDataFrame([(1.5, 1.5), (0.5, 0.5)], "latitude double, longitude double")
     got = {(r.latitude, r.longitude): r.geo_county_name
@@ -138,6 +139,8 @@ def test_rectangles_are_half_open_first_wins(spark, rects, pts):
     bands = {(r.latitude, r.longitude): r.geo_county_name
              for r in geo.assign(p, rings, cell=0.75, refine="bands").collect()}
     assert bands == got
+    tree = {(r.latitude, r.longitude): r.geo_county_name for r in geo.assign(p, rings, refine="quadtree").collect()}
+    assert tree == got
     for x, y in pts:
         want = "Unknown"
         for i, (x0, y0, w, h) in enumerate(rects):

@@ -278,6 +278,7 @@ GROUP BY n.n_regionkey, n.n_nationkey, n.n_name, s.poly_no, s.ring_no, s.n_point
     q["geo_mapping_bands"] = q["geo_mapping"]
     q["geo_mapping_auto"] = q["geo_mapping"]
     q["geo_mapping_ring"] = q["geo_mapping"]
+    q["geo_mapping_quadtree"] = q["geo_mapping"]
     q["geo_mapping_known"] = with_(*BASE) + "SELECT * FROM known_mapping"
     q["weather_with_county"] = with_(*BASE) + """SELECT w.latitude, w.longitude, w.date, w.precipitation, w.temp_max,
        w.temp_min, w.snow_depth, w.snowfall, m.geo_state_code, m.geo_county_code, m.geo_county_name,

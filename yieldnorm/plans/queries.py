@@ -143,6 +143,11 @@ def q_geo_mapping_ring(spark, d):
                       cell=CELL)
 
 
+def q_geo_mapping_quadtree(spark, d):
+    """J1 by the adaptive cover of every ring instead of a grid."""
+    return geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True, refine="quadtree")
+
+
 def q_geo_mapping_known(spark, d):
     return geo.known(geo.assign(fixtures.weather_daily(spark, d), _rings(spark, d), keep_unknown=True, cell=CELL))
 
