@@ -50,3 +50,31 @@ def test_consistency_patterns(spark):
     got = {r.county_code: r.pattern for r in rank.consistency(df, threshold=0.75).collect()}
     assert got == {"001": "consistent outperformer", "002": "consistent underperformer", "003": "mixed", "004": None}
     assert "pattern" not in rank.consistency(df).columns
+
+
+def test_half_tail_equals_sums_of_binomials(spark):
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    from yieldnorm.functions.binomial import half_tail
+    cases = [(n, k) for n in (0, 1, 2, 7, 30) for k in range(-1, n + 2)] + [(3000, 1500), (3000, 1600), (None, 1), (3, None), (-1, 0)]
+    got = spark.createDataFrame(cases, "n long, k long").withColumn("p", half_tail(F.col("n"), F.col("k"))).collect()
+    for r in got:
+        if r.n is None or r.k is None or r.n < 0:
+            assert r.p is None
+        else:
+            want = sum(comb(r.n, i) for i in range(max(r.k, 0), r.n + 1)) / 2 ** r.n
+            assert abs(r.p - want) < 1e-9
+
+
+def test_sign_test(spark):
+    rows = ([("up", y, 1.0 + y % 3) for y in range(6)] + [("down", y, -0.5) for y in range(9)] + [("two", y, 3.0) for y in range(2)]
+            + [("mixed", y, (-1.0) ** y) for y in range(8)] + [("none", 1, None), ("none", 2, 0.0), ("none", 3, float("nan"))]
+            + [("up", 0, 5.0), ("up", 1, -1.0)])  # further practices of a year: the mean's sign counts once
+    got = {r.g: r for r in rank.sign_test(spark.createDataFrame(rows, "g string, year int, residual double"), by=["g"]).collect()}
+    assert (got["up"].n_signed, got["up"].n_above, got["up"].pattern) == (6, 6, "consistent outperformer")
+    assert abs(got["up"].p_above - 1 / 64) < 1e-12 and got["up"].p_below == 1.0
+    assert (got["down"].n_above, got["down"].pattern) == (0, "consistent underperformer")
+    assert got["two"].pattern == got["mixed"].pattern == got["none"].pattern == "not shown"
+    assert (got["none"].n_signed, got["none"].p_above, got["none"].p_below) == (0, 1.0, 1.0)

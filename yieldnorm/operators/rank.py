@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binomial import half_tail
 from .enrich import matched
 from .model import FEATURES
 
@@ -94,6 +95,27 @@ def consistency(df: DataFrame, by: Sequence[str] = ("state_code", "county_code",
     )
 
 
+def sign_test(df: DataFrame, by: Sequence[str] = ("state_code", "county_code", "commodity_name"),
+              col: str = "residual", alpha: float = 0.05, year: str = "year") -> DataFrame:
+    """R2 with evidence: is a group above (or below) its expectation in more years than chance would have it?
+
+    A year counts once, by the sign of its mean residual; years at exactly 0, null or NaN have no sign. ``p_above`` is the
+    exact chance of at least ``n_above`` of ``n_signed`` years above when both signs are equally likely, ``p_below``
+    likewise of at least ``n_signed - n_above`` years below. ``pattern`` says 'consistent outperformer' or 'consistent
+    underperformer' when twice that chance is at most ``alpha`` (two-sided), else 'not shown'; so few years prove
+    nothing: at 0.05 it takes six of six. A group without a signed year has chances 1 and is 'not shown'.
+    """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must be between 0 and 1")
+    r = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+    per_year = df.groupBy(*by, year).agg(F.avg(r).alias("__r"))
+    out = per_year.groupBy(*by).agg(F.count_if(F.col("__r") != 0).alias("n_signed"), F.count_if(F.col("__r") > 0).alias("n_above"))
+    n, k = F.col("n_signed"), F.col("n_above")
+    out = out.withColumns({"p_above": half_tail(n, k), "p_below": half_tail(n, n - k)})
+    return out.withColumn("pattern", F.when(F.col("p_above") * 2 <= alpha, "consistent outperformer")
+                          .when(F.col("p_below") * 2 <= alpha, "consistent underperformer").otherwise("not shown"))
+
+
 def for_year(df: DataFrame, year: int, col: str = "year") -> DataFrame:
     """the year filter parameter of the reporting notebook."""
     return df.filter(F.col(col) == F.lit(year))

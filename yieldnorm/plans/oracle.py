@@ -364,6 +364,18 @@ FROM weather w JOIN known_mapping m ON w.latitude = m.latitude AND w.longitude =
     q["residual_patterns"] = by_year + (
         f"SELECT {cols}, CASE WHEN share_positive >= 0.75 THEN 'consistent outperformer' WHEN share_positive <= 0.25 "
         "THEN 'consistent underperformer' WHEN share_positive IS NOT NULL THEN 'mixed' END AS pattern FROM steady")
+    # chances of at least k of n signs, term by term from log-gamma
+    def tail(k):
+        return (f"(SELECT coalesce(sum(exp(lgamma(n_signed + 1) - lgamma(i + 1) - lgamma(n_signed - i + 1) - n_signed * ln(2))), 0) "
+                f"FROM range(0, 1000) t(i) WHERE i >= {k} AND i <= n_signed)")
+
+    q["residual_sign_test"] = by_year.rstrip("\n") + (
+        ",\nsigns AS (SELECT state_code, county_code, commodity_name, CAST(count(*) FILTER (WHERE res <> 0) AS BIGINT) AS n_signed, "
+        "CAST(count(*) FILTER (WHERE res > 0) AS BIGINT) AS n_above FROM by_year GROUP BY ALL),\n"
+        f"tails AS (SELECT *, {tail('n_above')} AS p_above, {tail('n_signed - n_above')} AS p_below FROM signs)\n"
+        "SELECT state_code, county_code, commodity_name, n_signed, n_above, round(p_above, 9) AS p_above, round(p_below, 9) AS p_below, "
+        "CASE WHEN p_above <= 0.15 THEN 'consistent outperformer' WHEN p_below <= 0.15 THEN 'consistent underperformer' "
+        "ELSE 'not shown' END AS pattern FROM tails")
     q["fips_clean"] = ENRICH + "SELECT * FROM fips_clean"
     q["fips_duplicates"] = ENRICH + ("SELECT county, state_abbr, CAST(count(*) AS BIGINT) AS n FROM fips_clean "
                                      "GROUP BY county, state_abbr HAVING count(*) > 1")

@@ -28,6 +28,7 @@ GBT_GRID = dict(model.PARAM_GRID)
 GBT_THREADS = 9  # fits submitted at a time
 MAP_YEAR = 1997
 CONSISTENCY_SHARE = 0.75
+SIGN_ALPHA = 0.3  # the test tables have seven years
 CELL = flows.FIXTURE_CELL
 HOLDOUT_YEARS = (2000, 2001)
 # The coordinate mapping has one row per distinct station location (2 doubles + 3 short codes);
@@ -309,6 +310,11 @@ def q_residual_patterns(spark, d):
     return rounded(rank.consistency(_linear(spark, d), threshold=CONSISTENCY_SHARE))
 
 
+def q_residual_sign_test(spark, d):
+    """R2 by an exact sign test over the years. Nine digits: chances are multiples of 1/128, ties at the sixth digit."""
+    return rounded(rank.sign_test(_linear(spark, d), alpha=SIGN_ALPHA), 9)
+
+
 # ---------------------------------------------------------------- FIPS enrichment
 
 def _fips(spark, d):
