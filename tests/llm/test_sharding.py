@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from yieldnorm.llm import sharding
 
@@ -62,3 +63,27 @@ def test_many_equal_rows_spread_over_slots_and_shards(spark):
     for d, n in ((5000, 500), (None, 300)):
         own = [r.virtual_slot for r in a if r.doc_id == d]
         assert len(own) == n and max(np.bincount(own)) < 10
+
+
+def test_a_stored_map_is_edited_by_later_calls(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    data = [(i, "t" * (i % 300), 0, "x") for i in range(3000)]
+    a = sharding.shard(spark.createDataFrame(data, SCHEMA), 6, 512, map_path=path).collect()
+    more = data + [(i, "u" * (i % 500), 0, "x") for i in range(3000, 3600)]
+    b = sharding.shard(spark.createDataFrame(more, SCHEMA), 6, 512, map_path=path).collect()
+    assert {r.map_version for r in a} == {1} and {r.map_version for r in b} == {2}
+    before, after = ([r.shard for r in sharding.load_map(spark, path, v).orderBy("virtual_slot").collect()] for v in (1, 2))
+    moved = np.mean(np.array(before) != np.array(after))
+    assert 0 < moved < 0.35
+    load = [sum(r.size for r in b if r.shard == k) for k in range(6)]
+    assert max(load) < 1.02 * np.mean(load)
+    grown = sharding.shard(spark.createDataFrame(more, SCHEMA), 7, 512, map_path=path).collect()
+    assert {r.map_version for r in grown} == {3} and {r.shard for r in grown} == set(range(7))
+    at = {r.doc_id: r.shard for r in b}
+    assert np.mean([at[r.doc_id] != r.shard for r in grown]) < 0.35
+    with pytest.raises(ValueError):
+        sharding.shard(spark.createDataFrame(data, SCHEMA), 6, 256, map_path=path)
+    # a version whose write was cut off is no version, and the next call writes it anew
+    (tmp_path / "kept" / "version=4").mkdir()
+    again = sharding.shard(spark.createDataFrame(more, SCHEMA), 7, 512, map_path=path).collect()
+    assert {r.map_version for r in again} == {4}

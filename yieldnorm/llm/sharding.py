@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.sizing import materialize, scratch_path
+from ..plans.sizing import list_names, materialize, path_exists, scratch_path
 
 SLOTS, SHARDS, OVERHEAD = 8192, 24, 8
 #: Equal rows are numbered within so many groups, then from group to group.
@@ -79,21 +79,52 @@ def rebalance(shard_of: np.ndarray, load: np.ndarray, n_shards: int) -> np.ndarr
     return out
 
 
+def _cut_off(spark: SparkSession, path: str) -> bool:
+    """A version folder whose write did not end."""
+    return path_exists(spark, path) and not path_exists(spark, f"{path}/_SUCCESS")
+
+
 def save_map(spark: SparkSession, path: str, version: int, shard_of: np.ndarray) -> None:
     """Writes version ``version`` of the map (slot, shard) below ``path``."""
     rows = [(int(i), int(s)) for i, s in enumerate(shard_of)]
     (spark.createDataFrame(rows, "virtual_slot int, shard int").coalesce(1)
-     .write.mode("error").parquet(f"{path}/version={version}"))
+     .write.mode("overwrite" if _cut_off(spark, f"{path}/version={version}") else "error").parquet(f"{path}/version={version}"))
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version}")
+    return spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/version={version}")
+
+
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """The last version of the map below ``path`` that was written whole; None if there is none."""
+    found = [int(n.split("=", 1)[1]) for n in list_names(spark, path)
+             if n.startswith("version=") and path_exists(spark, f"{path}/{n}/_SUCCESS")]
+    return max(found, default=None)
+
+
+def newest_map(spark: SparkSession, path: str, n_slots: int) -> np.ndarray | None:
+    """Shard of each slot in the newest version, if there is one. A map of another number of slots raises: records
+    would need hashing anew."""
+    version = newest_version(spark, path)
+    if version is None:
+        return None
+    rows = load_map(spark, path, version).collect()  # a row per virtual slot
+    out = np.full(n_slots, -1, np.int64)
+    if len(rows) != n_slots or any(not 0 <= r.virtual_slot < n_slots for r in rows):
+        raise ValueError(f"the map at {path} has {len(rows)} slots, not {n_slots}")
+    for r in rows:
+        out[r.virtual_slot] = r.shard
+    return out
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, n_slots: int = SLOTS, map_path: str | None = None,
           text: str = "text", key: str = "doc_id") -> DataFrame:
     """Shards ``docs`` so that bytes per shard are near equal: doc_id, size, text_crc32, shard, slot (the place in the
-    shard, gapless from 0), virtual_slot, map_version. What reaches the driver has one row per virtual slot."""
+    shard, gapless from 0), virtual_slot, map_version. What reaches the driver has one row per virtual slot.
+
+    ``map_path`` keeps the map between calls: the newest version there is edited for the bytes of these ``docs`` and
+    ``n_shards`` and written as the next one, so that most slots stay where they are; the first call deals the slots out
+    in turn as version 0 and writes its edit as version 1. Without ``map_path`` the map is a scratch table."""
     spark = docs.sparkSession
     rows = materialize(records(docs, n_slots, text, key), "sharded")
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
@@ -101,17 +132,20 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, n_slots: int = SLOTS, map_pat
     for r in sums:
         load[r.virtual_slot], count[r.virtual_slot] = r.bytes, r.n
     path = map_path or scratch_path(spark, "slot-map")
-    shard_of = first_map(n_slots, n_shards)
-    save_map(spark, path, 0, shard_of)
+    shard_of = newest_map(spark, path, n_slots)
+    if shard_of is None:
+        shard_of = first_map(n_slots, n_shards)
+        save_map(spark, path, 0, shard_of)
+    version = newest_version(spark, path) + 1
     shard_of = rebalance(shard_of, load, n_shards)
-    save_map(spark, path, 1, shard_of)
+    save_map(spark, path, version, shard_of)
     first = np.zeros(n_slots, np.int64)
     for k in range(n_shards):
         own = np.flatnonzero(shard_of == k)
         first[own] = np.cumsum(count[own]) - count[own]
     starts = spark.createDataFrame([(i, int(x)) for i, x in enumerate(first)], "virtual_slot int, first long")
-    placed = load_map(spark, path, 1).join(F.broadcast(starts), "virtual_slot")
+    placed = load_map(spark, path, version).join(F.broadcast(starts), "virtual_slot")
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(F.col("doc_id"), "size", "text_crc32"))
     return (rows.join(F.broadcast(placed), "virtual_slot").withColumn("place", place)
             .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place") - 1).alias("slot"),
-                    "virtual_slot", F.lit(1).alias("map_version")))
+                    "virtual_slot", F.lit(version).alias("map_version")))
