@@ -54,3 +54,14 @@ def test_features_do_not_depend_on_the_batch():
     together = quality.features(pa.array(texts))
     assert together.shape == (6, quality.WIDTH)
     assert all(np.array_equal(together[i], quality.features(pa.array([t], pa.string()))[0]) for i, t in enumerate(texts))
+
+
+def test_rows_that_share_an_id_learn_the_same_text_in_any_order(spark):
+    texts = [(i, ("good words in plain order %d. " % i if i % 2 else "@@ ## %d $$ zz zz zz " % i) * (2 + i % 5)) for i in range(60)]
+    texts += [(i, "another text, with the same id: %d" % (i * 7)) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    a, b = (sorted((r.doc_id, r.score) for r in quality.classify(d, labels).collect())
+            for d in (docs.coalesce(1), docs.repartition(9, "text")))
+    c = sorted((r.doc_id, r.score) for r in quality.classify(docs.orderBy(docs.text.desc()), labels).collect())
+    assert a == b == c and len({s for _, s in a}) > 1

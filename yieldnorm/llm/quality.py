@@ -138,8 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = known.filter(remainder(F.col("doc_id"), FOLDS) != 0).groupBy("doc_id").agg(F.min("y").alias("y"))
     known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit), "labels")
     base = docs.select(docs[key].alias("doc_id"), text_or_empty(docs, text).alias("text"))
-    rows = base.join(F.broadcast(known), "doc_id").select("doc_id", "y", vectors("text").alias("x"))
-    rows = rows.groupBy("doc_id").agg(F.first("x").alias("x"), F.first("y").alias("y")).orderBy("doc_id").collect()
+    rows = base.join(F.broadcast(known), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), vectors("text").alias("x"))
+    # of rows that share an id, the text with the least hash is learned
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("h", "x", "y")).alias("one")).select("doc_id", "one.x", "one.y").orderBy("doc_id").collect()
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), WIDTH).astype(float)
     w, offset = scorer(x, np.array([r.y for r in rows], int), cut)
 
