@@ -114,3 +114,37 @@ def test_query_shows_the_shards_of_the_dealt_mix(spark):
     got = queries.op3_mixing(spark, "/root/testdata/sf0.01").collect()
     assert all(len(r.shards) == r.n_pieces and (r.n_pieces > 0) == (r.taken > 0) for r in got)
     assert any(r.shards for r in got)
+
+
+def test_large_draws_have_the_hypergeometric_law(monkeypatch):
+    """The draws by binomials, with numpy's limit lowered, against numpy's own draws: mean, spread and range."""
+    cases = [(700, 300, 400), (50, 4000, 1000), (5, 5, 3), (2000, 2000, 3900), (1, 999, 500), (300, 300, 40)]
+    for good, bad, n in cases:
+        want = np.random.default_rng(1).hypergeometric(good, bad, n, 20_000)
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "DRAW_LIMIT", 0)
+            rng = np.random.default_rng(2)
+            got = np.array([mixing.draw_good(good, bad, n, rng) for _ in range(20_000)])
+        assert got.min() >= max(0, n - bad) and got.max() <= min(good, n)
+        error = want.std() / np.sqrt(len(got))
+        assert abs(got.mean() - n * good / (good + bad)) < 5 * error + 1e-9
+        assert abs(got.std() - want.std()) < 0.04 * want.std() + 1e-9
+        top = max(got.max(), want.max()) + 1
+        a, b = (np.cumsum(np.bincount(x, minlength=top)) / len(x) for x in (got, want))
+        assert np.abs(a - b).max() < 0.025  # Kolmogorov-Smirnov at about 1e-5
+
+
+def test_a_plan_of_three_thousand_million_blocks():
+    rng = np.random.default_rng(3)
+    quota = np.array([2_000_000_000, 999_999_999, 1, 0, 400_000_000], np.int64)
+    total = int(quota.sum())
+    capacity = np.full(7, total // 7) + (np.arange(7) < total % 7)
+    split = mixing.split_quotas(quota, capacity, rng)
+    assert (split.sum(0) == quota).all() and (split.sum(1) == capacity).all() and split.min() >= 0
+    share = quota / total
+    spread = np.sqrt(capacity[0] * share * (1 - share))
+    assert (np.abs(split - np.outer(capacity, share)) <= 6 * spread + 1).all()
+    plan = mixing.make_plan(["a", "b"], [9 * 10 ** 12, 4 * 10 ** 12], shard_blocks=10 ** 8)
+    assert plan.blocks.sum() > 3 * 10 ** 9 and (plan.quota.sum(0) == plan.blocks).all()
+    again = mixing.make_plan(["a", "b"], [9 * 10 ** 12, 4 * 10 ** 12], shard_blocks=10 ** 8)
+    assert (again.quota == plan.quota).all()

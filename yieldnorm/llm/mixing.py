@@ -32,6 +32,8 @@ from .common import ship, word_counts
 WEIGHTS, MOST, BLOCK_WORDS, SHARD_BLOCKS, SEED = (5, 2, 1), 3, 4096, 2048, 17
 #: Rows of a stretch of a source's line; positions are summed over stretches first, then within each.
 STRETCH_ROWS = 4000
+#: numpy's hypergeometric draws take fewer items than this.
+DRAW_LIMIT = 10 ** 9
 #: Sources whose totals may be gathered on the driver.
 MAX_SOURCES = 100_000
 
@@ -70,6 +72,33 @@ def targets(size, weights, share: float = 1.0, most: float = MOST) -> np.ndarray
     return out
 
 
+def draw_good(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` items drawn without replacement are good: an exact hypergeometric draw of any size.
+
+    numpy draws from fewer than ``DRAW_LIMIT`` items. From more, every item is first taken with chance n / all, by two
+    binomial draws; whatever the chance, those taken are a uniform set of their number, so the few too many go, or the few
+    still missing come, by a draw of the same kind with about the square root of n items.
+    """
+    total = good + bad
+    if n <= 0 or good == 0:
+        return 0
+    if bad == 0:
+        return n
+    if n > total // 2:
+        return good - draw_good(good, bad, total - n, rng)
+    if total < DRAW_LIMIT:
+        return int(rng.hypergeometric(good, bad, n))
+    if n <= 32:
+        hits = 0
+        for i in range(n):
+            hits += int(rng.integers(total - i)) < good - hits
+        return hits
+    x, y = int(rng.binomial(good, n / total)), int(rng.binomial(bad, n / total))
+    if x + y >= n:
+        return x - draw_good(x, y, x + y - n, rng)
+    return x + draw_good(good - x, bad - y, n - x - y, rng)
+
+
 def split_quotas(quota: np.ndarray, capacity: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Rows of exact block counts per shard: column sums are ``quota``, row sums ``capacity``."""
     if len(capacity) == 1:
@@ -79,7 +108,7 @@ def split_quotas(quota: np.ndarray, capacity: np.ndarray, rng: np.random.Generat
     left, rest, room = np.zeros_like(quota), int(quota.sum()), n
     for k, q in enumerate(quota):  # a multivariate draw, one source after another
         rest -= int(q)
-        left[k] = rng.hypergeometric(int(q), rest, room) if room and q else 0
+        left[k] = draw_good(int(q), rest, room, rng)
         room -= int(left[k])
     return np.vstack([split_quotas(left, capacity[:half], rng), split_quotas(quota - left, capacity[half:], rng)])
 
