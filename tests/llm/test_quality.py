@@ -64,4 +64,7 @@ def test_rows_that_share_an_id_learn_the_same_text_in_any_order(spark):
     a, b = (sorted((r.doc_id, r.score) for r in quality.classify(d, labels).collect())
             for d in (docs.coalesce(1), docs.repartition(9, "text")))
     c = sorted((r.doc_id, r.score) for r in quality.classify(docs.orderBy(docs.text.desc()), labels).collect())
-    assert a == b == c and len({s for _, s in a}) > 1
+    assert [i for i, _ in a] == [i for i, _ in b] == [i for i, _ in c] and len({s for _, s in a}) > 1
+    # products of the same vectors may differ in the last digits by the batch they are in
+    assert np.allclose([s for _, s in a], [s for _, s in b], rtol=0, atol=1e-12)
+    assert np.allclose([s for _, s in a], [s for _, s in c], rtol=0, atol=1e-12)
