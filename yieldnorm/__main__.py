@@ -43,26 +43,34 @@ def build_parser() -> argparse.ArgumentParser:
     e.add_argument("--summary", required=True)
     e.add_argument("--fips", required=True, help="CSV with header fips,name,state")
     for s in sub.choices.values():
+        s.add_argument("--quarantine", default=None, help="folder for malformed records of the inputs (weather text, FIPS lines, "
+                       "feature lines) instead of stopping on them")
         s.add_argument("--out-prefix", default="")
         s.add_argument("--format", default="parquet")
     return p
 
 
+def _rings(spark: SparkSession, a: argparse.Namespace, folder: str | None):
+    """The counties; a FeatureCollection is one record, so only feature lines can be put aside."""
+    return read_county_rings(spark, a.counties, a.counties_lines, folder if a.counties_lines else None)
+
+
 def run(spark: SparkSession, argv: list[str] | None = None) -> dict[str, str]:
     """Run the analysis; return {result name: table written}."""
     a = build_parser().parse_args(argv)
+    aside = {n: f"{a.quarantine.rstrip('/')}/{n}" if a.quarantine else None for n in ("weather", "fips", "counties")}
     years = tuple(int(v) for v in a.years.split(",")) if getattr(a, "years", None) else None
     if a.analysis == "training":
-        out = notebooks.training(weather(spark, a.weather), read_county_rings(spark, a.counties, a.counties_lines),
+        out = notebooks.training(weather(spark, a.weather, aside["weather"]), _rings(spark, a, aside["counties"]),
                                  yields(spark, a.yields), crop=a.crop,
                                  params=json.loads(a.params) if a.params else None, years=years)
     elif a.analysis == "correlation":
         chosen = {} if a.crops is None else {"crops": None if a.crops == "all" else a.crops.split(",")}
-        out = notebooks.correlation(weather(spark, a.weather), read_county_rings(spark, a.counties, a.counties_lines),
+        out = notebooks.correlation(weather(spark, a.weather, aside["weather"]), _rings(spark, a, aside["counties"]),
                                     yields(spark, a.yields), years=years, **chosen)
     else:
         out = notebooks.enrichment(anomalies(spark, a.anomalies), county_summary(spark, a.summary),
-                                   read_fips(spark, a.fips))
+                                   read_fips(spark, a.fips, quarantine=aside["fips"]))
     written = {}
     for name, df in out.items():
         table = f"{a.out_prefix}{name}"

@@ -255,6 +255,10 @@ def _zscore_cols(partition: str) -> str:
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {}
     q["src_weather"] = with_(STATION, WEATHER) + "SELECT * FROM weather"
+    q["src_weather_checked"] = with_(STATION, WEATHER) + (
+        "SELECT date, CAST(count(*) FILTER (WHERE bad IS NOT TRUE) AS BIGINT) AS n_good, "
+        "CAST(sum(precipitation) FILTER (WHERE bad IS NOT TRUE) AS DOUBLE) AS precipitation, "
+        "CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS n_bad FROM (SELECT *, temp_max % 50 = 7 AS bad FROM weather) GROUP BY date")
     q["src_yields"] = with_(YIELDS.split(",\nyields_prepared")[0]) + "SELECT * FROM yields"
     q["src_county_rings"] = with_(RINGS) + """SELECT CAST(s.ord AS BIGINT) AS ord, lpad(CAST(n.n_regionkey AS VARCHAR), 2, '0') AS state_code,
        lpad(CAST(n.n_nationkey AS VARCHAR), 3, '0') AS county_code, n.n_name AS county_name, s.poly_no, s.ring_no,

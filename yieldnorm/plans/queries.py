@@ -48,6 +48,20 @@ def q_src_weather(spark, d):
     return tables.weather(spark, fixtures.weather_daily(spark, d))
 
 
+def q_src_weather_checked(spark, d):
+    """S1 with a quarantine: precipitation as text, unreadable at some temperatures; good rows and rows put aside,
+    counted by date."""
+    w = fixtures.weather_daily(spark, d)
+    text = F.when(F.col("temp_max") % 50 == 7, F.concat(F.lit("?"), F.col("precipitation"))).otherwise(F.col("precipitation").cast("string"))
+    folder = scratch_path(spark, "quarantine")
+    good = tables.weather(spark, w.withColumn("precipitation", text), quarantine=folder)
+    bad = spark.read.parquet(folder).select(
+        F.get_json_object("raw", "$.date").cast("date").alias("date"), F.lit(None).cast("double").alias("precipitation"), "reason")
+    both = good.select("date", "precipitation", F.lit(None).cast("string").alias("reason")).unionByName(bad)
+    return both.groupBy("date").agg(F.count_if(F.col("reason").isNull()).alias("n_good"), F.sum("precipitation").alias("precipitation"),
+                                    F.count_if(F.col("reason") == "precipitation is no double").alias("n_bad"))
+
+
 def q_src_yields(spark, d):
     return tables.yields(spark, fixtures.county_yields(spark, d))
 

@@ -23,6 +23,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, LongType, MapType, StringT
 
 from ..functions.codes import first_key, zfill
 from ..functions.geometry import bbox_of_ring, two_d
+from . import quarantine as aside
 
 GEOMETRY_SCHEMA = StructType([
     StructField("type", StringType(), True),
@@ -68,16 +69,28 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     ).repartition("ord")
 
 
-def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_feature_lines(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
     """Features of line-delimited GeoJSON (one Feature object per line, RFC 8142 style): the
     files split across tasks like any JSON-lines input. ``ord`` is (file path, position), which
-    orders features by file, then by line, for the first-feature-wins rule."""
-    feats = spark.read.schema(FEATURE_SCHEMA).option("mode", "FAILFAST").json(path)
-    return feats.select(
-        F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos")).alias("ord"),
-        "properties",
-        "geometry",
-    )
+    orders features by file, then by line, for the first-feature-wins rule. A line that is no feature stops the job; with
+    a ``quarantine`` folder it goes there, as do polygons with bad coordinates (which else stop ``county_rings``)."""
+    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos")).alias("ord")
+    if quarantine is None:
+        return spark.read.schema(FEATURE_SCHEMA).option("mode", "FAILFAST").json(path).select(place, "properties", "geometry")
+    feats = spark.read.schema(aside.permissive(FEATURE_SCHEMA)).options(**aside.options()).json(path)
+    wanted, parsed = _polygons_of()
+    reason = F.when(F.col(aside.RAW).isNotNull(), "no feature").when(wanted & ~_sound(parsed), "bad coordinates")
+    raw = F.coalesce(F.col(aside.RAW), F.to_json(F.struct("properties", "geometry")))
+    return aside.put_aside(feats.select(place, "properties", "geometry", aside.RAW), raw, reason,
+                           ["ord", "properties", "geometry"], quarantine)
+
+
+def _polygons_of() -> tuple[Column, Column]:
+    """Whether a feature is a (multi)polygon, and its polygons."""
+    gtype, coords = F.col("geometry.type"), F.col("geometry.coordinates")
+    parsed = (F.when(gtype == "Polygon", F.array(F.from_json(coords, _POLYGON)))
+              .when(gtype == "MultiPolygon", F.from_json(coords, _MULTI)))
+    return F.coalesce(gtype.isin("Polygon", "MultiPolygon"), F.lit(False)), parsed
 
 
 def _sound(polygons: Column) -> Column:
@@ -95,13 +108,8 @@ def county_rings(features: DataFrame) -> DataFrame:
     """Rings of every Polygon / MultiPolygon feature; other or null geometries are skipped. A
     polygon whose coordinates don't parse, or hold a missing or non-finite ordinate, raises."""
     props = F.col("properties")
-    gtype = F.col("geometry.type")
     coords = F.col("geometry.coordinates")
-    parsed = (
-        F.when(gtype == "Polygon", F.array(F.from_json(coords, _POLYGON)))
-        .when(gtype == "MultiPolygon", F.from_json(coords, _MULTI))
-    )
-    wanted = F.coalesce(gtype.isin("Polygon", "MultiPolygon"), F.lit(False))
+    wanted, parsed = _polygons_of()
     polygons = F.when(~wanted, F.lit(None)).when(_sound(parsed), parsed).otherwise(F.raise_error(F.concat(
         F.lit("bad coordinates in feature "), F.coalesce(F.to_json("properties"), F.lit("null")), F.lit(": "), F.coalesce(F.substring(coords, 1, 200), F.lit("null")))))
     feats = features.filter(wanted).select(
@@ -121,6 +129,9 @@ def county_rings(features: DataFrame) -> DataFrame:
                         "ring", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
 
-def read_county_rings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Rings from a FeatureCollection file, or from line-delimited features with ``lines``."""
-    return county_rings(read_feature_lines(spark, path) if lines else read_features(spark, path))
+def read_county_rings(spark: SparkSession, path: str, lines: bool = False, quarantine: str | None = None) -> DataFrame:
+    """Rings from a FeatureCollection file, or from line-delimited features with ``lines``; these may put bad features
+    aside (a collection is one record, so it can't)."""
+    if quarantine is not None and not lines:
+        raise ValueError("quarantine needs line-delimited features")
+    return county_rings(read_feature_lines(spark, path, quarantine) if lines else read_features(spark, path))
