@@ -73,6 +73,22 @@ def test_grid_prefix_equals_separate_fit(ml):
     assert best.maxIter == 3
 
 
+def test_a_fit_has_tasks_by_rows_not_by_files(ml, monkeypatch):
+    many = ml.repartition(9)
+    assert many.rdd.getNumPartitions() == 9 and model.gathered(many).rdd.getNumPartitions() == 1
+    assert model.gathered(many, rows=10).rdd.getNumPartitions() == 3 and model.gathered(many.limit(0)).count() == 0
+    seen = []
+
+    def watched(df, rows=model.FIT_ROWS, whole=model.gathered):
+        seen.append(whole(df, rows))
+        return seen[-1]
+
+    monkeypatch.setattr(model, "gathered", watched)
+    model.fit(many, SMALL)
+    model.grid(many, {"maxIter": [2], "maxDepth": [2], "stepSize": [0.2]})
+    assert [x.rdd.getNumPartitions() for x in seen] == [1, 1] and [x.count() for x in seen] == [ml.count()] * 2
+
+
 def test_importances(ml):
     imp = model.importances(model.fit(ml, SMALL)).collect()
     assert len(imp) == 6 and math.isclose(sum(r.importance for r in imp), 1.0, rel_tol=1e-9)
