@@ -1,4 +1,5 @@
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +45,26 @@ def test_fixed_texts_and_documents(counter, encoder, spark):
     assert [x.tolist() for x in encoder.ids(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_only_distinct_runs_are_looked_up():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, k, default=None):
+            Counted.looked += 1
+            return super().get(k, default)
+
+        def __getitem__(self, k):
+            Counted.looked += 1
+            return super().__getitem__(k)
+
+    enc = bpe.WordEncoder(WORD)
+    first = enc.ids(["one two three\n<|endoftext|> İ 你"] * 50)
+    enc.runs.at = Counted(enc.runs.at)
+    again = enc.ids(pa.array(["one two three\n<|endoftext|> İ 你"] * 50))
+    assert [x.tolist() for x in again] == [x.tolist() for x in first]
+    assert 0 < Counted.looked <= 12  # of 300
+
+
 def test_count_tokens(spark):
     lib = Tokenizer.from_file(BYTE)
     data = [(i, t, 5) for i, t in enumerate(TEXTS)] + [(None, "x", 1), (99, None, 2), (0, "", 5), (100, "word " * 5000, None)]

@@ -17,6 +17,8 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -194,9 +196,11 @@ class _Ragged:
         self.used += len(flat)
         self.at.update(zip(keys, range(first, last), strict=True))
 
-    def gather(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all keys one after another, and the number of each."""
-        k = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+
+    def gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings with the numbers ``k`` one after another, and the number of each's."""
         n = self.size[k]
         end = np.cumsum(n)
         return self.pool[np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[k] - (end - n), n)], n
@@ -204,51 +208,56 @@ class _Ragged:
 
 class WordEncoder:
     """Token ids of whole texts under a vocabulary that drops white space and lower-cases (end-of-word suffix). Runs
-    between spaces and line feeds are encoded alone: nothing of the split rule reaches across white space."""
+    between spaces and line feeds are encoded alone: nothing of the split rule reaches across white space. Arrow finds
+    the distinct runs of a call; only these are looked up."""
 
     def __init__(self, path: str, max_runs: int = MAX_RUNS):
         self.m, self.max_runs = Merger(path), max_runs
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t\n\r\x0b\x0c]+")  # of lower-cased ASCII runs
+        # a line feed, which no run holds, ends each run
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
+        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t\n\r\x0b\x0c]+|\n")  # of lower-cased ASCII runs
         self.clear()
 
     def clear(self) -> None:
         self.runs, self.tokens = _Ragged(), _Ragged()
         self.runs.add([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
-
-    def _pretokens(self, run: str) -> list[str] | None:
-        if "<" in run and any(s in run for s in self.m.special):
-            return None
-        if run.isascii():
-            return self.ascii.findall(run.lower())
-        return self.split.findall(run.lower()) if _USUAL.match(run) else None
+        self.tokens.add(["\n"], np.zeros(0, np.uint32), np.zeros(1, np.int64))  # number 0: the end of a run
 
     def _learn(self, new: list[str]) -> None:
-        parts = [self._pretokens(r) for r in new]
-        odd = [k for k, x in enumerate(parts) if x is None]
-        for k in odd:  # the library splits these; a line feed, which no run holds, marks their place in the table
-            parts[k] = ["\n" + new[k]]
-        kinds = set(itertools.chain.from_iterable(parts)).difference(self.tokens.at)
-        plain = [x for x in kinds if x[0] != "\n"]
-        ids, n = self.m.symbols([x.encode() for x in plain])
-        self.tokens.add(plain, ids.astype(np.uint32), n)
+        ascii_, usual, odd = [], [], []  # the library splits the odd ones
+        for r in new:
+            if "<" in r and any(s in r for s in self.m.special):
+                odd.append(r)
+            else:
+                (ascii_ if r.isascii() else usual if _USUAL.match(r) else odd).append(r)
+        flat = self.ascii.findall("\n".join([*ascii_, ""]).lower()) + self.split.findall("\n".join([*usual, ""]).lower())
+        kinds = list(set(flat).difference(self.tokens.at))
+        ids, n = self.m.symbols([x.encode() for x in kinds])
+        self.tokens.add(kinds, ids.astype(np.uint32), n)
+        k = self.tokens.numbers(flat)
+        ids, n = self.tokens.gather(k)
+        ends = np.cumsum(n)[k == 0]
+        self.runs.add(ascii_ + usual, ids, np.diff(ends, prepend=0))
         if odd:
-            made = [np.array(self.m.library.encode(new[k], add_special_tokens=False).ids, np.uint32) for k in odd]
-            self.tokens.add([parts[k][0] for k in odd], np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made)))
-        flat, count = self.tokens.gather(list(itertools.chain.from_iterable(parts)))
-        ends = np.concatenate(([0], np.cumsum(count)))[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
-        self.runs.add(new, flat, np.diff(ends, prepend=0))
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+            made = [np.array(self.m.library.encode(r, add_special_tokens=False).ids, np.uint32) for r in odd]
+            self.runs.add(odd, np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made)))
+
+    def ids(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        runs = split.flatten().dictionary_encode()
+        names = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.runs.at) > self.max_runs or len(self.tokens.at) > self.max_runs:
             self.clear()
-        new = set().union(*split).difference(self.runs.at)
-        if new:
-            self._learn(list(new))
-        flat, n = self.runs.gather(list(itertools.chain.from_iterable(split)))
-        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
-        return np.split(flat, ends[:-1]) if len(texts) else []
+        k = list(map(self.runs.at.get, names))
+        if None in k:
+            self._learn([r for r, x in zip(names, k, strict=True) if x is None])
+            k = [self.runs.at[r] if x is None else x for r, x in zip(names, k, strict=True)]
+        flat, n = self.runs.gather(np.array(k, np.int64)[runs.indices.to_numpy()])
+        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(split.value_lengths().to_numpy())]
+        return np.split(flat, ends[:-1])
 
 
 _MADE: dict[tuple, object] = {}

@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..plans.sizing import materialize
 from . import bpe
-from .common import SLICE_BYTES, ship, slices, text_or_empty, utf8
+from .common import SLICE_BYTES, give_back, ship, slices, text_or_empty, utf8
 
 WINDOW, END_ID, MAX_PIECE, GROUP_WINDOWS = 4096, 2, 1024, 256
 #: Pieces shorter than this are chained into items of about this length before differencing.
@@ -57,7 +57,7 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
             _, off = utf8(texts)
             for i, j in slices(off, 4 * SLICE_BYTES):
                 who, start, length, crc, total, ids = [], [], [], [], [], []
-                for k, t in enumerate(encoder.ids(texts[i:j].to_pylist()), i):
+                for k, t in enumerate(encoder.ids(texts[i:j]), i):
                     t = np.append(t, np.uint32(end_id)).astype("<u4")
                     raw = memoryview(t).cast("B")
                     for a, n in cuts(len(t), window, max_piece):
@@ -78,6 +78,7 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
         if not keep:
             del encoder
             bpe.release()
+            give_back()
 
     return docs.select(docs[key], text_or_empty(docs, text)).mapInArrow(cut, StructType(fields))
 
