@@ -11,38 +11,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from yieldnorm.llm import exact_dedup, minhash, mixing, packing, quality
-from yieldnorm.llm.common import read_table
+from yieldnorm.llm.common import read_table, small_batches
 from yieldnorm.plans.sizing import materialize
 from yieldnorm.session import local_checkpoints
 
 
+def _prepare(spark: SparkSession) -> None:
+    local_checkpoints(spark)
+    small_batches(spark)  # the same workers serve all stages
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    local_checkpoints(spark)
+    _prepare(spark)
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (the largest doc_id)."""
-    local_checkpoints(spark)
+    _prepare(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (the least doc_id)."""
-    local_checkpoints(spark)
+    _prepare(spark)
     return minhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    local_checkpoints(spark)
+    _prepare(spark)
     return mixing.mix_documents(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, each in its place in a window."""
-    local_checkpoints(spark)
+    _prepare(spark)
     # the same workers serve the other stages: tables are small and go with the task
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), max_runs=RUNS, keep=False)
 
@@ -57,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    local_checkpoints(spark)
+    _prepare(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -1,7 +1,9 @@
 """Registered queries: contract columns, SQL twins, and the pipeline against plain Python."""
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -50,6 +52,27 @@ def test_sql_twin(spark, name):
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
 
 
+def test_workers_of_the_pipeline_get_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key, None)
+    docs = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text")).repartition(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    try:
+        spark.conf.set(key, "1m")
+        corpus_pipeline.STAGES[1][1](spark, docs, "")
+        assert spark.conf.get(key) == "1m"  # the session's own limit stays
+        spark.conf.unset(key)
+        corpus_pipeline.STAGES[1][1](spark, docs, "")
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 20_000_000 and max(got) <= 8 << 20
+    finally:
+        spark.conf.set(key, had) if had is not None else spark.conf.unset(key)
+
+
 def test_pipeline_stages(spark):
     docs, kept = spark.read.parquet(f"{SF0001}/documents.parquet"), {}
     columns = docs.columns

@@ -31,7 +31,7 @@ from pyspark.sql.types import BinaryType, DoubleType
 
 from ..plans.sizing import broadcast_if_small, materialize
 from . import bpe
-from .common import SLICE_BYTES, fresh, mix64, ship, slices, text_or_empty, utf8, word_bounds, word_hashes
+from .common import SLICE_BYTES, fresh, give_back, mix64, ship, slices, text_or_empty, utf8, word_bounds, word_hashes
 from .components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
@@ -157,13 +157,18 @@ def overlap(a: tuple, b: tuple) -> float:
 def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
     kinds = pa.concat_arrays([left.cast(pa.large_string()), right.cast(pa.large_string())]).dictionary_encode()
     made, at, n = _bag_list(kinds.dictionary), kinds.indices.to_numpy(), len(left)
-    return pa.array([overlap(made[a], made[b]) for a, b in zip(at[:n], at[n:])], pa.float64())
+    out = pa.array([overlap(made[a], made[b]) for a, b in zip(at[:n], at[n:])], pa.float64())
+    del kinds, made
+    give_back()
+    return out
 
 
 @arrow_udf(BinaryType())
 def signature(texts: pa.Array) -> pa.Array:
     bpe.release()  # a worker that packed or counted tokens before would keep its tables beside the signatures
-    return sign(texts)
+    out = sign(texts)
+    give_back()
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -231,7 +236,10 @@ def compare_cells(group: pa.Table, threshold: float) -> pa.Table:
         if len(one) and len(two):
             links += _cell_links(sig, label, text, one, two, int(no[at[0]]), threshold)
     pairs = np.array(links, np.int64).reshape(len(links), 2)
-    return pa.table({"a": row[pairs[:, 0]], "b": row[pairs[:, 1]]})
+    out = pa.table({"a": row[pairs[:, 0]], "b": row[pairs[:, 1]]})
+    del sig, text
+    give_back()
+    return out
 
 
 def cells_of(mixed: DataFrame) -> DataFrame:

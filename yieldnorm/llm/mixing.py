@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 from pyspark.sql.window import Window
 
 from ..plans.sizing import materialize
-from .common import ship, word_counts
+from .common import give_back, ship, word_counts
 
 WEIGHTS, MOST, BLOCK_WORDS, SHARD_BLOCKS, SEED = (5, 2, 1), 3, 4096, 2048, 17
 #: Rows of a stretch of a source's line; positions are summed over stretches first, then within each.
@@ -40,7 +40,9 @@ MAX_SOURCES = 100_000
 
 @arrow_udf(LongType())
 def words(texts: pa.Array) -> pa.Array:
-    return pa.array(word_counts(texts))
+    out = pa.array(word_counts(texts))
+    give_back()
+    return out
 
 
 @dataclass

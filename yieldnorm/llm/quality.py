@@ -20,7 +20,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, DoubleType
 
 from ..plans.sizing import materialize
-from .common import mix64, remainder, ship, slices, text_or_empty, utf8, word_bounds, word_hashes
+from .common import give_back, mix64, remainder, ship, slices, text_or_empty, utf8, word_bounds, word_hashes
 
 MAX_FIT, PAIRS, CUT, FOLDS, SEED = 20_000, 40_000, 0.3, 5, 11
 
@@ -146,7 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     @arrow_udf(DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(1 / (1 + np.exp(-np.clip(features(texts).astype(float) @ w + offset, -500, 500))))
+        out = pa.array(1 / (1 + np.exp(-np.clip(features(texts).astype(float) @ w + offset, -500, 500))))
+        give_back()
+        return out
 
     return score
 
